@@ -32,7 +32,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 3
 class Ftrl:
     """FTRL-proximal logistic regression over sets of hashed features, with a learning rate for each coordinate."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1) -> None:
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)  # the last coordinate is the bias, without L1
         self.bias = size

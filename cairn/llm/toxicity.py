@@ -22,7 +22,7 @@ from cairn.llm.linear import Ftrl, sigmoid
 
 BITS = 18
 #: Most labelled rows of each class that are fitted.
-ROWS_PER_CLASS = 3000
+ROWS_PER_CLASS = 4000
 EPOCHS = 4
 #: Odd multipliers that mix two word hashes.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
