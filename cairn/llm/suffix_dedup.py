@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.batches import append, raw, values, words
@@ -68,14 +68,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, text, runs``: rows of ``docs`` that hold repeated runs of ``length`` words.
+    """``doc, hash, n_words, runs``: documents, by id and text hash, that hold repeated runs of ``length`` words.
 
-    ``runs`` is an array of (start, stop, first): word ranges that repeated runs cover without a gap, split by whether the
-    covering run is the first of its kind by id, text hash and place. Rows equal in id and text are one
-    document; a null id sorts first. Texts of fewer words, nulls among them, hold no runs.
+    ``runs`` is an array of (start, stop, first): ranges of words at which repeated runs begin, split by whether the
+    run is the first of its kind by id, text hash and place. Rows equal in id and text are one
+    document; a null id sorts first, as the least long. Texts of fewer words, nulls among them, hold no runs.
     """
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    source = source.withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "hash": F.xxhash64("text")})
+    source = docs.where(F.col(text).isNotNull()).select(_doc(F.col(key)).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,15 +94,16 @@ def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
     def owner(doc, tag) -> pa.Array:
         return pa.array([xxhash.xxh3_64_intdigest(f"{d} {t}") - (1 << 63) for d, t in zip(doc, tag, strict=True)], pa.int64())
 
-    once = source.select("doc", "hash", "text").mapInArrow(retain, "key long, rep long")
+    once = source.mapInArrow(retain, "key long, rep long")
     repeated = cut(once.repartition("key").sortWithinPartitions("key").mapInArrow(_drop_single, "key long, rep long"), "grams")
     wanted = repeated.groupBy("rep").agg(F.collect_set("key").alias("grams"))
     owned = append(source, "rep long", lambda batch: [owner(values(batch, "doc"), values(batch, "hash"))])
-    held = owned.join(wanted, "rep")
+    # by shuffle at every size: what is wanted grows with the documents
+    held = owned.hint("merge").join(wanted, "rep").dropDuplicates(["rep"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, tag, body, grams in zip(values(batch, "doc"), values(batch, "hash"), raw(batch, "text"), batch.column(3), strict=True):
                 h = word_hashes(body)
                 chosen, whole = _signed(selected(h, length, gram)), _signed(run_hashes(h, length))
@@ -111,16 +111,21 @@ def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
                 end = np.append(begin[1:], len(chosen))
                 take = np.isin(chosen[begin], grams.values.to_numpy())
                 for a, b in zip(begin[take].tolist(), end[take].tolist(), strict=True):
-                    for column, x in zip(out, (int(chosen[a]), doc, tag, a, whole[a:b].tobytes()), strict=True):
+                    for column, x in zip(out, (int(chosen[a]), doc, tag, a, whole[a:b].tobytes(), len(h)), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc", "hash", "at", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "doc", "hash", "at", "whole", "n"])
 
-    suffixes = cut(held.select("doc", "hash", "text", "grams").mapInArrow(extend, "key long, doc long, hash long, at long, whole binary").dropDuplicates(["key", "doc", "hash", "at"]), "suffixes")
+    suffixes = cut(held.select("doc", "hash", "text", "grams").mapInArrow(extend, "key long, doc long, hash long, at long, whole binary, n long"), "suffixes")
     frequent = cut(suffixes.groupBy("key").count().where(F.col("count") > LIST_LIMIT).select("key"), "frequent")
-    few = suffixes.join(frequent, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, hash long, start long, stop long, first boolean")
+    few = suffixes.drop("n").join(frequent, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, hash long, start long, stop long, first boolean")
     runs = few.union(_compare_frequent(suffixes.join(frequent, "key", "left_semi")).select("doc", "hash", "start", "stop", "first"))
     spans = runs.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "stop", "first")).alias("runs"))
-    return source.dropDuplicates(["doc", "hash"]).join(spans, ["doc", "hash"]).select("doc_id", "text", "runs")
+    sizes = suffixes.groupBy("doc", "hash").agg(F.max("n").alias("n_words"))
+    return spans.join(sizes, ["doc", "hash"]).select("doc", "hash", "n_words", "runs")
+
+
+def _doc(key: Column) -> Column:
+    return F.coalesce(key, F.lit(-(1 << 63)).cast("long"))
 
 
 def _intervals(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -221,13 +226,13 @@ def report(docs: DataFrame, *, length: int = LENGTH, **options) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = []
-        for body, runs in zip(raw(batch, "text"), values(batch, "runs"), strict=True):
-            n = len(words(body))
+        for n, runs in zip(values(batch, "n_words"), values(batch, "runs"), strict=True):
             inside, first = coverage(n, runs, length)
-            rows.append((n, int(inside.sum()), int((inside & ~first).sum()), int((inside & ~np.append(False, inside[:-1])).sum())))
+            rows.append((int(inside.sum()), int((inside & ~first).sum()), int((inside & ~np.append(False, inside[:-1])).sum())))
         return [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
 
-    return append(found, "n_words long, n_repeated long, n_removed long, n_passages long", each).drop("text", "runs")
+    counted = append(found, "n_repeated long, n_removed long, n_passages long", each)
+    return counted.select(F.nullif("doc", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), "n_words", "n_repeated", "n_removed", "n_passages")
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
@@ -236,20 +241,23 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Documents of which no word is left go; all others stay, with a text that holds no repeat as it is.
     """
     names = docs.columns
-    found = passages(docs, key=key, text=text, length=length, **options)
+    found = passages(docs, key=key, text=text, length=length, **options).select(F.col("doc").alias("doc_"), F.col("hash").alias("hash_"), F.col("runs").alias("runs_"))
+    met = docs.hint("merge").join(found, (_doc(docs[key]) == found["doc_"]) & (F.xxhash64(docs[text]) == found["hash_"]), "left").drop("doc_", "hash_")
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
         texts, gone = [], []
-        for body, runs in zip(raw(batch, "text"), values(batch, "runs"), strict=True):
-            inside, first = coverage(len(words(body)), runs, length)
-            new = without_words(body, inside & ~first) if (inside & ~first).any() else body.decode()
+        for body, runs in zip(raw(batch, text), values(batch, "runs_"), strict=True):
+            new = body and body.decode()
+            if runs and body:
+                inside, first = coverage(len(words(body)), runs, length)
+                if (inside & ~first).any():
+                    new = without_words(body, inside & ~first)
             texts.append(new)
-            gone.append(new is None)
+            gone.append(new is None and body is not None)
         return [pa.array(texts, pa.string()), pa.array(gone, pa.bool_())]
 
-    changed = append(found, "new_text_ string, gone_ boolean", each).select(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("hash_"), "new_text_", "gone_")
-    met = docs.join(changed, docs[key].eqNullSafe(changed["id_"]) & (F.xxhash64(docs[text]) == changed["hash_"]), "left")
-    return met.where(F.coalesce(~F.col("gone_"), F.lit(True))).withColumn(text, F.coalesce("new_text_", text)).select(*names)
+    changed = append(met, "new_text_ string, gone_ boolean", each).where("not gone_")
+    return changed.withColumn(text, F.col("new_text_")).select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
