@@ -30,6 +30,11 @@ def refresh_postings(index: DataFrame, changed: DataFrame) -> DataFrame:
     return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(postings(changed))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row, however often and deep in lambdas it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(words: Column, phrase: Phrase) -> Column:
     """Positions (from 0) at which the phrase occurs in an array of tokens."""
     if not phrase.words:
@@ -62,11 +67,15 @@ def _count(leaf: Phrase | Near, words: dict[str, Column]) -> list[tuple[Column,
         for c in phrase.columns:
             starts = [_starts(words[c], p) for p in leaf.phrases]
             every_.append(F.size(starts[k]))
-            near.append(F.size(F.filter(starts[k], lambda q, k=k, starts=starts: _takes_part(leaf, starts, k, q))))
+            near.append(F.size(F.filter(starts[k], _part_test(leaf, starts, k))))
         out.append((total(near), total(every_), phrase))
     return out
 
 
+def _part_test(leaf: Near, starts: list[Column], k: int):
+    return lambda q: _takes_part(leaf, starts, k, q)
+
+
 def _takes_part(leaf: Near, starts: list[Column], k: int, q: Column) -> Column:
     """Whether the occurrence at ``q`` lies in a window in which all phrases occur within the gap."""
 
@@ -74,12 +83,11 @@ def _takes_part(leaf: Near, starts: list[Column], k: int, q: Column) -> Column:
         reach = p + (len(leaf.phrases[i].words) + leaf.gap)
         return every(*[F.exists(starts[j], lambda x: (x >= p) & (x <= reach)) for j in range(len(starts)) if j != i])
 
-    def inside(i: int, p: Column) -> Column:
-        reach = p + (len(leaf.phrases[i].words) + leaf.gap)
-        within = q == p if i == k else (q >= p) & (q <= reach)
-        return within & begins(i, p)
+    def inside(i: int):
+        size = len(leaf.phrases[i].words) + leaf.gap
+        return lambda p: (q == p if i == k else (q >= p) & (q <= p + size)) & begins(i, p)
 
-    return reduce(lambda a, b: a | b, [F.exists(starts[i], lambda p, i=i: inside(i, p)) for i in range(len(starts))])
+    return reduce(lambda a, b: a | b, [F.exists(starts[i], inside(i)) for i in range(len(starts))])
 
 
 def _matches(tree, counted: dict[int, Column]) -> Column:
@@ -96,41 +104,46 @@ def match(photos: DataFrame, query: str, where: Column | None = None) -> DataFra
     one phrase. An empty catalog or a query without a token gives no rows.
     """
     tree, _ = parse_or_phrase(query)
-    words = {c: F.col(f"w_{c}") for c in COLUMNS}
-    rows = photos.withColumns({f"w_{c}": tokens(F.col(c)) if c in photos.columns else F.array().cast("array<string>") for c in COLUMNS})
-    rows = rows.withColumn("dl", sum((F.size(words[c]) for c in COLUMNS[1:]), F.size(words[COLUMNS[0]])))
-    scored: list[tuple[str, str]] = []
+    here = [c for c in COLUMNS if c in photos.columns]
+    scored: list[str] = []
     conditions: dict[int, Column] = {}
-    added: dict[str, Column] = {}
+    counting: dict[str, tuple] = {}  # name of a phrase's counts: its leaf and place there
+    adding = leaves(tree)
 
     def walk(node) -> None:
         if isinstance(node, Op):
             walk(node.left)
             walk(node.right)
             return
-        parts = []
-        for counts, anywhere, _phrase in _count(node, words):
-            name = f"tf_{len(added)}"
-            added[name], added[f"{name}_all"] = counts, anywhere
-            parts.append(name)
-        conditions[id(node)] = every(*[F.col(p) > 0 for p in parts])
-        if any(node is x for x in leaves(tree)):
-            scored.extend((p, f"{p}_all") for p in parts)
+        names = [f"tf_{len(counting) + k}" for k in range(len(node.phrases) if isinstance(node, Near) else 1)]
+        counting.update({name: (node, k) for k, name in enumerate(names)})
+        conditions[id(node)] = every(*[F.col(f"m_.{n}") > 0 for n in names])
+        if any(node is x for x in adding):
+            scored.extend(names)
 
     walk(tree)
-    rows = rows.withColumns(added)
+
+    def measure(found: Column) -> Column:
+        words = {c: found[c] if c in here else F.array().cast("array<string>") for c in COLUMNS}
+        fields = [sum((F.size(words[c]) for c in COLUMNS[1:]), F.size(words[COLUMNS[0]])).alias("dl")]
+        for name, (node, k) in counting.items():
+            counts, anywhere, _ = _count(node, words)[k]
+            fields += [counts.alias(name), anywhere.alias(f"{name}_all")]
+        return F.struct(*fields)
+
+    rows = photos.withColumn("m_", _let(F.struct(*[tokens(F.col(c)).alias(c) for c in here]), measure))
     stats = rows.agg(
         F.count("*").cast("double").alias("n_rows"),
-        F.avg("dl").alias("avgdl"),
-        *[F.sum(F.when(F.col(a) > 0, 1).otherwise(0)).cast("double").alias(f"df_{p}") for p, a in scored],
+        F.avg("m_.dl").alias("avgdl"),
+        *[F.sum(F.when(F.col(f"m_.{p}_all") > 0, 1).otherwise(0)).cast("double").alias(f"df_{p}") for p in scored],
     )
     found = rows.where(_matches(tree, conditions)).where(where if where is not None else F.lit(True)).crossJoin(F.broadcast(stats))  # one row
     rank = F.lit(0.0)
-    for p, _ in scored:
+    for p in scored:
         idf = F.log((F.col("n_rows") - F.col(f"df_{p}") + 0.5) / (F.col(f"df_{p}") + 0.5))
         idf = F.when(idf <= 0, FLOOR).otherwise(idf)
-        tf = F.col(p).cast("double")
-        rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        tf = F.col(f"m_.{p}").cast("double")
+        rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("m_.dl") / F.col("avgdl")))
     return found.withColumn("rank", rank)
 
 
@@ -145,16 +158,31 @@ def search_count(photos: DataFrame, query: str, *, category: str | None = None,
     return match(photos, query, shown).agg(F.count("*").alias("n"))
 
 
+def _span(n: int):
+    return lambda s: F.struct(s.alias("a"), (s + n).alias("b"))
+
+
 def snippets(photos: DataFrame, query: str, column: str = "text", size: int = 10, marks: tuple[str, str] = ("[", "]")) -> DataFrame:
     """``id, snippet``: ``size`` tokens about the first hit in a column, hits marked, cut sides dotted; without a hit its first tokens."""
     tree, _ = parse_or_phrase(query)
     phrases = [p for x in leaves(tree) for p in (x.phrases if isinstance(x, Near) else (x,)) if column in p.columns]
-    words = F.col("w_")
-    rows = match(photos, query).withColumn("w_", F.col(f"w_{column}"))
-    hits = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.transform(_starts(words, p), lambda s, n=len(p.words): F.struct(s.alias("a"), (s + n).alias("b"))) for p in phrases]))))
-    first = F.coalesce(F.get(hits, F.lit(0))["a"], F.lit(0))
-    begin = F.greatest(F.lit(0), F.least(first - (size - 1) // 2, F.size(words) - size))
-    rows = rows.withColumn("hits_", hits).withColumn("begin_", begin)
-    shown = F.transform(F.slice(words, F.col("begin_") + 1, size), lambda w, i: F.when(F.exists("hits_", lambda h: (i + F.col("begin_") >= h["a"]) & (i + F.col("begin_") < h["b"])), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w))
-    body = F.concat(F.when(F.col("begin_") > 0, "... ").otherwise(""), F.array_join(shown, " "), F.when(F.col("begin_") + size < F.size(words), " ...").otherwise(""))
-    return rows.select("id", F.when(F.col(column).isNotNull(), body).alias("snippet"))
+
+    def show(words: Column) -> Column:
+        spans = [F.transform(_starts(words, p), _span(len(p.words))) for p in phrases]
+        hits = F.array_sort(F.array_distinct(F.flatten(F.array(*spans)))) if spans else F.array().cast("array<struct<a:int,b:int>>")
+
+        def window(x: Column) -> Column:
+            begin = F.greatest(F.lit(0), F.least(F.coalesce(F.get(x["hits"], F.lit(0))["a"], F.lit(0)) - (size - 1) // 2, F.size(words) - size))
+            return F.struct(x["hits"].alias("hits"), begin.alias("begin"))
+
+        def mark(x: Column) -> Column:
+            def one(w: Column, i: Column) -> Column:
+                at = i + x["begin"]
+                return F.when(F.exists(x["hits"], lambda h: (at >= h["a"]) & (at < h["b"])), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w)
+
+            body = F.array_join(F.transform(F.slice(words, x["begin"] + 1, size), one), " ")
+            return F.concat(F.when(x["begin"] > 0, "... ").otherwise(""), body, F.when(x["begin"] + size < F.size(words), " ...").otherwise(""))
+
+        return _let(window(F.struct(hits.alias("hits"))), mark)
+
+    return match(photos, query).select("id", F.when(F.col(column).isNotNull(), _let(tokens(F.col(column)), show)).alias("snippet"))
