@@ -5,6 +5,7 @@ from __future__ import annotations
 from cairn.llm.batches import Memo
 
 _LOADED: dict = {}
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def library_tokenizer(path: str):
@@ -17,22 +18,28 @@ def library_tokenizer(path: str):
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian bytes, for tokenizers that drop white space.
+    """Ids of a text as little-endian bytes, for tokenizers that lower-case and drop white space.
 
-    Such a tokenizer never looks across a space or line feed, so each chunk between them is encoded
-    once by the library, whatever it holds, and the ids are joined in order.
+    Such a tokenizer never looks across a space or line feed, nor across the border between a letter or
+    digit and ASCII punctuation that ends a chunk. So each chunk between them is encoded once by the library,
+    whatever else it holds, and the ids are joined in order. Chunks with "<|" may hold a special string and stay whole.
     """
 
     def __init__(self, path: str, width: int) -> None:
         tokenizer = library_tokenizer(path)
 
         def ids(chunk: bytes) -> bytes:
-            found = tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-            return b"".join(i.to_bytes(width, "little") for i in found)
+            core = chunk.rstrip(_PUNCTUATION)
+            if core and core != chunk and core[-1:].isalnum() and b"<|" not in chunk:
+                return self.memo[core] + self.memo[chunk[len(core) :]]
+            found = tokenizer.encode_batch_fast([chunk.decode()], add_special_tokens=False)[0].ids
+            return b"".join([i.to_bytes(width, "little") for i in found])
 
-        self.memo = Memo(ids)
+        self.memo = Memo(ids, 400_000)
 
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
             return b""
+        if b"<|" not in text:  # else a special string could come about
+            text = text.lower()
         return b"".join(map(self.memo.__getitem__, text.replace(b"\n", b" ").split(b" ")))
