@@ -107,20 +107,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, key: str = "vec_id", vec
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(batches):
             ids, rows = values(batch, "id"), quantise(values(batch, "v"))
             some = [i for i, r in enumerate(rows) if r is not None and ids[i] is not None]
             if some:
                 m = _matrix([rows[i] for i in some], max(len(rows[i]) for i in some))
-                yield pa.RecordBatch.from_arrays([pa.array([np.array([ids[i] for i in some], dtype=np.int64).tobytes()], pa.binary()), pa.array([m.astype("<i8" if np.abs(m).max(initial=0) >= 2**31 else "<i4").tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())], names=["ids", "m", "width"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.array([ids[i] for i in some], dtype=np.int64).tobytes()], pa.binary()), pa.array([m.astype("<i8" if np.abs(m).max(initial=0) >= 2**31 else "<i4").tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32()), pa.array([first + number], pa.int64())], names=["ids", "m", "width", "block"])
 
     def packed(df: DataFrame, rows: int) -> DataFrame:
         slim = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-        blocks = slim.mapInArrow(_rebatched(pack, rows), "ids binary, m binary, width int")
+        blocks = slim.mapInArrow(_rebatched(pack, rows), "ids binary, m binary, width int, block long")
         return blocks
 
-    left = packed(queries, block_rows).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("width").alias("q_width"))
-    pairs = left.crossJoin(packed(candidates, shard_rows))  # a stated query set against all rows, in blocks
+    left = packed(queries, block_rows).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("width").alias("q_width"), "block")
+    pairs = left.crossJoin(packed(candidates, shard_rows).drop("block"))  # a stated query set against all rows, in blocks
 
     def unpack(ids: bytes, m: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
         names = np.frombuffer(ids, dtype=np.int64)
@@ -131,14 +134,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, key: str = "vec_id", vec
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q_ids, q = unpack(*row[:3])
-                c_ids, c = unpack(*row[3:])
+                c_ids, c = unpack(*row[4:])
                 width = min(q.shape[1], c.shape[1])
                 shard = Shard(c_ids, c[:, :width])
                 at_q, at_c, score = shard.search(q[:, :width], k + 1)
                 own = np.einsum("ij,ij->i", q, q)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at_q]), pa.array(at_q.astype(np.int64)), pa.array([xxhash_of(row[0])] * len(at_q), pa.int64()), pa.array(shard.ids[at_c]), pa.array(score), pa.array((shard.ids[at_c] == q_ids[at_q]) & (score == own[at_q]))], names=["query_id", "row", "block", "vec_id", "score", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at_q]), pa.array(at_q.astype(np.int64)), pa.array([row[3]] * len(at_q), pa.int64()), pa.array(shard.ids[at_c]), pa.array(score), pa.array((shard.ids[at_c] == q_ids[at_q]) & (score == own[at_q]))], names=["query_id", "row", "block", "vec_id", "score", "own"])
 
-    found = pairs.repartition(F.xxhash64("q_ids", "ids")).mapInArrow(search, "query_id long, row long, block long, vec_id long, score long, own boolean")
+    found = pairs.repartition(F.xxhash64("block", "ids")).mapInArrow(search, "query_id long, row long, block long, vec_id long, score long, own boolean")
     each = Window.partitionBy("block", "row", "query_id")
     order = [F.desc("score"), F.asc("vec_id")]
     first = found.withColumn("place", F.row_number().over(each.orderBy(*order))).where(F.col("place") <= k + 1)
@@ -148,12 +151,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, key: str = "vec_id", vec
     return ranked.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def xxhash_of(data: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
-
-
 def _rebatched(each, rows: int):
     """``each`` over batches of about ``rows`` rows, cut from or joined out of those that Spark gives."""
 
