@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.batches import values
+from cairn.workspace import cut
 
 SCALE, EVERY, K = 64, 20, 20
 #: Candidates of one shard, queries of one block, and candidates that are traversed between thresholds.
@@ -119,8 +120,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, key: str = "vec_id", vec
 
     def packed(df: DataFrame, rows: int) -> DataFrame:
         slim = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-        blocks = slim.mapInArrow(_rebatched(pack, rows), "ids binary, m binary, width int, block long")
-        return blocks
+        # written once: a block keeps its number, and no join partner makes it anew
+        return cut(slim.mapInArrow(_rebatched(pack, rows), "ids binary, m binary, width int, block long"), "blocks")
 
     left = packed(queries, block_rows).select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("width").alias("q_width"), "block")
     pairs = left.crossJoin(packed(candidates, shard_rows).drop("block"))  # a stated query set against all rows, in blocks
