@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.batches import raw, values
-from cairn.llm.tokens import ChunkEncoder, library_tokenizer
+from cairn.llm.tokens import chunk_encoder, library_tokenizer
 from cairn.workspace import fresh_dir
 
 MAGIC = b"CAIRNSS1"
@@ -229,7 +229,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         part, attempt = task.partitionId(), task.taskAttemptId()
         store, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder.removeprefix("file:"))
         store.create_dir(root, recursive=True)
-        encode, tail = ChunkEncoder(tokenizer, width), b"" if end_id is None else end_id.to_bytes(width, "little")
+        encode, tail = chunk_encoder(tokenizer, width), b"" if end_id is None else end_id.to_bytes(width, "little")
         made: list[tuple] = []
         writer = None
 

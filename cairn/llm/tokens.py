@@ -35,7 +35,7 @@ class ChunkEncoder:
             found = tokenizer.encode_batch_fast([chunk.decode()], add_special_tokens=False)[0].ids
             return b"".join([i.to_bytes(width, "little") for i in found])
 
-        self.memo = Memo(ids, 400_000)
+        self.memo = Memo(ids, 1_000_000)
 
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
@@ -43,3 +43,13 @@ class ChunkEncoder:
         if b"<|" not in text:  # else a special string could come about
             text = text.lower()
         return b"".join(map(self.memo.__getitem__, text.replace(b"\n", b" ").split(b" ")))
+
+
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
+
+
+def chunk_encoder(path: str, width: int) -> ChunkEncoder:
+    """The encoder of a worker process, whose memo later tasks find filled."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = ChunkEncoder(path, width)
+    return _ENCODERS[path, width]
