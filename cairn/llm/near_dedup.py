@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
         return _edges(found())
 
-    full = placed.join(source.withColumnRenamed("doc_id", "rep"), "rep").select("grp", "bi", "bj", "rep", "text").repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "rep")
+    # by shuffle at every size: what holds candidates grows with the documents
+    full = placed.join(source.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("grp", "bi", "bj", "rep", "text").repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "rep")
     links = full.mapInArrow(verify, "src long, dst long").distinct()
     copies = signed.join(classes.select("name", "rep"), "name").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     labels = connected_components(links.union(copies)).select(F.col("node").alias("doc_id"), "component")
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that of the least id; all columns stay."""
     gone = near_duplicates(docs, key=key, **options).where("not kept").select(F.col("doc_id").alias("gone_id_")).distinct()
-    return docs.join(gone, docs[key] == gone["gone_id_"], "left_anti")
+    return docs.hint("merge").join(gone, docs[key] == gone["gone_id_"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
