@@ -49,6 +49,22 @@ def append(df: DataFrame, added: str, each: Callable[[pa.RecordBatch], list[pa.A
     return map_batches(kept, one, schema)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(name: tuple, make: Callable):
+    """What ``make`` gives for ``name``, kept by the worker process between tasks.
+
+    A worker keeps one such table at a time: workers outlive the stages of a pipeline, and
+    what an earlier operator remembers must not add to the memory of a later one.
+    """
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        pa.default_memory_pool().release_unused()
+        _RESIDENT[name] = make()
+    return _RESIDENT[name]
+
+
 class Memo(dict):
     """A bounded memo of a pure function: emptied when full, so it saves time and never changes results."""
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.batches import Memo, append, raw, values, words
+from cairn.llm.batches import Memo, append, raw, resident, values, words
 from cairn.operators.components import connected_components
 from cairn.workspace import cut
 
@@ -35,12 +35,12 @@ _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64)
-_HASHES = Memo(lambda w: xxhash.xxh64_intdigest(w) - (1 << 63))
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
     found = words(text)
-    return np.fromiter(map(_HASHES.__getitem__, found), dtype=np.int64, count=len(found)).view(np.uint64)
+    hashes = resident(("word hashes",), lambda: Memo(lambda w: xxhash.xxh64_intdigest(w) - (1 << 63)))
+    return np.fromiter(map(hashes.__getitem__, found), dtype=np.int64, count=len(found)).view(np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

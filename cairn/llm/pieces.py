@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cairn.llm.batches import Memo, append, raw
+from cairn.llm.batches import Memo, append, raw, resident
 
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*").findall
@@ -68,7 +68,8 @@ class ChunkTable:
         return ids, self.first[chunks[0]] + "".join([r[1] for r in rows[1:]])
 
 
-_TABLES: dict[str, ChunkTable] = {}
+def chunk_table(model: str) -> ChunkTable:
+    return resident(("pieces", model), lambda: ChunkTable(model))
 
 
 def encode_decode(docs: DataFrame, model: str, *, text: str = "text") -> DataFrame:
@@ -79,11 +80,10 @@ def encode_decode(docs: DataFrame, model: str, *, text: str = "text") -> DataFra
     """
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        if model not in _TABLES:
-            _TABLES[model] = ChunkTable(model)
+        table = chunk_table(model)
         counts, ids_of, decoded = [], [], []
         for body in raw(batch, text):
-            ids, back = _TABLES[model].convert(body.decode() if body else "")
+            ids, back = table.convert(body.decode() if body else "")
             counts.append(len(ids) // 4)
             ids_of.append(ids)
             decoded.append(back)
@@ -96,11 +96,10 @@ def digests(docs: DataFrame, model: str, *, text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``; ids and texts never leave the worker."""
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        if model not in _TABLES:
-            _TABLES[model] = ChunkTable(model)
+        table = chunk_table(model)
         counts, first, second = [], [], []
         for body in raw(batch, text):
-            ids, back = _TABLES[model].convert(body.decode() if body else "")
+            ids, back = table.convert(body.decode() if body else "")
             counts.append(len(ids) // 4)
             first.append(hashlib.sha256(ids).hexdigest())
             second.append(hashlib.sha256(back.encode()).hexdigest())

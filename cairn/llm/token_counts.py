@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.batches import append, raw
+from cairn.llm.batches import append, raw, resident
 
 #: White space of Unicode, and the pre-token pattern of byte-level BPE.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -141,9 +141,6 @@ class TokenCounter:
         return out
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``; a null or empty text has neither.
 
@@ -152,9 +149,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", slice_b
     """
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        if tokenizer not in _COUNTERS:
-            _COUNTERS[tokenizer] = TokenCounter(tokenizer)
-        counter, texts, counts, at = _COUNTERS[tokenizer], raw(batch, text), [], 0
+        counter = resident(("token counts", tokenizer), lambda: TokenCounter(tokenizer))
+        texts, counts, at = raw(batch, text), [], 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size < slice_bytes):
