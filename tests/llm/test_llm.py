@@ -8,7 +8,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from cairn.llm import chat, decontamination, language, near_dedup, pieces, registry, sstable, suffix_dedup, token_counts, topk, toxicity  # noqa: E402
+from cairn.llm import chat, decontamination, language, near_dedup, pieces, registry, sstable, suffix_dedup, token_counts, tokens, topk, toxicity  # noqa: E402
 from cairn.workspace import fresh_dir  # noqa: E402
 
 ODD = [None, "", " ", "a", "a  b ", "\n\t", "é́ 日本 🙂", "x<|endoftext|>y <|startoftext|>", "▁ ▁▁b", "Of " * 300, "word " * 6 + "z" * 3000, "I'm 1234 don't!!  \n\n z", "</s>[INST] ok [/INST]"]
@@ -58,6 +58,27 @@ def test_shards_round_trip(spark, odd):
     assert len(found) == 2 and not any(sstable.open_shard(m.path).get(10**9) for m in manifest)
 
 
+def test_capitals_before_marks_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    marked = [f"{c}{m}" for c, m in zip("JTWYHEI", "\u030c\u0308\u030a\u030a\u0331\u0301\u0307", strict=True)]
+    texts = [*marked, *[f"Some TEXT {x}ohn, \n and A{x}. End" for x in marked], "J\u0323\u030c", "J \u030c", "J\u030c <|ENDOFTEXT|> J\u030c<|endoftext|>", "\u00dcBER M\u00c4RZ \u00c9t\u00e9", " ".join(marked)]
+    bpe = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    manifest = sstable.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fresh_dir(spark, "t"), P.path("word_bpe_49k.json"), None)
+    found = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in sstable.read_tokens(spark, manifest).collect()}
+    assert found == {i: bpe.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    name = P.path("byte_bpe_50k.json")
+    bpe, encode = Tokenizer.from_file(name), tokens.ChunkEncoder(name, 4)
+    assert encode.whole and tokens.ChunkEncoder(P.path("word_bpe_49k.json"), 2).whole is None
+    for text in filter(None, ODD):
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == bpe.encode(text, add_special_tokens=False).ids
+
+
 def test_block_search(tmp_path):
     writer = sstable.Writer((tmp_path / "s").open("wb"), 2)
     for i in range(0, 30000, 3):
