@@ -169,18 +169,58 @@ def deferred_key(uuid: Column) -> Column:
     return F.concat(F.lit("deferred:"), uuid)
 
 
-def promote_deferred(photos: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Arrivals ``(uuid, sha256, byte_size)`` of deferred photos.
+def _claims(photos: DataFrame, arrived: DataFrame) -> DataFrame:
+    """``claim_, to_, size_, stays_``: deferred rows whose original came, its content, and whether the row takes it.
 
-    Where the content is known already, the deferred row goes (its assets are repointed by ``repoint_assets``);
-    else it takes the content's identity and is queued anew.
+    A row stays if no photo has the content yet; of several such rows that of the least id does. Of several contents
+    of one uuid the row gets the least.
     """
-    known = photos.select("sha256", F.lit(True).alias("known_"))
-    moves = arrived.join(known, "sha256", "left").select(deferred_key(F.col("uuid")).alias("was_"), F.col("sha256").alias("to_"), F.col("byte_size").alias("size_"), "known_").dropDuplicates(["was_"])
-    met = photos.join(moves, photos["sha256"] == moves["was_"], "left").where("was_ is null or known_ is null")
-    hit = F.col("was_").isNotNull()
-    changes = {"sha256": F.col("to_"), "byte_size": F.col("size_"), "status": F.lit("queued"), "offloaded": F.lit(False), "derivative": F.lit(False)}
-    return update(met, hit, changes).select(*photos.columns)
+    came = arrived.where("sha256 is not null").groupBy(deferred_key(F.col("uuid")).alias("was_")).agg(F.min(F.struct("sha256", "byte_size")).alias("m_"))
+    met = photos.select(F.col("id").alias("claim_"), F.col("sha256").alias("was_")).join(came, "was_").select("claim_", F.col("m_.sha256").alias("to_"), F.col("m_.byte_size").alias("size_"))
+    known = photos.select(F.col("sha256").alias("to_"), F.lit(True).alias("known_"))
+    first = met.groupBy("to_").agg(F.min("claim_").alias("first_"))
+    return met.join(known, "to_", "left").join(first, "to_").select("claim_", "to_", "size_", (F.col("known_").isNull() & (F.col("claim_") == F.col("first_"))).alias("stays_"))
+
+
+def promote_deferred(photos: DataFrame, arrived: DataFrame, requeue: bool = True, now: str | None = None) -> DataFrame:
+    """Photos after arrivals ``(uuid, sha256, byte_size)``, originals that appeared on the disk.
+
+    Where the content is known already, the deferred row goes and the photo that has it is offloaded no longer;
+    else the deferred row takes the content's identity and is queued anew (done without ``requeue``); content
+    with neither becomes a new queued photo, first seen at ``now``. ``promote_arrivals`` does the other tables.
+    """
+    claims = _claims(photos, arrived)
+    contents = arrived.where("sha256 is not null").groupBy("sha256").agg(F.min("byte_size").alias("byte_size"))
+    met = photos.join(claims, photos["id"] == claims["claim_"], "left").join(contents.select(F.col("sha256").alias("back_")), photos["sha256"] == F.col("back_"), "left").where("claim_ is null or stays_")
+    changes = {"sha256": F.col("to_"), "byte_size": F.col("size_"), "status": F.lit("queued" if requeue else "done"), "derivative": F.lit(False), "attempts": F.lit(0)}
+    changes |= {c: F.lit(None) for c in ("error", "started_at", "finished_at")}
+    after = update(met, F.col("claim_").isNotNull(), {c: v for c, v in changes.items() if c in photos.columns})
+    after = update(after, F.col("claim_").isNotNull() | F.col("back_").isNotNull(), {"offloaded": F.lit(False)}).select(*photos.columns)
+    fresh = contents.join(claims.where("stays_").select(F.col("to_").alias("sha256")), "sha256", "left_anti")
+    given = {"status": F.lit("queued"), "attempts": F.lit(0), "first_seen_at": F.lit(now)} | {c: F.lit(False) for c in ("tiled", "gated", "hidden", "derivative", "offloaded")}
+    added = insert_new(photos, fresh, ["sha256"], ["sha256"]).withColumns(given)
+    return after.unionByName(added.select(*[(F.col(f.name) if f.name in added.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in photos.schema]))
+
+
+def promote_arrivals(tables: dict[str, DataFrame], arrived: DataFrame, requeue: bool = True, now: str | None = None) -> dict[str, DataFrame]:
+    """All tables after arrivals ``(uuid, sha256, byte_size, source_id, path, mtime)``.
+
+    Assets of deferred rows that go point to the photo that has their content; what else hangs on them goes too.
+    The place of each arrival is added, or replaces the place of its source and path.
+    """
+    photos = promote_deferred(tables["photos"], arrived, requeue, now)
+    owner = photos.select(F.col("id").alias("photo_id"), "sha256")
+    gone = _claims(tables["photos"], arrived).where("not stays_")
+    out = dict(tables)
+    if "photo_assets" in out:
+        to = gone.join(owner, gone["to_"] == owner["sha256"]).select("claim_", F.col("photo_id").alias("owner_"))
+        out["photo_assets"] = out["photo_assets"].join(to, F.col("photo_id") == F.col("claim_"), "left").withColumn("photo_id", F.coalesce("owner_", "photo_id")).select(*out["photo_assets"].columns)
+    out = purge(out, gone.select(F.col("claim_").alias("id"))) | {"photos": photos}
+    key = ["source_id", "path"]
+    placed = arrived.groupBy(*key).agg(F.min(F.struct("sha256", "mtime", F.col("byte_size").alias("size"))).alias("m_")).select(*key, "m_.*").join(owner, "sha256").drop("sha256")
+    moved = merge_by_key(out["locations"], placed, key, insert=False)
+    out["locations"] = moved.unionByName(insert_new(moved, placed, key, key), allowMissingColumns=True).select(*tables["locations"].columns)
+    return out
 
 
 def repoint_assets(assets: DataFrame, photos: DataFrame, arrived: DataFrame) -> DataFrame:

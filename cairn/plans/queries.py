@@ -234,6 +234,21 @@ _add(
     ).select("id", "status", "byte_size", "offloaded"),
     "SELECT id, CASE status WHEN 'deferred' THEN 'queued' ELSE status END AS status, CASE status WHEN 'deferred' THEN 7 ELSE byte_size END AS byte_size, status <> 'deferred' AS offloaded FROM photos",
 )
+#: Deferred photos come with new or with known content; known and unknown content comes without a deferred row.
+_ARRIVED = "CASE WHEN status = 'deferred' AND id % 20 = 3 THEN concat('new', id) WHEN status = 'deferred' THEN concat('c', id + 1) WHEN status = 'error' THEN concat('c', id) ELSE concat('fresh', id) END"
+_CAME = "status IN ('deferred', 'error', 'queued')"
+_add(
+    "promote_deferred_all",
+    lambda c: transitions.promote_deferred(
+        c.photos.withColumns({"sha256": F.expr("concat(CASE status WHEN 'deferred' THEN 'deferred:u' ELSE 'c' END, id)"), "offloaded": F.lit(True)}),
+        c.photos.where(_CAME).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("uuid"), F.expr(_ARRIVED).alias("sha256"), F.lit(7).cast("long").alias("byte_size")),
+    ).select("id", "sha256", "status", "attempts", "finished_at", "byte_size", "offloaded"),
+    """SELECT b.id, coalesce(a.sha256, b.sha256) AS sha256, CASE WHEN a.uuid IS NULL THEN status ELSE 'queued' END AS status, CASE WHEN a.uuid IS NULL THEN attempts ELSE 0 END AS attempts, CASE WHEN a.uuid IS NULL THEN finished_at END AS finished_at,
+    CASE WHEN a.uuid IS NULL THEN byte_size ELSE 7 END AS byte_size, a.uuid IS NULL AND b.sha256 NOT IN (SELECT sha256 FROM came) AS offloaded
+    FROM base b LEFT JOIN came a ON b.sha256 = 'deferred:' || a.uuid WHERE a.uuid IS NULL OR a.sha256 NOT IN (SELECT sha256 FROM base)
+    UNION ALL SELECT (SELECT max(id) FROM base) + row_number() OVER (ORDER BY sha256), sha256, 'queued', 0, NULL, 7, false FROM came WHERE sha256 NOT IN (SELECT sha256 FROM base) AND 'deferred:' || uuid NOT IN (SELECT sha256 FROM base)""",
+    f"base AS (SELECT id, concat(CASE status WHEN 'deferred' THEN 'deferred:u' ELSE 'c' END, id) AS sha256, status, attempts, finished_at, byte_size FROM photos), came AS (SELECT concat('u', id) AS uuid, {_ARRIVED} AS sha256 FROM photos WHERE {_CAME})",
+)
 _add("upsert_photos", lambda c: transitions.insert_new(c.photos.where("id % 2 = 0").select("id", "sha256"), c.photos.select("sha256"), ["sha256"], ["sha256"]).select("id", "sha256"), "SELECT (SELECT max(id) FROM photos WHERE id % 2 = 0) + row_number() OVER (ORDER BY sha256) AS id, sha256 FROM photos WHERE id % 2 = 1")
 _add("fill_dates", lambda c: transitions.fill_dates(c.photos, c.photos.select("id", F.lit("2020-01-01").cast("timestamp_ntz").alias("date_taken"))).select("id", "date_taken"), "SELECT id, coalesce(date_taken, TIMESTAMP '2020-01-01') AS date_taken FROM photos")
 _add("demote_offloaded", lambda c: transitions.demote_offloaded(c.photos.withColumn("offloaded", F.lit(False)), c.photos.where("id % 5 = 0").select("id")).select("id", "status", "offloaded"), "SELECT id, status, id % 5 = 0 AS offloaded FROM photos")

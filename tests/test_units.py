@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import normalize as N
+from cairn.operators import transitions
 from cairn.operators.cluster import hamming_pairs
 from cairn.operators.components import connected_components
 from cairn.operators.filters import parse_slice_date
@@ -82,3 +83,31 @@ def test_stream_equals_batch(spark, tmp_path):
     found = {r.photo_id: (r.event_id, r.n) for r in drain(spark, str(tmp_path / "log"), log.schema).collect()}
     known = [r for r in rows if r[3] in ("view", "click", "purchase")]
     assert found == {u: (max((r[1], r[0]) for r in known if r[2] == u)[1], sum(r[2] == u for r in known)) for u in range(3)}
+
+
+def test_arrivals_with_and_without_a_deferred_row(spark):
+    rows = [(1, "deferred:a", "deferred"), (2, "deferred:b", "deferred"), (3, "known", "done"), (4, "alone", "done"), (5, "deferred:c", "deferred"), (6, "other", "error"), (7, "deferred:d", "deferred")]
+    photos = spark.createDataFrame([(*r, 1, 3, "e", True, True) for r in rows], "id long, sha256 string, status string, byte_size long, attempts int, error string, derivative boolean, offloaded boolean")
+    photos = photos.withColumns({"finished_at": F.lit("2024-01-01").cast("timestamp_ntz"), "hidden": F.lit(False)})
+    locations = spark.createDataFrame([(10, 2, 1, "old", 0, 0), (11, 6, 1, "p3", 0, 0)], TABLES["locations"])
+    assets = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (1, "C", 5)], TABLES["photo_assets"])
+    came = [("a", "new", "p1"), ("b", "known", "p2"), ("x", "alone", "p3"), ("y", "fresh", "p4"), ("c", "new", "p5"), ("z", "fresh", "p6")]
+    arrived = spark.createDataFrame([(u, h, 7, 1, p, 9) for u, h, p in came], "uuid string, sha256 string, byte_size long, source_id long, path string, mtime long")
+    out = transitions.promote_arrivals({"photos": photos, "locations": locations, "photo_assets": assets}, arrived)
+    found = {r.id: (r.sha256, r.status, r.byte_size, r.attempts, r.error, r.derivative, r.offloaded, r.finished_at is None) for r in out["photos"].collect()}
+    queued = ("queued", 7, 0, None, False, False, True)
+    assert found == {
+        1: ("new", *queued), 3: ("known", "done", 1, 3, "e", True, False, False), 4: ("alone", "done", 1, 3, "e", True, False, False),
+        6: ("other", "error", 1, 3, "e", True, True, False), 7: ("deferred:d", "deferred", 1, 3, "e", True, True, False), 8: ("fresh", *queued),
+    }
+    assert sorted(tuple(r) for r in out["locations"].collect()) == [(11, 4, 1, "p3", 9, 7), *[(12 + i, o, 1, p, 9, 7) for i, (p, o) in enumerate([("p1", 1), ("p2", 3), ("p4", 8), ("p5", 1), ("p6", 8)])]]
+    assert {r.uuid: r.photo_id for r in out["photo_assets"].collect()} == {"A": 1, "B": 3, "C": 1}
+    assert {r.status for r in transitions.promote_deferred(photos, arrived, requeue=False).where("id = 1").collect()} == {"done"}
+
+
+def test_all_cases_of_arrivals_equal_sql(spark, sf, oracle, same):
+    from cairn.plans.queries import QUERIES, SQL
+
+    found = QUERIES["promote_deferred_all"](spark, sf)
+    same(found, oracle.sql(SQL["promote_deferred_all"]))
+    assert found.where("sha256 like 'fresh%'").count() and found.where("sha256 like 'c%' and not offloaded").count()
