@@ -65,11 +65,13 @@ _add("people_for_photo", lambda c: B.people_for_photo(c.tags, c.people, 4), "SEL
 _add("person_seeds_top3", lambda c: B.seeds(c.tags), "SELECT * FROM (SELECT person_id, photo_id, CAST(row_number() OVER (PARTITION BY person_id ORDER BY coalesce(updated_at, created_at) DESC, photo_id DESC) AS INTEGER) AS place FROM tags WHERE seed) WHERE place <= 3")
 _add("review_queue", lambda c: c.tags.where(F.col("present") & filters.review()).select("photo_id", "person_id", "confidence"), "SELECT photo_id, person_id, confidence FROM tags WHERE present AND origin = 'model' AND confidence < 0.6")
 _add("people_candidates", lambda c: B.people_candidates(c.photos, c.people.where("id < 1"), c.tags), f"SELECT id FROM photos p WHERE {_VISIBLE} AND status <> 'deferred' AND EXISTS (SELECT 1 FROM people q WHERE q.id < 1 AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.photo_id = p.id AND t.person_id = q.id))")
+_add("people_candidates_all", lambda c: B.people_candidates(c.photos, c.people, c.tags), f"SELECT id FROM photos p WHERE {_VISIBLE} AND status <> 'deferred' AND EXISTS (SELECT 1 FROM people q WHERE NOT EXISTS (SELECT 1 FROM tags t WHERE t.photo_id = p.id AND t.person_id = q.id))")
 
 # joins
 
 _add("missing_embeddings", lambda c: B.missing_embeddings(c.photos, c.embeddings, D.MODEL), f"SELECT id FROM photos p WHERE {_VISIBLE} AND NOT EXISTS (SELECT 1 FROM photo_embeddings e WHERE e.photo_id = p.id AND model = 'demo')")
 _add("orphan_photos", lambda c: B.orphans(c.photos, c.locations.where("id % 3 = 0")), "SELECT id FROM photos p WHERE NOT EXISTS (SELECT 1 FROM locations l WHERE l.photo_id = p.id AND l.id % 3 = 0)")
+_add("orphan_photos_all", lambda c: B.orphans(c.photos, c.locations), "SELECT id FROM photos p WHERE NOT EXISTS (SELECT 1 FROM locations l WHERE l.photo_id = p.id)")
 _add("orphan_cache_files", lambda c: B.orphan_files(c.embeddings.select((F.col("photo_id") * 3).alias("id"), F.col("photo_id").alias("length")), c.photos), "SELECT count(*) AS files, CAST(coalesce(sum(photo_id), 0) AS BIGINT) AS bytes FROM photo_embeddings e WHERE NOT EXISTS (SELECT 1 FROM photos p WHERE p.id = e.photo_id * 3)")
 _add("locations_with_sources", lambda c: B.locations_with_sources(c.locations, c.sources), "SELECT l.id, photo_id, path, kind, uri FROM locations l JOIN sources s ON s.id = l.source_id")
 _add("photo_paths_array", lambda c: B.paths(c.locations).select("id", F.array_join("paths", "\x1f").alias("paths")), "SELECT photo_id AS id, string_agg(path, chr(31) ORDER BY id) AS paths FROM locations GROUP BY photo_id")

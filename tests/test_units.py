@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import normalize as N
-from cairn.operators import transitions
+from cairn.operators import browse, transitions
 from cairn.operators.cluster import hamming_pairs
 from cairn.operators.components import connected_components
 from cairn.operators.filters import parse_slice_date
@@ -111,3 +111,19 @@ def test_all_cases_of_arrivals_equal_sql(spark, sf, oracle, same):
     found = QUERIES["promote_deferred_all"](spark, sf)
     same(found, oracle.sql(SQL["promote_deferred_all"]))
     assert found.where("sha256 like 'fresh%'").count() and found.where("sha256 like 'c%' and not offloaded").count()
+
+
+def test_candidates_lack_some_person_and_orphans_every_place(spark):
+    photos = spark.createDataFrame([(i, "deferred" if i == 6 else "done", i == 5) for i in range(1, 7)], "id long, status string, hidden boolean").withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
+    people = spark.createDataFrame([(0,), (1,), (2,)], "id long")
+    tags = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 0), (2, 2), (3, 0), (3, 9), (3, 8)], "photo_id long, person_id long")
+    assert {r.id for r in browse.people_candidates(photos, people, tags).collect()} == {2, 3, 4}
+    places = spark.createDataFrame([(i, i % 4 + 1) for i in range(1, 8)], "id long, photo_id long")
+    assert {r.id for r in browse.orphans(photos, places).collect()} == {5, 6}
+
+
+@pytest.mark.parametrize("name", ["people_candidates_all", "orphan_photos_all"])
+def test_whole_tables_equal_sql(name, spark, sf, oracle, same):
+    from cairn.plans.queries import QUERIES, SQL
+
+    same(QUERIES[name](spark, sf), oracle.sql(SQL[name]))
