@@ -177,7 +177,7 @@ _hashes("duplicate_keep_largest", lambda h: cluster.duplicates(h, 16), "SELECT c
 
 # scalar functions
 
-_add("normalize_category", lambda c: c.photos.select("id", N.category(F.concat(F.lit("  "), F.substring("text", 1, 60))).alias("category")), r"SELECT id, CASE WHEN c = '' THEN 'other' ELSE c END AS category FROM (SELECT id, trim(substring(trim(regexp_replace(lower('  ' || substring(text, 1, 60)), '\s+', ' ', 'g')), 1, 40)) AS c FROM photos)")
+_add("normalize_category", lambda c: c.photos.select("id", N.category(F.concat(F.lit("  "), F.col("text"))).alias("category")), r"SELECT id, CASE WHEN c = '' THEN 'other' ELSE c END AS category FROM (SELECT id, trim(substring(trim(regexp_replace(lower('  ' || substring(text, 1, 60)), '\s+', ' ', 'g')), 1, 40)) AS c FROM photos)")
 _add("snippet_text", lambda c: c.photos.select("id", N.snippet(F.col("text")).alias("snippet")), r"SELECT id, CASE WHEN length(f) <= 220 THEN f ELSE regexp_replace(substring(f, 1, 220), ' [^ ]*$', '') || ' ...' END AS snippet FROM (SELECT id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM photos)")
 _add("basename", lambda c: c.locations.select("id", N.basename(F.col("path")).alias("name")), "SELECT id, string_split(path, '/')[-1] AS name FROM locations")
 _add("parse_box", lambda c: c.tags.select("photo_id", N.parse_box(F.when(F.col("photo_id") % 2 == 0, F.col("box")).otherwise("1,2,0,4"))["w"].alias("w")), "SELECT photo_id, CASE WHEN photo_id % 2 = 0 AND box IS NOT NULL THEN 30 END::INTEGER AS w FROM tags")

@@ -127,3 +127,11 @@ def test_whole_tables_equal_sql(name, spark, sf, oracle, same):
     from cairn.plans.queries import QUERIES, SQL
 
     same(QUERIES[name](spark, sf), oracle.sql(SQL[name]))
+
+
+def test_category_is_that_of_the_whole_text(spark, tmp_path):
+    from cairn.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, f"{' ' * 70}\n{'Blue ' * 20}"), (2, f"One{' ' * 60}Two")], "doc_id long, text string").selectExpr("*", "'en' as lang", "'src1' as source", "9L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert dict(QUERIES["normalize_category"](spark, str(tmp_path)).select("id", "category").collect()) == {1: ("blue " * 8).strip(), 2: "one two"}
