@@ -3,8 +3,9 @@
 A term of a query is a dimension on the side of its sign; its postings are the candidates with a component
 on that side, and its bound is the largest contribution of these in the shard. Terms ordered by bound split
 in two: the longest run of least bounds that together stay below the query's threshold is
-non-essential, for a candidate in those postings alone cannot get in. Essential postings are traversed, all
-queries of a block at once; candidates whose essential part plus the bound of the rest still reaches the
+non-essential, for a candidate in those postings alone cannot get in. Vectors are dense, so no posting is stored or
+skipped: the essential part is one product of all queries of a block with all candidates of a step, with
+non-essential dimensions set to 0; candidates whose essential part plus the bound of the rest still reaches the
 threshold are probed in the other dimensions. The threshold is the k-th best score so far.
 Shards' results are merged by score and id.
 """
