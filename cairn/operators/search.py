@@ -147,10 +147,13 @@ def match(photos: DataFrame, query: str, where: Column | None = None) -> DataFra
     return found.withColumn("rank", rank)
 
 
-def search(photos: DataFrame, query: str, *, limit: int = 50, offset: int = 0, category: str | None = None, include_hidden: bool = False, where: Column | None = None) -> DataFrame:
-    """The best matches among rows not trashed; ties by id."""
+def search(photos: DataFrame, query: str, *, limit: int | None = 50, offset: int = 0, category: str | None = None, include_hidden: bool = False, where: Column | None = None) -> DataFrame:
+    """The best matches among rows not trashed, ties by id; without a limit all of them, in no order unless some are skipped."""
     shown = every(alive() if include_hidden else visible(), F.col("category") == category if category else None, where)
-    return match(photos, query, shown).select("id", "rank").orderBy("rank", "id").offset(offset).limit(limit)
+    found = match(photos, query, shown).select("id", "rank")
+    if limit is None:
+        return found.orderBy("rank", "id").offset(offset) if offset else found
+    return found.orderBy("rank", "id").offset(offset).limit(limit)
 
 
 def search_count(photos: DataFrame, query: str, *, category: str | None = None, include_hidden: bool = False) -> DataFrame:

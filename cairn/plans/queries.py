@@ -124,13 +124,14 @@ def _fts(name: str, query: str, scored: list[tuple[str, str]], condition: str, w
     part = [f"CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{i} + 0.5) / (d{i} + 0.5)) END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(scored))]
     more = f"{_TOKENS}, tf AS (SELECT *, {tf} FROM tok), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl, {df} FROM tf)"
     rank = f"-({' + '.join(part)})"
-    _add(name, lambda c: search.search(c.photos, query, limit=limit, **options).select("id", F.round("rank", 6).alias("rank")), f"SELECT id, round({rank}, 6) AS rank FROM tf, st WHERE {where} AND {condition} ORDER BY {rank}, id LIMIT {limit}", more)
+    _add(name, lambda c: search.search(c.photos, query, limit=None if limit == _ALL_ROWS else limit, **options).select("id", F.round("rank", 6).alias("rank")), f"SELECT id, round({rank}, 6) AS rank FROM tf, st WHERE {where} AND {condition} ORDER BY {rank}, id LIMIT {limit}", more)
 
 
 def _same(*terms: str) -> list[tuple[str, str]]:
     return [(t, t) for t in terms]
 
 
+#: In SQL only: these queries return all matches, in no order.
 _ALL_ROWS = 100_000_000
 _fts("fts_term", "with", _same(_term("with")), "f0 > 0", limit=_ALL_ROWS)
 _fts("fts_and", "with from", _same(_term("with"), _term("from")), "f0 > 0 AND f1 > 0", limit=_ALL_ROWS)

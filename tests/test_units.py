@@ -135,3 +135,11 @@ def test_category_is_that_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, f"{' ' * 70}\n{'Blue ' * 20}"), (2, f"One{' ' * 60}Two")], "doc_id long, text string").selectExpr("*", "'en' as lang", "'src1' as source", "9L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert dict(QUERIES["normalize_category"](spark, str(tmp_path)).select("id", "category").collect()) == {1: ("blue " * 8).strip(), 2: "one two"}
+
+
+def test_all_matches_come_without_a_cap(spark, sf):
+    from cairn.plans.queries import QUERIES, SQL
+
+    for name in [n for n, sql in SQL.items() if n.startswith("fts_") and sql.endswith("LIMIT 100000000")]:
+        assert not any(x in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString() for x in ("Limit", "Sort ")), name
+    assert "Limit" in QUERIES["fts_topk"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
