@@ -275,10 +275,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class, that of the least id; all columns stay."""
-    gone = near_duplicates(docs, key=key, **options).where("not kept").select(F.col("doc_id").alias("gone_id_")).distinct()
-    return docs.hint("merge").join(gone, docs[key] == gone["gone_id_"], "left_anti")
+def _one_text_an_id(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with a ``row_`` that ascends with the id and differs between texts; of rows equal in id and text one stays."""
+    marked = docs.withColumn("text_hash_", F.xxhash64(text))
+    pairs = marked.where(F.col(key).isNotNull()).select(F.col(key).alias("key_"), F.col("text_hash_").alias("hash_")).distinct()
+    numbered = cut(pairs.repartitionByRange("key_", "hash_").sortWithinPartitions("key_", "hash_").withColumn("row_", F.monotonically_increasing_id()), "rows")
+    met = marked.hint("merge").join(numbered, (F.col(key) == F.col("key_")) & (F.col("text_hash_") == F.col("hash_")), "left").drop("key_", "hash_", "text_hash_")
+    return cut(met.where("row_ is not null").dropDuplicates(["row_"]).unionByName(met.where("row_ is null")), "texts")
+
+
+def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate class, that of the least id; all columns stay.
+
+    Where ids repeat, each text of an id is a document of its own, and rows equal in id and text are one.
+    """
+    names = docs.columns
+    if not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        docs, key = _one_text_an_id(docs, key, text), "row_"
+    gone = near_duplicates(docs, key=key, text=text, **options).where("not kept").select(F.col("doc_id").alias("gone_id_")).distinct()
+    return docs.hint("merge").join(gone, docs[key] == gone["gone_id_"], "left_anti").select(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

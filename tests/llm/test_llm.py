@@ -110,6 +110,15 @@ def test_near_dedup_equals_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ids_that_repeat_lose_no_clean_text(spark):
+    base, clean, other = (" ".join(f"{c}{x}" for x in range(60)) for c in "bco")
+    rows = [(1, base), (2, base + " end"), (2, clean), (3, other), (3, other), (None, other), (4, None), (4, None), (4, ""), (5, other + " end"), (0, "few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as runs")
+    found = near_dedup.deduplicate(df)
+    assert found.columns == df.columns
+    assert sorted([(r.doc_id, r.text) for r in found.collect()], key=str) == sorted([(1, base), (2, clean), (3, other), (None, other), (4, None), (4, ""), (0, "few words")], key=str)
+
+
 def test_blocks_lose_nothing(spark, monkeypatch):
     for name, size in (("LIST_BLOCK", 4), ("GROUP_BLOCK", 3)):
         monkeypatch.setattr(near_dedup, name, size)
