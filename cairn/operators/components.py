@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.workspace import cut
+from cairn.operators.joins import spread_join
+from cairn.workspace import cut_to, remove
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, edges: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the least v among the ``edges`` of u; no task gets all edges of a hub."""
+    return spread_join(rows, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", "n", total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    met = _with_least(both.where("v > u"), both, 2 * total)
+    return met.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))  # what repeats there goes in the small star
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect the smaller neighbours of a node, and the node, to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    met = edges.join(least, "u")
-    moved = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    met = _with_least(edges, edges, total)
+    return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,19 +32,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Nodes are of any orderable type. Null ends and loops are no edges; repeated edges count once; an
     empty table gives an empty result. Each round is two equi-joins on the node, with its
-    minimum pre-aggregated before the shuffle, and its edges are cut to the shared folder; rounds
-    grow with the logarithm of the longest path, and no edge ever reaches the driver.
+    minimum pre-aggregated before the shuffle and those of hubs broadcast, and its edges are cut to the shared folder,
+    where those of the round before go; rounds grow with the logarithm of the longest path, and no edge ever reaches
+    the driver.
     """
-    now = cut(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-        .where("u <> v")
-        .distinct(),
-        "edges",
-    )
+    spark = edges.sparkSession
+    pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    now, path = cut_to(pairs.where("u <> v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        now = cut(_small_star(_large_star(now)), "edges")
+        larger, between = cut_to(_large_star(now, state[0]), "edges")
+        following, after = cut_to(_small_star(larger, state[0]), "edges")
+        remove(spark, path)
+        remove(spark, between)
+        now, path = following, after
         before, state = state, _state(now)
         if state == before:
             break

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Paths that this process has written and not removed.
+_WRITTEN: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test session) is a folder of this machine set,
-    because there driver and executors are one process.
+    Only where the session names none and runs in one process (a local test session) is a folder of this machine
+    set; on a cluster that is an error, because executors would not see each other's files.
     """
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set {SETTING} to a folder that all machines of {master} share")
     own = tempfile.mkdtemp(prefix="cairn-")
     spark.conf.set(SETTING, own)
     return own
@@ -26,11 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that no other call gets; nothing is created there yet."""
-    return f"{shared_dir(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = None
+    return path
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def cut_to(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a Parquet table in the shared folder and read it back; also the table's path.
 
     The reread table has no lineage, is computed once however often it is used, and is there
     for every executor after any other is lost.
@@ -38,4 +47,26 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """The table of ``cut_to`` alone."""
+    return cut_to(df, tag)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_dir`` named; no plan that is still to run may read it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.pop(path, None)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end what was written within, but the paths that are put into the list it gives."""
+    before, kept = set(_WRITTEN), []
+    yield kept
+    for path in [p for p in _WRITTEN if p not in before and p not in kept]:
+        remove(spark, path)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import normalize as N
-from cairn.operators import browse, transitions
+from cairn.operators import browse, joins, transitions
 from cairn.operators.cluster import hamming_pairs
 from cairn.operators.components import connected_components
 from cairn.operators.filters import parse_slice_date
@@ -19,6 +19,23 @@ def test_components_chain_star_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_hubs_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(200, 230)] + [(230, 59), (300, 301)]
+    found = dict(connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())
+    assert found == {n: 300 if n > 299 else 0 for n in {x for e in edges for x in e}}
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cairn.workspace import shared_dir
+
+    context = SimpleNamespace(master="yarn", getConf=lambda: {})
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
 @pytest.mark.parametrize("query", ["", "AND", "a NOT", "OR OR", '"x', ".", "zz:q", "foo-bar", "a AND"])
 def test_syntax_errors(query):
     with pytest.raises(QuerySyntaxError):
