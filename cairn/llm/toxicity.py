@@ -24,6 +24,8 @@ BITS = 18
 #: Most labelled rows of each class that are fitted.
 ROWS_PER_CLASS = 4000
 EPOCHS = 4
+#: Most bytes of features that the driver takes.
+SAMPLE_BYTES = 128 << 20
 #: Odd multipliers that mix two word hashes.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _HASHES = Memo(lambda w: xxhash.xxh64_intdigest(w) - (1 << 63))
@@ -44,23 +46,45 @@ def features(text: bytes | None) -> np.ndarray:
     return np.unique((mixed * a) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", rows_per_class: int = ROWS_PER_CLASS, epochs: int = EPOCHS):
-    """``(places, values, bias)`` fitted on at most ``rows_per_class`` rows of either class, drawn by hash.
+def draw(labels: DataFrame, *, key: str = "doc_id", label: str = "label", rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
+    """``key_, y, place``: at most ``rows_per_class`` ids of either class, those with the least hashes.
 
-    ``labelled`` has a key, a text and a label of 0 or 1; rows with a null label teach nothing. Without
+    Only ids and labels are looked at. Null ids and labels that are not 0 or 1 teach nothing; an id with several labels has
+    the largest.
+    """
+    named = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key_")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    placed = named.withColumn("place", F.xxhash64(F.col("key_").cast("string"), F.lit("toxicity")))
+    either = [placed.where(F.col("y") == y).orderBy("place", "key_").limit(rows_per_class) for y in (0, 1)]
+    return either[0].unionByName(either[1])
+
+
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", rows_per_class: int = ROWS_PER_CLASS, epochs: int = EPOCHS, sample_bytes: int = SAMPLE_BYTES):
+    """``(places, values, bias)`` fitted on the texts of at most ``rows_per_class`` labelled ids of either class.
+
+    The ids are drawn from ``labels`` alone and broadcast (16 bytes each, so 128 kB at most), so no text is
+    shuffled but those that are learned. Executors turn these into features; the driver takes them in the order of the
+    draw until they fill ``sample_bytes``. Of rows with one id the least text is learned; null texts teach the bias. Without
     rows all weights are 0 and every score is 0.5.
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    draw = F.pmod(F.xxhash64("k", F.lit("toxicity")), F.lit(1 << 40))
-    share = [min(1.0, 1.3 * rows_per_class / max(counts.get(y, 0), 1)) for y in (0, 1)]
-    limit = F.when(F.col("y") == 0, F.lit(int(share[0] * (1 << 40)))).otherwise(F.lit(int(share[1] * (1 << 40))))
-    drawn = sorted(rows.where(draw < limit).select("y", "t", draw.alias("d"), F.xxhash64("t").alias("h")).toLocalIterator(), key=lambda r: (r["y"], r["d"], r["h"]))
-    examples, taken = [], [0, 0]
-    for r in drawn:
-        if taken[r["y"]] < rows_per_class:
-            taken[r["y"]] += 1
-            examples.append((features(r["t"].encode() if r["t"] else None), r["y"]))
+    drawn = draw(labels, key=key, label=label, rows_per_class=rows_per_class)
+    met = docs.select(F.col(key).alias("key_"), F.col(text).alias("t")).join(F.broadcast(drawn), "key_")
+    rows = met.groupBy("key_", "y", "place").agg(F.min("t").alias("t")).select("key_", "y", "place", "t")
+
+    def each(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([features(t).astype("<i4").tobytes() for t in raw(batch, "t")], pa.binary())]
+
+    learned = append(rows, "found binary", each).select("y", "place", "found").orderBy("place", "y")
+    examples, size = [], 0
+    for r in learned.toLocalIterator():
+        size += len(r["found"])
+        if size > sample_bytes:
+            break
+        examples.append((np.frombuffer(r["found"], "<i4").astype(np.int64), r["y"]))
+    return fit(examples, epochs)
+
+
+def fit(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights learned from (feature places, label), in an order that a fixed seed shuffles for each epoch."""
     model, rng = Ftrl(1 << BITS), np.random.default_rng(11)
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
@@ -74,7 +98,8 @@ _DENSE: dict = {}
 def score(docs: DataFrame, model, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, 0 to 1, of each whole text; null and empty texts get the bias alone.
 
-    Rows do not influence each other; a column named ``score`` gives way.
+    Rows do not influence each other, so repeated ones score alike; a column named ``score`` gives way; an empty
+    table gives an empty result.
     """
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
@@ -93,7 +118,7 @@ def score(docs: DataFrame, model, *, text: str = "text") -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: labels of two thirds of the documents are learned, all documents are scored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = train(docs.join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 3, 1))
+    model = train(docs, labels, label="toxic")
     found = score(docs, model)
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
