@@ -36,6 +36,8 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.
 BITS = 13
 #: Most labelled rows of one language that are fitted.
 ROWS_PER_LANGUAGE = 500
+#: Most rows of all languages, which bounds the matrix on the driver (32 kB a row), and most languages.
+MOST_ROWS, MOST_LANGUAGES = 8000, 400
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 
@@ -84,18 +86,24 @@ class Hierarchy:
         return out
 
 
-def fit(texts: list[bytes], langs: list[str]) -> Hierarchy:
-    """Fit all pairs; languages of the table's families are told apart within them only."""
+def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature places of a text, ascending, and the share of each; at most ``2 ** BITS`` however long the text."""
+    places, _ = gram_places([text])
+    found, times = np.unique(places, return_counts=True)
+    return found, times / places.size
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Hierarchy:
+    """Fit all pairs on rows of ``grams``; languages of the table's families are told apart within them only."""
     members: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         members.setdefault(f"family:{_FAMILY.get(lang.lower(), lang)}", []).append(lang)
     model = Hierarchy(members)
     family_of = {lang: family for family, many in members.items() for lang in many}
-    x = np.zeros((len(texts), (1 << BITS) + 1), dtype=np.float32)
-    for i, t in enumerate(texts):
-        places, _ = gram_places([t])
-        x[i, :-1] = np.bincount(places.ravel(), minlength=1 << BITS) / places.size
-    scale = 1.0 / max(float(np.mean(np.linalg.norm(x, axis=1))), 1e-9) if len(texts) else 1.0
+    x = np.zeros((len(rows), (1 << BITS) + 1), dtype=np.float32)
+    for i, (places, shares) in enumerate(rows):
+        x[i, places] = shares
+    scale = 1.0 / max(float(np.mean(np.linalg.norm(x, axis=1))), 1e-9) if rows else 1.0
     x *= scale
     x[:, -1] = 1.0
     languages, families = np.array(langs), np.array([family_of[lang] for lang in langs])
@@ -103,42 +111,56 @@ def fit(texts: list[bytes], langs: list[str]) -> Hierarchy:
     tasks += [(a, b, languages) for many in members.values() for a, b in combinations(many, 2)]
     columns = []
     for a, b, names in tasks:
-        rows = np.flatnonzero((names == a) | (names == b))
+        some = np.flatnonzero((names == a) | (names == b))
         model.pairs.append((a, b))
-        columns.append(linear_svm(x[rows], np.where(names[rows] == a, 1.0, -1.0)))
+        columns.append(linear_svm(x[some], np.where(names[some] == a, 1.0, -1.0)).astype(np.float32))
     if columns:
-        w = np.stack(columns, axis=1)
+        w = np.stack(columns, axis=1).astype(np.float64)
         model.weights, model.bias = np.ascontiguousarray(w[:-1] * scale), w[-1]
     return model
 
 
-def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> Hierarchy:
-    """Fit on at most ``rows_per_language`` rows of each language, those with the least hash of ``key`` and text.
+def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS, most_languages: int = MOST_LANGUAGES) -> Hierarchy:
+    """Fit on at most ``rows_per_language`` rows of each language, ``most_rows`` in all, drawn by hash.
 
-    Rows without a language or a letter teach nothing. Languages are counted first, so that about as
-    many rows as are used leave the executors, and rare languages are not lost among frequent ones.
+    The ``most_languages`` most frequent languages are learned (ties by name). Rows without a language or a letter teach
+    nothing. Languages are counted first, so that about as many rows as are used leave the executors, as gram shares
+    whose size doesn't grow with the text. The hash is of key, text and the row's place, so that rows with null or equal
+    keys are drawn one by one.
     """
-    labelled = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null and t <> ''")
-    counts = {r["l"]: r["count"] for r in rows.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().collect()}
+    named = rows.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages)
+    counts = {r["l"]: r["count"] for r in named.collect()}
     if not counts:
         return Hierarchy({})
-    draw = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("language")), F.lit(1 << 40))
-    share = {name: min(1.0, 1.3 * rows_per_language / n) for name, n in counts.items()}
-    limit = F.coalesce(*[F.when(F.col("l") == name, F.lit(int(s * (1 << 40)))) for name, s in share.items()])
-    drawn = labelled.where(draw < limit).select("l", "t", draw.alias("d"), F.xxhash64("t").alias("h"))
+    most = max(2, min(rows_per_language, most_rows // len(counts)))
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 40))
+    labelled = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), draw.alias("d")).where("l is not null and t is not null and t <> ''")
+    limits = F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*[F.lit(int(min(1.0, (1.3 * most + 30) / n) * (1 << 40))) for n in counts.values()]))
+    drawn = labelled.where(F.col("d") < F.try_element_at(limits, F.col("l")))
+
+    def each(batch: pa.RecordBatch) -> list[pa.Array]:
+        places, shares = [], []
+        for body in raw(batch, "t"):
+            found = grams(body) if _LETTER(body.decode()) else None
+            places.append(found and found[0].astype("<u2").tobytes())
+            shares.append(found and found[1].astype("<f4").tobytes())
+        return [pa.array(places, pa.binary()), pa.array(shares, pa.binary())]
+
+    learned = append(drawn, "places binary, shares binary", each).select("l", "d", "places", "shares").where("places is not null")
     kept: dict[str, list] = {}
-    for r in sorted(drawn.toLocalIterator(), key=lambda r: (r["l"], r["d"], r["h"])):
+    for r in sorted(learned.toLocalIterator(), key=lambda r: (r["l"], r["d"], r["places"], r["shares"])):
         mine = kept.setdefault(r["l"], [])
-        if len(mine) < rows_per_language and _LETTER(r["t"]):
-            mine.append(r["t"].encode())
-    return fit([t for name in sorted(kept) for t in kept[name]], [name for name in sorted(kept) for _ in kept[name]])
+        if len(mine) < most:
+            mine.append((np.frombuffer(r["places"], "<u2").astype(np.intp), np.frombuffer(r["shares"], "<f4")))
+    return fit([x for name in sorted(kept) for x in kept[name]], [name for name in sorted(kept) for _ in kept[name]])
 
 
 def identify(docs: DataFrame, model: Hierarchy, *, text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of each whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Rows do not
-    influence each other; columns named like a result give way.
+    influence each other, so repeated ones get the same; columns named like a result give way; an empty table gives
+    an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
