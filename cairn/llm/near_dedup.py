@@ -7,10 +7,10 @@ in the prefix and collide in at least ``coordinates - prefix + 1`` places. Only
 under (coordinate, value); the other lists are never merged but skipped, and their
 collisions are counted by probing the pair's signatures.
 
-Lists stay whole but no task needs all of one: a list or group beyond a block is dealt out as pairs of
-blocks. Out of each comes a spanning forest of what it found, never all pairs of a group:
-first of pairs over the match threshold, whose components are candidate groups; then, with the full sets
-of such a group side by side, of pairs that are similar by exact count.
+Lists stay whole but no task needs all of one: rows of a frequent key never meet by key, and a list beyond a block is
+dealt out as pairs of blocks. Out of each comes a spanning forest of the pairs over the match threshold, never all pairs
+of a group; its components are candidate groups. There pairs are confirmed by exact count on full sets of hashed shingles,
+and only what stays outside the largest component of a group is compared with all of it.
 """
 
 from __future__ import annotations
@@ -21,16 +21,19 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.batches import Memo, append, raw, resident, values, words
 from cairn.operators.components import connected_components
+from cairn.operators.joins import hot_limit, spread_join
 from cairn.workspace import cut
 
 WORDS, COORDINATES, MISS = 5, 64, 1e-6
 #: Rows of a posting list, documents of a group, and shingles of a group in one block.
-LIST_BLOCK, GROUP_BLOCK, SHINGLE_BLOCK = 2048, 768, 1_500_000
+LIST_BLOCK, GROUP_BLOCK, SHINGLE_BLOCK = 2048, 512, 1_000_000
+#: Posting rows for each task that merges lists; its work grows faster than its bytes.
+LIST_ROWS = 16_384
 _RNG = np.random.default_rng(20240229)
 _ODD = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = _RNG.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,22 +139,45 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
 
 
 def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key another row has too; holds one row between batches."""
+    """Of rows (key, rep, hot) sorted by key, those that are hot or whose key another row has too; holds one row between batches."""
     last_key = last_rep = None
     given = True
     for batch in batches:
-        key, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        key, rep, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(key):
             continue
         again = np.append(last_key is not None and key[0] == last_key, key[1:] == key[:-1])
         more = np.append(key[:-1] == key[1:], False)
-        take = again | more
-        out_key, out_rep = key[take], rep[take]
+        take = again | more | hot
+        out = [key[take], rep[take], hot[take]]
         if again[0] and not given:
-            out_key, out_rep = np.append(last_key, out_key), np.append(last_rep, out_rep)
-        last_key, last_rep, given = key[-1], rep[-1], bool(again[-1])
-        if len(out_key):
-            yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_rep)], names=["key", "rep"])
+            out = [np.append(x, y) for x, y in zip((last_key, last_rep, hot[0]), out, strict=True)]
+        last_key, last_rep, given = key[-1], rep[-1], bool(take[-1])
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(bool))], names=["key", "rep", "hot"])
+
+
+#: One owner in so many shows which keys are hot.
+SAMPLED = 16
+
+
+def in_sample(owner: Column) -> Column:
+    return F.pmod(F.xxhash64(owner, F.lit("hot keys")), F.lit(SAMPLED)) == 0
+
+
+def repeated_keys(rows: DataFrame, sample: DataFrame) -> DataFrame:
+    """``key, rep, hot``: the ``rows`` (key, rep) whose key at least one other row has.
+
+    ``sample`` holds the rows of one owner in ``SAMPLED`` and only decides how rows travel: keys with
+    many rows there are broadcast (fewer than ``SAMPLED * HOT_SHARE`` longs, 6.4 MB, at any size), and
+    their rows, which are repeated for certain, are dealt out by owner; all others meet by key.
+    """
+    few = cut(sample, "sample")
+    least = hot_limit(SAMPLED * few.count()) // SAMPLED
+    hot = F.broadcast(few.groupBy("key").count().where(F.col("count") > max(1, least)).select("key", F.lit(True).alias("hot")))
+    marked = rows.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    by = F.when(F.col("hot"), F.xxhash64("rep")).otherwise(F.col("key"))
+    return marked.select("key", "rep", "hot").repartition(by).sortWithinPartitions("key").mapInArrow(_drop_single, "key long, rep long, hot boolean")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
@@ -191,23 +217,19 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
 
-def _in_blocks(rows: DataFrame, blocks, *key: str) -> DataFrame:
-    """Each row once for every pair of blocks of its key that its own block is in."""
-    own = F.pmod(F.xxhash64("rep"), F.col("nb"))
-    dealt = rows.withColumn("nb", blocks.cast("int")).withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return dealt.select(*key, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), *[c for c in rows.columns if c not in (*key, "nb")])
+def _blocks(count: Column, shingles_: Column | None = None) -> Column:
+    """How many blocks so many documents with so many shingles take."""
+    by_count = F.ceil(count / GROUP_BLOCK)
+    return F.greatest(by_count, F.lit(1) if shingles_ is None else F.ceil(shingles_ / SHINGLE_BLOCK), F.lit(1)).cast("int")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, size: int = WORDS, coordinates: int = COORDINATES, miss: float = MISS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row for each row of ``docs``.
+def _block_pairs(own: Column, blocks: Column) -> Column:
+    """Both ends of every pair of blocks that ``own`` is in."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other.cast("int")).alias("bi"), F.greatest(own, other.cast("int")).alias("bj")))
 
-    Documents are linked where den * intersection >= num * union of their shingle sets; component_id is
-    the least id reachable, ``kept`` marks the document that has it. Null and empty texts have no
-    shingles and no links. Rows of one id are one document with several texts, each of which may link;
-    a row with a null id is linked with nothing and kept. An empty table gives an empty result.
-    """
-    k, p = coordinates, prefix_length(coordinates, num / den, miss)
-    least = k - p + 1
+
+def _signatures(source: DataFrame, k: int, size: int) -> DataFrame:
+    """``doc_id, n_shingles, name, sign``: how many shingles a text has, a digest of their set, and its minima."""
 
     def sign(batch: pa.RecordBatch) -> list[pa.Array]:
         counts, names, signs = [], [], []
@@ -218,9 +240,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             signs.append(signature(found, k).tobytes() if len(found) else None)
         return [pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())]
 
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(append(source, "n_shingles long, name binary, sign binary", sign).drop("text"), "signatures")
-    classes = cut(signed.where("doc_id is not null and name is not null").groupBy("name", "n_shingles", "sign").agg(F.min("doc_id").alias("rep")), "classes")
+    return append(source, "n_shingles long, name binary, sign binary", sign).drop("text")
+
+
+def _candidates(classes: DataFrame, k: int, p: int) -> DataFrame:
+    """``src, dst``: out of each pair of blocks of each list a spanning forest of the pairs over the match threshold."""
+    least = k - p + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,16 +254,22 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             rep = batch.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(posted.ravel()), pa.array(np.repeat(rep, p))], names=["key", "rep"])
 
-    posted = classes.select("sign", "rep").mapInArrow(post, "key long, rep long")
-    lists = cut(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_drop_single, "key long, rep long"), "postings")
-    long_lists = lists.groupBy("key").count().where(F.col("count") > LIST_BLOCK)
+    def postings(some: DataFrame) -> DataFrame:
+        return some.select("sign", "rep").mapInArrow(post, "key long, rep long")
+
+    lists = cut(repeated_keys(postings(classes), postings(classes.where(in_sample(F.col("rep"))))), "postings")
+    # near copies share most coordinates, so many lists hold the same documents: one of those is merged, the others are skipped
+    content = F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit("again"))).alias("y"), F.count("*").alias("n")
+    merged = lists.groupBy("key").agg(*content).groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", "n", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("nb"))
+    listed = cut(spread_join(lists.select("key", "rep"), merged, "key", "n", lists.count()), "lists")
+    pairs = _block_pairs(F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.col("nb"))
+    dealt = listed.select("key", "rep", F.explode(pairs).alias("b")).select("key", "b.bi", "b.bj", "rep")
 
     def short_signs(batch: pa.RecordBatch) -> list[pa.Array]:
         m = np.frombuffer(b"".join(values(batch, "sign")), dtype="<u4").reshape(-1, k).astype(np.uint8)
         return [pa.array([r.tobytes() for r in m], pa.binary())]
 
     probes = append(classes.select("rep", "sign"), "probe binary", short_signs).select("rep", "probe")
-    dealt = _in_blocks(lists.join(long_lists, "key", "left"), F.coalesce(F.ceil(F.col("count") / LIST_BLOCK), F.lit(1)), "key").drop("count")
 
     def count_collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[list[tuple[int, int]]]:
@@ -248,31 +279,121 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
         return _edges(found())
 
-    met = dealt.join(probes, "rep").select("key", "bi", "bj", "rep", "probe").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    candidates = met.mapInArrow(count_collisions, "src long, dst long").distinct()
-    member = cut(connected_components(candidates).join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n")), F.col("node") == F.col("rep")).select("rep", F.col("component").alias("grp"), "n"), "groups")
-    blocks = member.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") / SHINGLE_BLOCK), F.lit(1)).alias("blocks"))
-    placed = _in_blocks(member.join(blocks, "grp"), F.col("blocks"), "grp").drop("blocks", "n")
+    met = dealt.join(probes, "rep").select("key", "bi", "bj", "rep", "probe")
+    met = met.repartition(1 + listed.count() // LIST_ROWS, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return met.mapInArrow(count_collisions, "src long, dst long").distinct()
+
+
+def _confirmed(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``node, least``: each name in a block of ``placed`` (grp, bi, bj, rep, name), and the least one it is linked with there.
+
+    Rows of one name are linked. ``sets`` holds rows (rep, shingles) of sorted 64-bit hashes; what holds candidates grows
+    with the documents, so the two meet by shuffle at every size.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[list[tuple[int, int]]]:
-            for rep, bodies in _groups(batches, 3):
-                if len(rep) > 1:
-                    sets = [shingles(b.encode() if b else None, size) for b in bodies]
-                    some = [i for i, s in enumerate(sets) if len(s)]
-                    if len(some) > 1:
-                        yield [(rep[some[a]], rep[some[b]]) for a, b in similar([sets[i] for i in some], num, den) if rep[some[a]] != rep[some[b]]]
+            for names, bodies in _groups(batches, 3):
+                yield linked(np.array(names), similar([np.frombuffer(b, dtype=np.uint64) for b in bodies], num, den))
 
         return _edges(found())
 
-    # by shuffle at every size: what holds candidates grows with the documents
-    full = placed.join(source.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").select("grp", "bi", "bj", "rep", "text").repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "rep")
-    links = full.mapInArrow(verify, "src long, dst long").distinct()
-    copies = signed.join(classes.select("name", "rep"), "name").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    labels = connected_components(links.union(copies)).select(F.col("node").alias("doc_id"), "component")
-    found = signed.select("doc_id", "n_shingles").join(labels, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    full = placed.join(sets.hint("merge"), "rep").select("grp", "bi", "bj", "name", "shingles").repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj")
+    return full.mapInArrow(verify, "src long, dst long").withColumnsRenamed({"src": "node", "dst": "least"})
+
+
+def linked(names: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each name and the least one that it reaches over the edges, which are of places, or equal names."""
+    distinct, at = np.unique(names, return_inverse=True)
+    forest = Forest(len(distinct))
+    for a, b in edges:
+        forest.join(at[a], np.array([at[b]]))
+    least = np.full(len(distinct), len(distinct))
+    np.minimum.at(least, forest.label, np.arange(len(distinct)))
+    return list(zip(distinct.tolist(), distinct[least[forest.label]].tolist(), strict=True))
+
+
+def _labels(member: DataFrame, source: DataFrame, num: int, den: int, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rep, label`` of each of ``member`` (rep, grp, n), and further ``src, dst`` links between labels, if any may be.
+
+    A group of one block is compared there, and a label is the least document reached. Of a larger group each document is
+    compared within its own block first, then one document of each component that came out, again within blocks. The largest
+    component of a group then need not be compared with itself, and only the documents outside of it meet all others,
+    as pairs of blocks.
+    """
+
+    def hashed(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([shingles(b, size).tobytes() for b in raw(batch, "text")], pa.binary())]
+
+    texts = source.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(member.select("rep"), "rep", "left_semi")
+    sets = cut(append(texts, "shingles binary", hashed).drop("text").where(F.length("shingles") > 0), "sets")
+    total = member.count()
+    groups = member.groupBy("grp").agg(F.count("*").alias("docs"), _blocks(F.count("*"), F.sum("n")).alias("nb"))
+    placed = cut(spread_join(member, groups, "grp", "docs", total), "members")
+    own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+    within = cut(_confirmed(placed.select("grp", own.alias("bi"), own.alias("bj"), "rep", F.col("rep").alias("name")), sets, num, den), "within")
+    many = placed.where("nb > 1").select("rep", "grp", "n")
+    total = many.count()
+    if not total:
+        return within.select(F.col("node").alias("rep"), F.col("least").alias("label")), None
+    first = cut(many.join(within.select(F.col("node").alias("rep"), F.col("least").alias("part")), "rep"), "parts")
+    heads = cut(first.groupBy("grp", "part").agg(F.count("*").alias("docs"), F.max("n").alias("n")), "heads")
+    # heads of components of several documents meet first of all, those of one document apart from them
+    named = heads.withColumn("large", F.col("docs") > 1).withColumn("key", F.xxhash64("grp", "large"))
+    sized = named.groupBy("key").agg(F.count("*").alias("heads"), _blocks(F.count("*"), F.sum("n")).alias("nb"))
+    dealt = spread_join(named, sized, "key", "heads", total)
+    at = F.pmod(F.xxhash64("part"), F.col("nb")).cast("int") * 2 + F.col("large").cast("int")
+    between = _confirmed(dealt.select("grp", at.alias("bi"), at.alias("bj"), F.col("part").alias("rep"), F.col("part").alias("name")), sets, num, den)
+    wholes = cut(heads.join(between, F.col("part") == F.col("node")).select("grp", "part", "docs", F.col("least").alias("whole")), "wholes")
+    by_whole = wholes.groupBy("grp", "whole").agg(F.sum("docs").alias("docs")).groupBy("grp")
+    largest = by_whole.agg(F.max_by("whole", F.struct("docs", "whole")).alias("main"), F.max("docs").alias("in_main"), F.sum("docs").alias("docs")).where("docs > in_main")
+    open_ones = largest.select("grp", "main", "docs", _blocks(F.col("in_main")).alias("mains"), _blocks(F.col("docs") - F.col("in_main")).alias("rests"))
+    parts = cut(spread_join(first, wholes.select("part", "whole", "docs"), "part", "docs", total), "parts")
+    left = spread_join(parts, open_ones, "grp", "docs", total)
+    inside = F.col("whole") == F.col("main")
+    i, r = (F.pmod(F.xxhash64("rep"), F.col(c)).cast("int") for c in ("mains", "rests"))
+    # blocks of the largest component are numbered from 0 on, those of the rest behind them
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(i.alias("bi"), (F.col("mains") + x).cast("int").alias("bj")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: F.struct(x.cast("int").alias("bi"), (F.col("mains") + r).cast("int").alias("bj")))
+    of_rest = F.transform(_block_pairs(r, F.col("rests")), lambda x: F.struct((F.col("mains") + x["bi"]).cast("int").alias("bi"), (F.col("mains") + x["bj"]).cast("int").alias("bj")))
+    pairs = left.select("grp", "rep", "whole", F.explode(F.when(inside, with_rest).otherwise(F.concat(with_main, of_rest))).alias("b"))
+    last = _confirmed(pairs.select("grp", "b.bi", "b.bj", "rep", F.col("whole").alias("name")), sets, num, den).where("node <> least")
+    single = placed.where("nb = 1").select("rep").join(within, F.col("rep") == F.col("node")).select("rep", F.col("least").alias("label"))
+    return single.union(parts.select("rep", "whole")), last.select(F.col("node").alias("src"), F.col("least").alias("dst"))
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", num: int = 80, den: int = 100, size: int = WORDS, coordinates: int = COORDINATES, miss: float = MISS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``: one row for each row of ``docs``.
+
+    Ids are integers. Documents are linked where den * intersection >= num * union of their shingle sets; component_id is
+    the least id reachable, ``kept`` marks the document that has it. Null and empty texts have no
+    shingles and no links. Rows of one id are one document with several texts, each of which may link;
+    a row with a null id is linked with nothing and kept. An empty table gives an empty result; other columns are not looked at.
+    """
+    p = prefix_length(coordinates, num / den, miss)
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    signed = cut(_signatures(source, coordinates, size), "signatures")
+    some = signed.where("doc_id is not null and name is not null")
+    classes = cut(some.groupBy("name", "n_shingles", "sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    total = signed.count()
+    sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"))
+    candidates = connected_components(_candidates(classes, coordinates, p))
+    member = cut(candidates.join(sizes, F.col("node") == F.col("rep")).select("rep", F.col("component").alias("grp"), "n"), "groups")
+    labels, links = _labels(member, source, num, den, size)
+    named = classes.select("name", "rep", "copies").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    if not some.groupBy("doc_id").count().where("count > 1").isEmpty():  # texts of one id are linked
+        own = cut(spread_join(some.select("doc_id", "name"), named.select("name", "label", "copies"), "name", "copies", total).select("doc_id", "label").distinct(), "named")
+        lows = own.groupBy("doc_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").drop("high")
+        ties = own.join(lows, "doc_id").where("label <> low").select(F.col("label").alias("src"), F.col("low").alias("dst"))
+        links = ties if links is None else links.union(ties)
+    if links is not None:
+        found = named.groupBy("label").agg(F.count("*").alias("n")).join(connected_components(links), F.col("label") == F.col("node"), "left")
+        of_label = found.select("label", F.coalesce("component", "label").alias("component_id"), "n")
+        named = spread_join(named, of_label, "label", "n", total).drop("label").withColumnRenamed("component_id", "label")
+    of_class = named.select("name", F.col("label").alias("component_id"), "copies")
+    found = spread_join(some.select("doc_id", "n_shingles", "name"), of_class, "name", "copies", total).drop("name")
+    alone = signed.where("doc_id is null or name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _one_text_an_id(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -287,7 +408,8 @@ def _one_text_an_id(docs: DataFrame, key: str, text: str) -> DataFrame:
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that of the least id; all columns stay.
 
-    Where ids repeat, each text of an id is a document of its own, and rows equal in id and text are one.
+    Where ids repeat, each text of an id is a document of its own, and rows equal in id and text are one. Rows with a null
+    id and null or empty texts all stay; an empty table gives an empty result; names ending in ``_`` may not clash.
     """
     names = docs.columns
     if not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():

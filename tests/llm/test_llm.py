@@ -9,7 +9,8 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from cairn.llm import chat, decontamination, language, near_dedup, pieces, registry, sstable, suffix_dedup, token_counts, tokens, topk, toxicity  # noqa: E402
-from cairn.workspace import fresh_dir  # noqa: E402
+from cairn.operators import joins  # noqa: E402
+from cairn.workspace import cut, fresh_dir  # noqa: E402
 
 ODD = [None, "", " ", "a", "a  b ", "\n\t", "é́ 日本 🙂", "x<|endoftext|>y <|startoftext|>", "▁ ▁▁b", "Of " * 300, "word " * 6 + "z" * 3000, "I'm 1234 don't!!  \n\n z", "</s>[INST] ok [/INST]"]
 
@@ -88,7 +89,20 @@ def test_block_search(tmp_path):
     assert len(reader.index) > 3 and all(len(reader.get(i)) == (i % 3 == 0) for i in range(0, 3000)) and reader.get(29997)[0][0] == 29997
 
 
-def test_near_dedup_equals_brute_force(spark):
+def test_near_dedup_odd_rows(spark):
+    long = " ".join(f"w{x}" for x in range(60_000))
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "x y z"), (2, "X y  z"), (3, long), (4, long + " end"), (None, None), (5, "")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=str) == sorted(
+        [(None, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 59_996, 3, True), (4, 59_997, 3, False), (None, 0, None, True), (5, 0, 5, True)], key=str
+    )
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, hot):
+    if hot:
+        for module, name, size in ((joins, "HOT_ROWS", 3), (near_dedup, "LIST_BLOCK", 3), (near_dedup, "GROUP_BLOCK", 2), (near_dedup, "SAMPLED", 2)):
+            monkeypatch.setattr(module, name, size)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 500, 120)]
     texts = []
@@ -97,14 +111,14 @@ def test_near_dedup_equals_brute_force(spark):
         for at in rng.integers(0, len(w), i % 5):
             w[at] = f"n{i}"
         texts.append(" ".join(w))
-    rows = list(enumerate([*texts, texts[5], None, "", "one two", "One  two"]))
+    rows = list(enumerate([*texts, *[texts[5]] * 9, None, "", "one two", "One  two"]))
     sets = [set(near_dedup.shingles(t.encode() if t else None).tolist()) for _, t in rows]
     label = list(range(len(rows)))
     for a, b in combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
             x, y = sorted((label[a], label[b]))
             label = [x if v == y else v for v in label]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as rep", "2 as name", "3 as kept")
     found = near_dedup.near_duplicates(df, num=85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == {i: (len(sets[i]), label[i], label[i] == i) for i, _ in rows}
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
@@ -128,7 +142,8 @@ def test_blocks_lose_nothing(spark, monkeypatch):
 
 
 def test_frequent_grams_give_the_same(spark, sf, monkeypatch, same, oracle):
-    monkeypatch.setattr(suffix_dedup, "LIST_LIMIT", 1)
+    for module, name, size in ((suffix_dedup, "LIST_LIMIT", 1), (joins, "HOT_ROWS", 1), (near_dedup, "SAMPLED", 2)):
+        monkeypatch.setattr(module, name, size)
     same(suffix_dedup.query(spark, sf), oracle.sql(suffix_dedup.SQL))
 
 
@@ -141,6 +156,17 @@ def test_repeats_are_cut_once(spark):
     assert suffix_dedup.report(df.limit(0)).count() == 0
 
 
+def test_repeats_on_odd_rows(spark):
+    words = " ".join(f"q{i}" for i in range(50))
+    long = " ".join(f"long{i}" for i in range(30_000))
+    rows = [(None, words), (7, words), (7, words), (8, f"{long} {words}"), (9, long), (None, None), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as hash", "2 as doc")
+    assert sorted(((r.doc_id, r.n_words, r.n_repeated, r.n_removed) for r in suffix_dedup.report(df).collect()), key=str) == sorted([(None, 50, 50, 0), (7, 50, 50, 50), (8, 30_050, 30_050, 50), (9, 30_000, 30_000, 30_000)], key=str)
+    left = suffix_dedup.remove_repeats(df)
+    assert left.columns == df.columns and sorted(((r.doc_id, len(r.text or "")) for r in left.collect()), key=str) == sorted([(None, len(words)), (8, len(long) + 1), (None, 0), (10, 0)], key=str)
+    assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
 def test_automaton_blocks_and_spans(spark):
     item = " ".join(f"b{i}" for i in range(14))
     items = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, ""), (None, "lonely")], "item_id long, text string")
@@ -160,18 +186,49 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in found[1].turns] == [(r[2], r[3]) for r in rows[:3]]
     assert found[1].escaped and not found[5].escaped and found[5].formatted == "<s>[INST] user\nplain [/INST]"
     assert [(t.role, t.text) for t in found[2].turns] == [("", "")] and found[3].turns[0].role == "sys\ntem" and found[None].turns[0].text == "[INST] ok"
+    masked = {r.conv_id: r.loss for r in out.select("conv_id", chat.under_mask(chat.F.col("formatted"), chat.loss_mask(chat.F.col("turns"), chat.F.col("escaped"))).alias("loss")).collect()}
+    assert masked[1] == rows[1][3] * 2 and masked[2] == masked[5] == masked[4] == "" and masked[None] == "[INST] ok"
     shown = [found[1].formatted[s.start : s.start + s.length] for s in found[1].spans]
     assert shown == ["\\l/s>\\\\l \\ls>x"] * 2
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_long_conversation_and_clashing_columns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<s>\\ {i} " + "y\u00e9\U0001f642" * (i % 50), "x", "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, turns string").repartition(5)
+    out = chat.format_conversations(df)
+    got = out.select("turns", chat.under_mask(chat.F.col("formatted"), chat.loss_mask(chat.F.col("turns"), chat.F.col("escaped"))).alias("loss")).collect()
+    assert [(t.role, t.text) for t in got[0].turns] == [r[2:4] for r in rows] and got[0].loss == "".join(r[3] for r in rows if r[1] % 2)
+
+
 def test_topk_odd_rows(spark):
     rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (20, [0.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [-1.0, 2.0, 3.0]), (5, [1.0, 0.5]), (None, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = topk.top_k(df.where("vec_id % 20 = 0"), df, k=3, shard_rows=2, block_rows=1).collect()
+    found = topk.top_k(df.where("vec_id % 20 = 0"), df, k=3, shard_rows=2, group_rows=1).collect()
     best = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == 0)
     assert best == sorted([(1, 0, 5120), (2, 5, 5120), (3, 4, 0)] * 2) and len([r for r in found if r.query_id == 20]) == 3
-    assert topk.top_k(df.limit(0), df).count() == 0
+    assert topk.top_k(df.limit(0), df).count() == topk.top_k(df, df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [2.0**55, 2.0**55]), (1, [2.0**55, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(huge, huge).collect()
+    with pytest.raises(Exception, match="has no integer score"):
+        topk.top_k(huge.selectExpr("vec_id", "transform(embedding, x -> 1e300D) as embedding"), huge).collect()
+
+
+@pytest.mark.parametrize("spread, zeros", [(1.0, 0.0), (1.0, 0.8), (2.0**14, 0.5), (2.0**22, 0.0)])
+def test_topk_equals_brute_force(monkeypatch, spread, zeros):
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * spread * rng.normal(0, 1, (900, 24)) * (rng.random((900, 24)) >= zeros)).astype(np.int64)
+    x[1::9] = x[::9][: len(x[1::9])]
+    ids, k = rng.permutation(900), 7
+    best = topk.Best(ids[:50], x[:50], k)
+    for at in range(0, 900, 100):
+        best.look(topk.Shard(ids[at : at + 100], x[at : at + 100]))
+    score = x[:50] @ x.T
+    for i in range(50):
+        want = np.lexsort((ids, -score[i]))[:k]
+        assert best.score[i].tolist() == score[i][want].tolist() and best.id[i].tolist() == ids[want].tolist()
+    assert best.pairs == 50 * 900 and best.probed < best.pairs * (0.3 if zeros < 0.9 else 0.5)
 
 
 def test_held_out_accuracy(spark):
@@ -189,8 +246,52 @@ def test_classifiers_on_odd_rows(spark, odd):
     one = language.train(odd.selectExpr("doc_id", "text", "'en' as lang"))
     found = {r.doc_id: r.lang_pred for r in language.identify(odd, one).collect()}
     assert found[0] == found[1] == found[2] == "und" and found[3] == "en"
-    model = toxicity.train(empty.selectExpr("doc_id", "text", "1 as label"))
+    model = toxicity.train(odd, empty.selectExpr("doc_id", "1 as label"))
     assert {r.score for r in toxicity.score(odd, model).collect()} == {0.5}
+    assert toxicity.score(empty, model).count() == language.identify(empty, one).count() == 0
+
+
+def test_classifiers_learn_from_null_and_equal_ids(spark):
+    rows = [(None if i % 2 else 7, f"{'good' if i % 3 else 'schlecht'} {i}", "en" if i % 3 else "de") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, rows_per_language=60)
+    assert model.pairs and {(r.lang, r.lang_pred) for r in language.identify(df, model).collect()} == {("en", "en"), ("de", "de")}
+    docs = spark.createDataFrame([(i, "vile words" if i % 2 else "kind words") for i in range(40)] * 2 + [(None, "vile"), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2 + [(None, 0), (50, None), (3, 5)], "doc_id long, label int")
+    assert sorted((r.y, r.key_) for r in toxicity.draw(labels, rows_per_class=40).collect()) == sorted((i % 2, i) for i in range(40))
+    assert toxicity.draw(labels, rows_per_class=5).count() == 10
+    fitted = toxicity.fit([(toxicity.features(b"vile words" if i % 2 else b"kind words"), i % 2) for i in range(40)] * 20)
+    scores = {r.text: r.score for r in toxicity.score(docs, fitted).collect()}
+    assert scores["vile words"] > 0.9 and scores["kind words"] < 0.1 and 0 < scores[None] < 1
+    assert toxicity.train(docs, labels, rows_per_class=40) and toxicity.train(docs, labels, sample_bytes=0)[2] == 0
+
+
+def test_models_equal_plain_versions():
+    rng = np.random.default_rng(1)
+    examples = [(np.unique(rng.integers(0, 30, 6)), int(rng.integers(0, 2))) for _ in range(60)]
+    model = toxicity.Ftrl(30, l1=0.5)
+    z, n = [0.0] * 31, [0.0] * 31
+    for places, label in examples:
+        model.update(places, label)
+        w = {}
+        for i in [*places.tolist(), 30]:
+            l1 = 0.0 if i == 30 else 0.5
+            w[i] = 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((1.0 + n[i] ** 0.5) / 1.0 + 0.1)
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i, x in w.items():
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) * x
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    x = np.vstack([rng.normal(2, 1, (30, 3)), rng.normal(-2, 1, (30, 3))])
+    y = np.repeat([1.0, -1.0], 30)
+    w = language.linear_svm(x, y, cost=1.0, epochs=200)
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-3 for d in rng.normal(0, 0.05, (200, 3)))
+    docs, langs = [b"the cat and the dog", b"der hund und die katze"] * 10, ["en", "de"] * 10
+    for t in docs[:2]:
+        at, share = language.grams(t)
+        assert abs(share.sum() - 1) < 1e-6 and np.isin(at, language.gram_places([t])[0]).all()
+    assert [x for x, _ in language.fit([language.grams(t) for t in docs], langs).predict(docs[:2])] == ["en", "de"]
 
 
 def test_pipeline_keeps_clean_and_cuts_the_rest(spark, tmp_path):
@@ -204,7 +305,7 @@ def test_pipeline_keeps_clean_and_cuts_the_rest(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == corpus_pipeline.COLUMNS
-        docs = corpus_pipeline.cut(docs, "t")
+        docs = cut(docs, "t")
         seen[name] = {r.doc_id: r.text for r in docs.collect()}
     stages = list(seen.values())
     assert set(stages[0]) == set(texts) - {13, 14} and set(stages[1]) == set(stages[0]) - {9}
