@@ -8,8 +8,8 @@ suffixes of one gram lie together, are extended left to each start of a run that
 right to its end, and sorted by that content; neighbours that agree over all ``length`` words repeat.
 Runs that overlap or touch make up longer passages.
 
-Grams with more suffixes than ``LIST_LIMIT`` are taken apart by run and compared by aggregation, with
-partial results before the shuffle, so no task needs all suffixes of a frequent gram.
+Rows of a frequent gram never meet by gram: those with more suffixes than ``LIST_LIMIT``, and than their share of all, are
+taken apart by run and compared by aggregation, with partial results before the shuffle.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.batches import append, raw, values, words
-from cairn.llm.near_dedup import _drop_single, mix, word_hashes
+from cairn.llm.near_dedup import in_sample, mix, repeated_keys, word_hashes
+from cairn.operators.joins import hot_limit, spread_join
 from cairn.workspace import cut
 
 LENGTH, GRAM = 50, 16
 #: Suffixes of one gram that are compared in one task.
-LIST_LIMIT = 4096
+LIST_LIMIT = 512
 #: Fixed value: an odd multiplier, and its inverse by Newton's rule, for hashes of runs from prefix sums.
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -71,8 +72,9 @@ def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
     """``doc, hash, n_words, runs``: documents, by id and text hash, that hold repeated runs of ``length`` words.
 
     ``runs`` is an array of (start, stop, first): ranges of words at which repeated runs begin, split by whether the
-    run is the first of its kind by id, text hash and place. Rows equal in id and text are one
-    document; a null id sorts first, as the least long. Texts of fewer words, nulls among them, hold no runs.
+    run is the first of its kind by id, text hash and place. Ids are integers. Rows equal in id and text are one
+    document; a null id counts as the least long, -2**63, and sorts first. Texts of fewer words, nulls among them, hold no
+    runs; an empty table gives an empty result; other columns are not looked at.
     """
     source = docs.where(F.col(text).isNotNull()).select(_doc(F.col(key)).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
@@ -94,8 +96,8 @@ def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
     def owner(doc, tag) -> pa.Array:
         return pa.array([xxhash.xxh3_64_intdigest(f"{d} {t}") - (1 << 63) for d, t in zip(doc, tag, strict=True)], pa.int64())
 
-    once = source.mapInArrow(retain, "key long, rep long")
-    repeated = cut(once.repartition("key").sortWithinPartitions("key").mapInArrow(_drop_single, "key long, rep long"), "grams")
+    once, some = (d.mapInArrow(retain, "key long, rep long") for d in (source, source.where(in_sample(F.xxhash64("doc", "hash")))))
+    repeated = cut(repeated_keys(once, some), "grams")
     wanted = repeated.groupBy("rep").agg(F.collect_set("key").alias("grams"))
     owned = append(source, "rep long", lambda batch: [owner(values(batch, "doc"), values(batch, "hash"))])
     # by shuffle at every size: what is wanted grows with the documents
@@ -116,16 +118,18 @@ def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "doc", "hash", "at", "whole", "n"])
 
     suffixes = cut(held.select("doc", "hash", "text", "grams").mapInArrow(extend, "key long, doc long, hash long, at long, whole binary, n long"), "suffixes")
-    frequent = cut(suffixes.groupBy("key").count().where(F.col("count") > LIST_LIMIT).select("key"), "frequent")
+    total = suffixes.count()
+    # fewer than HOT_SHARE grams at any size
+    frequent = F.broadcast(suffixes.groupBy("key").count().where(F.col("count") > max(LIST_LIMIT, hot_limit(total))).select("key"))
     few = suffixes.drop("n").join(frequent, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, hash long, start long, stop long, first boolean")
-    runs = few.union(_compare_frequent(suffixes.join(frequent, "key", "left_semi")).select("doc", "hash", "start", "stop", "first"))
+    runs = few.union(_compare_frequent(suffixes.join(frequent, "key", "left_semi"), total * (length - gram + 1)).select("doc", "hash", "start", "stop", "first"))
     spans = runs.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "stop", "first")).alias("runs"))
     sizes = suffixes.groupBy("doc", "hash").agg(F.max("n").alias("n_words"))
     return spans.join(sizes, ["doc", "hash"]).select("doc", "hash", "n_words", "runs")
 
 
 def _doc(key: Column) -> Column:
-    return F.coalesce(key, F.lit(-(1 << 63)).cast("long"))
+    return F.coalesce(key.cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
 def _intervals(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -171,7 +175,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ready(pa.Table.from_batches(held))
 
 
-def _compare_frequent(suffixes: DataFrame) -> DataFrame:
+def _compare_frequent(suffixes: DataFrame, most: int) -> DataFrame:
+    """Runs of frequent grams, at most ``most`` of them, that are repeated, by counts; no task needs all places of a run."""
+
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = values(batch, "whole")
@@ -180,10 +186,10 @@ def _compare_frequent(suffixes: DataFrame) -> DataFrame:
             doc, tag = (np.repeat(np.array(values(batch, c), dtype=np.int64), sizes) for c in ("doc", "hash"))
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(whole), dtype=np.int64)), pa.array(doc), pa.array(tag), pa.array(starts)], names=["run", "doc", "hash", "start"])
 
-    runs = suffixes.select("doc", "hash", "at", "whole").mapInArrow(apart, "run long, doc long, hash long, start long")
+    runs = cut(suffixes.select("doc", "hash", "at", "whole").mapInArrow(apart, "run long, doc long, hash long, start long"), "runs")
     here = F.struct("doc", "hash", "start")
     least = runs.groupBy("run").agg(F.min(here).alias("least"), F.count("*").alias("times")).where("times > 1")
-    return runs.join(least, "run").select("doc", "hash", "start", (F.col("start") + 1).alias("stop"), (here == F.col("least")).alias("first"))
+    return spread_join(runs, least, "run", "times", most).select("doc", "hash", "start", (F.col("start") + 1).alias("stop"), (here == F.col("least")).alias("first"))
 
 
 def coverage(n: int, runs: list, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +226,7 @@ def report(docs: DataFrame, *, length: int = LENGTH, **options) -> DataFrame:
     """``doc_id, n_words, n_repeated, n_removed, n_passages`` for each document that holds a repeated passage.
 
     n_repeated counts words within repeated runs, n_removed those of them that are in no run that is the first of its
-    kind, n_passages the unbroken stretches of repeated words.
+    kind, n_passages the unbroken stretches of repeated words. Rows equal in id and text give one row; an empty table none.
     """
     found = passages(docs, length=length, **options)
 
@@ -238,7 +244,9 @@ def report(docs: DataFrame, *, length: int = LENGTH, **options) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with every repeated run cut out of ``text`` but the first of its kind.
 
-    Documents of which no word is left go; all others stay, with a text that holds no repeat as it is.
+    Documents of which no word is left go; all others stay, with a text that holds no repeat as it is, null and empty ones
+    among them. Rows equal in id and text are cut alike. An empty table gives an empty result; names ending in ``_`` may
+    not clash.
     """
     names = docs.columns
     found = passages(docs, key=key, text=text, length=length, **options).select(F.col("doc").alias("doc_"), F.col("hash").alias("hash_"), F.col("runs").alias("runs_"))
