@@ -77,7 +77,8 @@ def format_conversations(rows: DataFrame, *, key: str = "conv_id", turn: str = "
     Turns stand in the order of turn, role, text, nulls first; repeated turns all stay. Null roles and texts
     are empty; rows with a null id are one conversation. An empty table gives an empty result, and other
     columns are not looked at. A conversation's turns meet in one row because its output is
-    one string; they are sorted there, and nothing but that string's own conversation is gathered.
+    one string; they are sorted there, and nothing but that string's own conversation is gathered. Such a
+    string has the limit of any value of Spark, 2 GB.
     """
     turns = rows.select(F.col(key).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     source = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t"), _order), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
@@ -98,13 +99,24 @@ def _order(a: Column, b: Column) -> Column:
     return out
 
 
-def loss_text(turns: Column) -> Column:
-    """All text under the loss mask, unescaped: each assistant text once, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
+def loss_mask(turns: Column, escaped: Column) -> Column:
+    """``array<struct<turn, length>>``: of the part of ``formatted`` that holds this turn, so many code points are trained on."""
+    sized = F.transform(turns, lambda t, i: F.struct(i.alias("turn"), F.when(t["role"] == ASSISTANT, F.when(escaped, F.length(escape(t["text"]))).otherwise(F.length(t["text"]))).alias("length")))
+    return F.filter(sized, lambda t: t["length"].isNotNull())
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """All text of ``formatted`` under the mask, unescaped; each part is cut once, so the time is that of the length."""
+
+    def read(x: Column) -> Column:
+        return F.array_join(F.transform(x["mask"], lambda m: unescape(F.substring(F.get(x["parts"], m["turn"] + 1), F.lit(1), m["length"]))), "")
+
+    held = F.array(F.struct(F.split(formatted, _OPEN, -1).alias("parts"), mask.alias("mask")))
+    return F.get(F.transform(held, read), F.lit(0))
 
 
 def loss_spans(turns: Column, escaped: Column) -> Column:
-    """``array<struct<start, length>>``: where in ``formatted`` (code points from 0) the trained texts stand."""
+    """``array<struct<start, length>>``: the mask as places in ``formatted`` (code points from 0)."""
     shown = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.when(escaped & (t["role"] != ASSISTANT), F.length(escape(t["role"]))).otherwise(F.length(t["role"])).alias("r"), F.when(escaped, F.length(escape(t["text"]))).otherwise(F.length(t["text"])).alias("n")))
 
     def step(acc: Column, t: Column) -> Column:
@@ -127,8 +139,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(HARD).alias("text"))
     done = format_conversations(rows.unionByName(hard))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = loss_text(F.col("turns"))
-    return done.select(
+    loss = F.col("loss")
+    return done.withColumn("loss", under_mask(F.col("formatted"), loss_mask(F.col("turns"), F.col("escaped")))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(lines, 256).alias("turns_sha256"),
