@@ -1,7 +1,8 @@
 """A corpus from raw documents: language, near and exact repeats, benchmark passages, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame that is
-written as Parquet and read again as the next one's documents.
+written as Parquet and read again as the next one's documents. Columns of documents beyond ``COLUMNS`` are left out.
+Empty documents give an empty corpus; rows with a null id stay unless a stage rejects their text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, language, near_dedup, pieces, suffix_dedup
-from cairn.workspace import cut
+from cairn.workspace import cleaned, cut_to
 
 #: Predictions below this are no language of the corpus; with two votes out of four languages, chance is 0.25.
 LEAST_SCORE = 0.3
@@ -68,5 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with cleaned(spark) as kept:  # a stage's own tables go once its result is written
+            docs, path = cut_to(stage(spark, docs, sf_dir), name.split()[0].lower())
+            kept.append(path)
     return docs
