@@ -7,6 +7,8 @@ languages of one family. Families that the table does not name hold one language
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -16,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.batches import LOWER, append, raw
+from cairn.llm.batches import LOWER, append, raw, resident
 from cairn.llm.linear import linear_svm, sigmoid
 
 #: Language families by ISO 639-1 code.
@@ -38,21 +40,25 @@ BITS = 13
 ROWS_PER_LANGUAGE = 500
 #: Most rows of all languages, which bounds the matrix on the driver (32 kB a row), and most languages.
 MOST_ROWS, MOST_LANGUAGES = 8000, 400
+#: Bytes of a text that are turned into features at once, and texts that are predicted at once.
+PIECE, TEXTS = 1 << 18, 64
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 
 
-def gram_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature places of all texts, and where those of each text begin; no text is empty."""
-    data = np.frombuffer(b"  ".join([*(t.translate(LOWER) for t in texts), b""]), dtype=np.uint8).astype(np.uint32)
-    pair = data[:-2] | data[1:-1] << 8
-    both = np.stack([pair | 1 << 24, pair | data[2:] << 16], axis=1)
-    places = (both * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    sizes = np.array([len(t) for t in texts])
-    starts = np.cumsum(sizes + 2) - sizes - 2
-    inside = np.ones(len(data), dtype=bool)
-    inside[np.concatenate([starts + sizes, starts + sizes + 1])] = False
-    return places[inside[: len(places)]].astype(np.intp), np.cumsum(sizes) - sizes
+def gram_places(text: bytes) -> Iterator[np.ndarray]:
+    """Feature places of a text with two spaces behind it, in pieces, so that a long text takes no more memory than ``PIECE``."""
+    low = text.translate(LOWER)
+    for at in range(0, len(low), PIECE):
+        data = np.frombuffer(low[at : at + PIECE + 2] + b"  "[: max(0, at + PIECE + 2 - len(low))], dtype=np.uint8).astype(np.uint32)
+        pair = data[:-2] | data[1:-1] << 8
+        both = np.concatenate([pair | 1 << 24, pair | data[2:] << 16])
+        yield ((both * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.intp)
+
+
+def gram_counts(text: bytes) -> np.ndarray:
+    """How often each place occurs."""
+    return sum((np.bincount(piece, minlength=1 << BITS) for piece in gram_places(text)), np.zeros(1 << BITS, dtype=np.int64))
 
 
 @dataclass
@@ -65,11 +71,10 @@ class Hierarchy:
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        places, starts = gram_places(texts)
         if not self.pairs:
             return np.zeros((len(texts), 0))
-        total = np.add.reduceat(self.weights[places].sum(axis=1), starts, axis=0)
-        return total / np.array([[len(t)] for t in texts]) / 2 + self.bias
+        shares = np.stack([gram_counts(t) for t in texts]) / np.array([[2 * len(t)] for t in texts])
+        return shares @ self.weights + self.bias
 
     def _vote(self, names: list[str], chances: dict) -> tuple[str, float]:
         share = {a: np.mean([chances[a, b] if (a, b) in chances else 1 - chances[b, a] for b in names if b != a]) if len(names) > 1 else 1.0 for a in names}
@@ -88,9 +93,9 @@ class Hierarchy:
 
 def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Feature places of a text, ascending, and the share of each; at most ``2 ** BITS`` however long the text."""
-    places, _ = gram_places([text])
-    found, times = np.unique(places, return_counts=True)
-    return found, times / places.size
+    times = gram_counts(text)
+    found = np.flatnonzero(times)
+    return found, times[found] / (2 * len(text))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Hierarchy:
@@ -155,33 +160,24 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     return fit([x for name in sorted(kept) for x in kept[name]], [name for name in sorted(kept) for _ in kept[name]])
 
 
-def identify(docs: DataFrame, model: Hierarchy, *, text: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: Hierarchy, *, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of each whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Rows do not
     influence each other, so repeated ones get the same; columns named like a result give way; an empty table gives
     an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
         found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * batch.num_rows
-        some, size = [], 0
+        known: Hierarchy = resident(("language", name), lambda: shared.value)
         texts = raw(batch, text)
-
-        def flush() -> None:
-            for i, result in zip(some, shared.value.predict([texts[i] for i in some]), strict=True):
+        some = [i for i, body in enumerate(texts) if body and known.members and _LETTER(body.decode())]
+        for a in range(0, len(some), TEXTS):
+            part = some[a : a + TEXTS]
+            for i, result in zip(part, known.predict([texts[i] for i in part]), strict=True):
                 found[i] = result
-
-        for i, body in enumerate(texts):
-            if body and shared.value.members and _LETTER(body.decode()):
-                if some and size + len(body) > slice_bytes:
-                    flush()
-                    some, size = [], 0
-                some.append(i)
-                size += len(body)
-        if some:
-            flush()
         return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
 
     return append(docs, "lang_pred string, score double", each)
