@@ -9,8 +9,8 @@ its bound however large the benchmark is; each block is one more narrow pass ove
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.batches import append, raw, values
+from cairn.llm.batches import append, raw, resident, shielded, values
 from cairn.workspace import cut
 
 WINDOW = 10
@@ -174,37 +174,62 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
 
     A null or empty text has no words and no hits; items without words are ignored; an item
     with a null id hits words but is not listed; repeated items and repeated documents each count as
-    they stand; an empty benchmark hits nothing. Other columns pass through, but those named like a result
-    give way.
+    they stand; an empty benchmark hits nothing, and an empty table gives an empty result. Other columns pass through, but
+    those named like a result, ``earlier_hits_`` or ``earlier_items_`` give way. An item of more than
+    ``block_words`` words is a block of its own.
     """
+    return _passes(docs, benchmark, text, item_key, item_text, window, block_words, None)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, window: int, block_words: int, finish) -> DataFrame:
+    """One pass for each block of items; ``finish`` adds columns in the last of them."""
     spark = docs.sparkSession
-    out = docs.drop("n_words", "hit_words", "hit_items").withColumns({"hit_words": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})
-    for number, block in enumerate(_blocks(benchmark, item_key, item_text, block_words)):
-        if number:
-            out = cut(out, "contamination")
+    out = docs.drop("n_words", "hit_words", "hit_items", *_EARLIER)
+    blocks = _one_ahead(_blocks(benchmark, item_key, item_text, block_words))
+    for number, (block, more) in enumerate(blocks):
         shared = spark.sparkContext.broadcast(Automaton(block, window))
-        out = _pass(out, shared, text)
+        out = _pass(out, shared, text, number > 0, None if more else finish)
+        if more:
+            out = cut(out, "contamination")
     return out
 
 
-def _pass(docs: DataFrame, shared, text: str) -> DataFrame:
+_EARLIER = ("earlier_hits_", "earlier_items_")
+_FOUND = "n_words long, hit_words array<int>, hit_items array<string>"
+
+
+def _pass(docs: DataFrame, shared, text: str, again: bool, finish) -> DataFrame:
+    name = uuid.uuid4().hex
+
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        automaton, n_words, hits, items = shared.value, [], [], []
-        for body, old_hits, old_items in zip(raw(batch, text), values(batch, "earlier_hits_"), values(batch, "earlier_items_"), strict=True):
+        automaton: Automaton = resident(("automaton", name), lambda: shared.value)
+        n_words, hits, items = [], [], []
+        bodies = raw(batch, text)
+        earlier = [values(batch, c) for c in _EARLIER] if again else [repeat(None), repeat(())]
+        for body, old_hits, old_items in zip(bodies, *earlier, strict=False):
             words = item_words(body)
             at, names = automaton.scan(words)
             n_words.append(len(words))
             hits.append(np.union1d(at, np.array(old_hits, dtype=np.int64)).astype(np.int32) if old_hits else at.astype(np.int32))
             items.append(sorted({x for x in names if x is not None} | set(old_items)))
-        return [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+        more = [finish[1](bodies, n_words, hits)] if finish else []
+        return [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *more]
+
+    moved = docs.withColumnsRenamed(dict(zip(("hit_words", "hit_items"), _EARLIER, strict=True))) if again else docs
+    return append(moved, f"{_FOUND}, {finish[0]}" if finish else _FOUND, each).drop(*_EARLIER)
+
 
-    moved = docs.withColumnsRenamed({"hit_words": "earlier_hits_", "hit_items": "earlier_items_"})
-    return append(moved, "n_words long, hit_words array<int>, hit_items array<string>", each).drop("earlier_hits_", "earlier_items_")
+def _one_ahead(items: Iterator) -> Iterator[tuple]:
+    """Each item, and whether another follows."""
+    held = next(items)
+    for following in items:
+        yield held, True
+        held = following
+    yield held, False
 
 
-def without_spans(text: str, hits: list[int]) -> str:
+def without_spans(data: bytes, hits: list[int]) -> str:
     """The text without the hit words and what separates the words of one span."""
-    data = text.encode()
     spans = [m.span() for m in _WORD.finditer(data.translate(_FOLD))]
     out, at, previous = [], 0, -2
     for i in hits:
@@ -214,24 +239,26 @@ def without_spans(text: str, hits: list[int]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, **keys) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` with every matched span of ``window`` words or more cut out of ``text``.
 
     Documents of whose words more than ``max_coverage`` are hit are dropped whole. All others stay,
-    and a text without a hit stays as it is, null included. Columns are those of ``docs``.
+    and a text without a hit stays as it is, null and empty ones included; repeated documents are treated alike; an empty
+    table gives an empty result. Columns are those of ``docs``, whatever their names.
     """
-    names = docs.columns
-    found = find_contamination(docs, benchmark, text=text, window=window, **keys).where(F.size("hit_words") <= F.col("n_words") * max_coverage)
-
-    def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        cleaned = [without_spans(body, hits) if hits else body for body, hits in zip(values(batch, text), values(batch, "hit_words"), strict=True)]
-        return [pa.array(cleaned, pa.string())]
+    plain = shielded(docs, text)
 
-    return append(found, "cleaned_text_ string", each).withColumn(text, F.col("cleaned_text_")).select(*names)
+    def clean(bodies: list[bytes | None], n_words: list[int], hits: list[np.ndarray]) -> pa.Array:
+        def one(body: bytes | None, n: int, at: np.ndarray) -> str | None:
+            if body is None or len(at) > n * max_coverage:  # the latter are dropped below
+                return None
+            return without_spans(body, at.tolist()) if len(at) else body.decode()
 
+        return pa.array(list(map(one, bodies, n_words, hits)), pa.string())
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    found = _passes(plain, benchmark, text, item_key, item_text, window, block_words, ("cleaned_text_ string", clean))
+    kept = found.where(F.size("hit_words") <= F.col("n_words") * max_coverage)
+    return kept.withColumn(text, F.col("cleaned_text_")).select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
