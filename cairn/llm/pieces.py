@@ -25,7 +25,7 @@ _DOUBLE = re.compile("  | $").search
 class ChunkTable:
     """Ids and text of whole documents, exactly as the library gives them."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         import sentencepiece
 
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,8 +48,8 @@ class ChunkTable:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         ids = self._ids(chunk)
-        behind = self.model.decode(self.anchor + ids)
-        return np.array(ids, "<u4").tobytes(), behind[1:]
+        behind = self.model.decode(self.anchor + ids)[1:]
+        return np.array(ids, "<u4").tobytes(), chunk if behind == chunk else behind  # the key's own text needs no copy
 
     def convert(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers with begin and end, and their decoded text."""
