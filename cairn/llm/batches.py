@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,6 +51,11 @@ def append(df: DataFrame, added: str, each: Callable[[pa.RecordBatch], list[pa.A
     return map_batches(kept, one, schema)
 
 
+def shielded(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with columns that are not ``used`` under names that clash with nothing; ``toDF`` of the old names undoes it."""
+    return docs.toDF(*[c if c in used else f"kept_{i}_" for i, c in enumerate(docs.columns)])
+
+
 _RESIDENT: dict = {}
 
 
@@ -60,7 +67,10 @@ def resident(name: tuple, make: Callable):
     """
     if name not in _RESIDENT:
         _RESIDENT.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
         _RESIDENT[name] = make()
     return _RESIDENT[name]
 

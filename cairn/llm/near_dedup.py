@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.batches import Memo, append, raw, resident, values, words
+from cairn.llm.batches import Memo, append, raw, resident, shielded, values, words
 from cairn.operators.components import connected_components
 from cairn.operators.joins import hot_limit, spread_join
 from cairn.workspace import cut
@@ -409,13 +409,14 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
     """``docs`` with one document of each near-duplicate class, that of the least id; all columns stay.
 
     Where ids repeat, each text of an id is a document of its own, and rows equal in id and text are one. Rows with a null
-    id and null or empty texts all stay; an empty table gives an empty result; names ending in ``_`` may not clash.
+    id and null or empty texts all stay; an empty table gives an empty result; columns may have any names.
     """
-    names = docs.columns
+    names, docs = docs.columns, shielded(docs, key, text)
+    kept = docs.columns
     if not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
         docs, key = _one_text_an_id(docs, key, text), "row_"
     gone = near_duplicates(docs, key=key, text=text, **options).where("not kept").select(F.col("doc_id").alias("gone_id_")).distinct()
-    return docs.hint("merge").join(gone, docs[key] == gone["gone_id_"], "left_anti").select(*names)
+    return docs.hint("merge").join(gone, docs[key] == gone["gone_id_"], "left_anti").select(*kept).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.batches import append, raw, values, words
+from cairn.llm.batches import append, raw, shielded, values, words
 from cairn.llm.near_dedup import in_sample, mix, repeated_keys, word_hashes
 from cairn.operators.joins import hot_limit, spread_join
 from cairn.workspace import cut
@@ -245,10 +245,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """``docs`` with every repeated run cut out of ``text`` but the first of its kind.
 
     Documents of which no word is left go; all others stay, with a text that holds no repeat as it is, null and empty ones
-    among them. Rows equal in id and text are cut alike. An empty table gives an empty result; names ending in ``_`` may
-    not clash.
+    among them. Rows equal in id and text are cut alike. An empty table gives an empty result. Columns are those of
+    ``docs``, whatever their names.
     """
-    names = docs.columns
+    names, docs = docs.columns, shielded(docs, key, text)
     found = passages(docs, key=key, text=text, length=length, **options).select(F.col("doc").alias("doc_"), F.col("hash").alias("hash_"), F.col("runs").alias("runs_"))
     met = docs.hint("merge").join(found, (_doc(docs[key]) == found["doc_"]) & (F.xxhash64(docs[text]) == found["hash_"]), "left").drop("doc_", "hash_")
 
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         return [pa.array(texts, pa.string()), pa.array(gone, pa.bool_())]
 
     changed = append(met, "new_text_ string, gone_ boolean", each).where("not gone_")
-    return changed.withColumn(text, F.col("new_text_")).select(*names)
+    return changed.withColumn(text, F.col("new_text_")).select(*docs.columns).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

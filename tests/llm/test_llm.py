@@ -1,6 +1,7 @@
 """Operators against SQL, libraries and brute force; odd rows everywhere."""
 
 import hashlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -127,7 +128,7 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, hot):
 def test_ids_that_repeat_lose_no_clean_text(spark):
     base, clean, other = (" ".join(f"{c}{x}" for x in range(60)) for c in "bco")
     rows = [(1, base), (2, base + " end"), (2, clean), (3, other), (3, other), (None, other), (4, None), (4, None), (4, ""), (5, other + " end"), (0, "few words")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as runs")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as row_", "2 as gone_id_")
     found = near_dedup.deduplicate(df)
     assert found.columns == df.columns
     assert sorted([(r.doc_id, r.text) for r in found.collect()], key=str) == sorted([(1, base), (2, clean), (3, other), (None, other), (4, None), (4, ""), (0, "few words")], key=str)
@@ -160,7 +161,7 @@ def test_repeats_on_odd_rows(spark):
     words = " ".join(f"q{i}" for i in range(50))
     long = " ".join(f"long{i}" for i in range(30_000))
     rows = [(None, words), (7, words), (7, words), (8, f"{long} {words}"), (9, long), (None, None), (10, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as hash", "2 as doc")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as hash", "2 as doc", "3 as runs_", "4 as new_text_")
     assert sorted(((r.doc_id, r.n_words, r.n_repeated, r.n_removed) for r in suffix_dedup.report(df).collect()), key=str) == sorted([(None, 50, 50, 0), (7, 50, 50, 50), (8, 30_050, 30_050, 50), (9, 30_000, 30_000, 30_000)], key=str)
     left = suffix_dedup.remove_repeats(df)
     assert left.columns == df.columns and sorted(((r.doc_id, len(r.text or "")) for r in left.collect()), key=str) == sorted([(None, len(words)), (8, len(long) + 1), (None, 0), (10, 0)], key=str)
@@ -174,6 +175,13 @@ def test_automaton_blocks_and_spans(spark):
     for limit in (1, 10**6):
         found = {r.doc_id: (len(r.hit_words), r.hit_items) for r in decontamination.find_contamination(docs, items, block_words=limit).collect()}
         assert found == {1: (14, ["1"]), 2: (2, ["2"]), 3: (0, []), 4: (14, ["1"]), 5: (1, [])}
+        assert decontamination.find_contamination(docs.limit(0), items, block_words=limit).count() == 0
+        kept = {r.doc_id: r.text for r in decontamination.decontaminate(docs, items, block_words=limit).collect()}
+        assert set(kept) == {1, 2, 3, 5} and kept[3] is None
+    none = decontamination.find_contamination(docs.union(docs), items.limit(0)).collect()
+    assert len(none) == 10 and not any(r.hit_words or r.hit_items for r in none)
+    far = spark.createDataFrame([(1, "z " * 50_000 + item + " z" * 50_000, "x", "y")], "doc_id long, text string, earlier_hits_ string, hit_items string")
+    assert decontamination.find_contamination(far, items).first().hit_words == list(range(50_000, 50_014))
     kept = {r.doc_id: r.text for r in decontamination.decontaminate(docs, items).collect()}
     assert kept[1].startswith("x , y") and kept[2] == "has  inside and many more words of its own" and 4 not in kept and kept[3] is None
 
@@ -266,7 +274,7 @@ def test_classifiers_learn_from_null_and_equal_ids(spark):
     assert toxicity.train(docs, labels, rows_per_class=40) and toxicity.train(docs, labels, sample_bytes=0)[2] == 0
 
 
-def test_models_equal_plain_versions():
+def test_models_equal_plain_versions(monkeypatch):
     rng = np.random.default_rng(1)
     examples = [(np.unique(rng.integers(0, 30, 6)), int(rng.integers(0, 2))) for _ in range(60)]
     model = toxicity.Ftrl(30, l1=0.5)
@@ -290,7 +298,12 @@ def test_models_equal_plain_versions():
     docs, langs = [b"the cat and the dog", b"der hund und die katze"] * 10, ["en", "de"] * 10
     for t in docs[:2]:
         at, share = language.grams(t)
-        assert abs(share.sum() - 1) < 1e-6 and np.isin(at, language.gram_places([t])[0]).all()
+        low = np.frombuffer(t + b"  ", np.uint8).astype(int).tolist()
+        plain = [(x * 0x9E3779B1 % 2**32) >> (32 - language.BITS) for i in range(len(t)) for x in (low[i] | low[i + 1] << 8 | 1 << 24, low[i] | low[i + 1] << 8 | low[i + 2] << 16)]
+        assert {a: round(b * len(plain)) for a, b in zip(at.tolist(), share.tolist(), strict=True)} == Counter(plain)
+    for size in (1, 5, 100):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert (language.gram_counts(docs[1]) == np.bincount(plain, minlength=1 << language.BITS)).all()
     assert [x for x, _ in language.fit([language.grams(t) for t in docs], langs).predict(docs[:2])] == ["en", "de"]
 
 
