@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Kinds of text that a model may name.
 TEXT_KINDS = ["document", "handwriting", "sign", "screenshot", "label", "meme", "other", "none"]
-RESULT = "has_text string, text string, context string, text_kind string, language string, category string"
+RESULT = "has_text variant, text variant, context string, text_kind string, language string, category string"
 MATCHES = "matches array<struct<person_id:string,present:variant,confidence:string>>"
 
 
@@ -65,6 +65,37 @@ def parse_duration(value: Column) -> Column:
     return F.when(text.rlike(r"^(\d+(\.\d+)?[dhms]?)+$") & (total > 0), total)
 
 
+def norm_path(path: Column, home: str = "") -> Column:
+    """A path for comparison: ``~`` becomes the home folder, ``.`` and doubled or trailing slashes go, in lower case; links are not followed."""
+    whole = F.when(path.startswith("~/"), F.concat(F.lit(home), F.substring(path, 2, 2**30))).otherwise(path)
+    flat = F.regexp_replace(F.regexp_replace(whole, r"/(\./)+", "/"), r"/{2,}", "/")
+    return F.lower(F.when(F.length(flat) > 1, F.regexp_replace(flat, r"/$", "")).otherwise(flat))
+
+
+def person_name(name: Column) -> Column:
+    """White space collapsed; null unless 1 to 60 characters are left."""
+    flat = F.trim(F.regexp_replace(name, r"\s+", " "))
+    return F.when(F.length(flat).between(1, 60), flat)
+
+
+def model_name(name: Column) -> Column:
+    return F.regexp_replace(name, ":latest$", "")
+
+
+def size_text(n: Column) -> Column:
+    """Bytes with one decimal in the largest unit that leaves at least 1."""
+    out = F.format_string("%d B", n.cast("long"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), start=1):
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / 1024**power)).otherwise(out)
+    return out
+
+
+def embedding_text(text: Column, context: Column) -> Column:
+    """What is embedded: text and context by a line feed; null if both are blank."""
+    both = F.concat(F.coalesce(text, F.lit("")), F.lit("\n"), F.coalesce(context, F.lit("")))
+    return F.when(strip(both) != "", both)
+
+
 def json_text(content: Column) -> Column:
     """The JSON object in a model's answer: all of it, or from the first ``{`` to the last ``}``; null if neither parses."""
 
@@ -76,27 +107,43 @@ def json_text(content: Column) -> Column:
     return F.coalesce(whole(content), whole(inner))
 
 
+def _truth(v: Column) -> Column:
+    """Whether a JSON value counts as true: a boolean as it says, a string or a list unless empty, a number unless 0; null is false."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    by_kind = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind.isin("STRING", "VOID"), text != "").when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(v).isin("[]", "{}"))
+    return F.coalesce(by_kind.otherwise(F.try_variant_get(v, "$", "double") != 0), F.lit(False))
+
+
+def _few_lines(text: Column) -> Column:
+    """Runs of three or more line feeds become two; none at either end."""
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+
+
 def result(content: Column) -> Column:
-    """A normalised extraction result: struct of has_text, text, context, text_kind, language, category."""
+    """A normalised extraction result: struct of has_text, text, context, text_kind, language, category.
+
+    ``has_text`` counts only as a boolean; else it says whether the stated text is empty. An answer without an object has no text.
+    """
     raw = F.from_json(json_text(content), RESULT)
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(raw["text"], F.lit("")), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    said = F.try_variant_get(raw["text"], "$", "string")
     kind = F.lower(F.trim(F.coalesce(raw["text_kind"], F.lit(""))))
     language = F.trim(F.coalesce(raw["language"], F.lit("")))
-    stated = F.when(raw["has_text"].isin("true", "false"), raw["has_text"] == "true").otherwise(text != "")
+    stated = F.when(F.schema_of_variant(raw["has_text"]) == "BOOLEAN", F.try_variant_get(raw["has_text"], "$", "boolean"))
     return F.struct(
-        F.coalesce(stated, text != "").alias("has_text"),
-        text.alias("text"),
+        F.coalesce(stated, _truth(raw["text"])).alias("has_text"),
+        F.coalesce(_few_lines(said), F.lit("")).alias("text"),
         F.coalesce(raw["context"], F.lit("")).alias("context"),
-        F.when(kind.isin(*TEXT_KINDS), kind).when(text == "", "none").otherwise("other").alias("text_kind"),
+        F.when(kind.isin(*TEXT_KINDS), kind).when(kind == "", "none").otherwise("other").alias("text_kind"),
         F.when(language == "", "unknown").otherwise(language).alias("language"),
         category(raw["category"]).alias("category"),
     )
 
 
 def gate_result(content: Column) -> Column:
-    """A gate's answer: never text, only context and category."""
+    """A gate's answer: never text, only context, its line feeds collapsed, and category."""
     raw = F.from_json(json_text(content), RESULT)
-    return F.struct(F.lit(False).alias("has_text"), F.lit("").alias("text"), F.coalesce(raw["context"], F.lit("")).alias("context"), F.lit("none").alias("text_kind"), F.lit("unknown").alias("language"), category(raw["category"]).alias("category"))
+    return F.struct(F.lit(False).alias("has_text"), F.lit("").alias("text"), F.coalesce(_few_lines(raw["context"]), F.lit("")).alias("context"), F.lit("none").alias("text_kind"), F.lit("unknown").alias("language"), category(raw["category"]).alias("category"))
 
 
 def person_matches(content: Column, valid: Column) -> Column:
@@ -115,18 +162,26 @@ def person_matches(content: Column, valid: Column) -> Column:
     return F.filter(known, lambda m, i: F.array_position(ids, m["person_id"]) == i + 1)
 
 
+def strip(value: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def merge_tiles(tiles: Column) -> Column:
-    """One result from those of tiles, in order: texts by blank lines, contexts by bars, the rest from the first with text."""
-    full = F.filter(tiles, lambda t: t["has_text"] & (t["text"] != ""))
+    """One result from those of tiles, in order: stripped texts by blank lines, all contexts by bars, the rest from the first with text.
+
+    Without text there is no category.
+    """
+    full = F.filter(tiles, lambda t: t["has_text"] & (strip(t["text"]) != ""))
     first = F.get(full, F.lit(0))
-    contexts = F.array_distinct(F.filter(F.transform(F.when(F.size(full) > 0, full).otherwise(tiles), lambda t: t["context"]), lambda c: c != ""))
+    contexts = F.filter(F.transform(tiles, lambda t: t["context"]), lambda c: strip(c) != "")
     return F.struct(
         (F.size(full) > 0).alias("has_text"),
-        F.array_join(F.transform(full, lambda t: t["text"]), "\n\n").alias("text"),
+        F.array_join(F.transform(full, lambda t: strip(t["text"])), "\n\n").alias("text"),
         F.array_join(contexts, " | ").alias("context"),
         F.coalesce(first["text_kind"], F.lit("none")).alias("text_kind"),
         F.coalesce(first["language"], F.lit("unknown")).alias("language"),
-        F.coalesce(first["category"], F.lit("other")).alias("category"),
+        F.when(F.size(full) > 0, F.when(first["category"] == "", "other").otherwise(F.coalesce(first["category"], F.lit("other")))).alias("category"),
     )
 
 

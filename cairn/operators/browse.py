@@ -68,10 +68,10 @@ def people_list(people: DataFrame, tags: DataFrame, photos: DataFrame, min_confi
 
 
 def person_photos(tags: DataFrame, photos: DataFrame, person_id: int) -> DataFrame:
-    """Present tags of a person on visible photos: seeds first, then by confidence, then by id."""
+    """Present tags of a person on visible photos: seeds first, then by confidence, then the newest, then by id."""
     own = tags.where((F.col("person_id") == person_id) & F.col("present"))
     rows = own.join(photos.where(visible()).select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
-    order = Window.partitionBy("person_id").orderBy((F.col("origin") == "seed").desc(), F.desc("confidence"), F.asc("photo_id"))
+    order = Window.partitionBy("person_id").orderBy((F.col("origin") == "seed").desc(), F.desc("confidence"), F.desc("created_at"), F.asc("photo_id"))
     return rows.select("photo_id", "origin", "confidence", F.row_number().over(order).alias("place"))
 
 
@@ -124,6 +124,62 @@ def trash(photos: DataFrame, locations: DataFrame) -> DataFrame:
     return photos.where(F.col("deleted_at").isNotNull()).select("id", "deleted_at").join(first_location(locations), "id", "left")
 
 
+def trash_page(photos: DataFrame, locations: DataFrame, limit: int = 48) -> DataFrame:
+    """The newest in the trash first, ties by id."""
+    rows = photos.where(F.col("deleted_at").isNotNull()).select("id", "deleted_at").orderBy(F.desc("deleted_at"), "id").limit(limit)
+    return rows.join(first_location(locations), "id", "left")
+
+
+def first_existing(locations: DataFrame, listing: DataFrame) -> DataFrame:
+    """``id, path``: of each photo the path with the least location id that is in the listing."""
+    return first_location(locations.join(listing.select("path").distinct(), "path", "left_semi"))
+
+
+def pages(total: Column, page: Column, size: int = 48) -> Column:
+    """A pager: pages in all, at least one, the rows passed over, and whether there are newer and older pages."""
+    count = F.greatest(F.lit(1), F.ceil(total / size))
+    at = F.greatest(F.lit(1), page)
+    return F.struct(count.cast("long").alias("pages"), ((at - 1) * size).cast("long").alias("offset"), (at > 1).alias("newer"), (at < count).alias("older"))
+
+
+def detail(photos: DataFrame, locations: DataFrame, tags: DataFrame, people: DataFrame, photo_id: int) -> DataFrame:
+    """One photo with all its paths and the names of the people on it, by name."""
+    one = photos.where(F.col("id") == photo_id)
+    names = people_for_photo(tags, people, photo_id).agg(F.array_sort(F.collect_list("name")).alias("people"))
+    return one.join(paths(locations.where(F.col("photo_id") == photo_id)), "id", "left").crossJoin(F.broadcast(names))  # one row
+
+
+def ids_for_paths(locations: DataFrame, paths_: DataFrame) -> DataFrame:
+    """Photos with a place at one of these paths, which compare without case."""
+    wanted = paths_.select(F.lower("path").alias("p_")).distinct()
+    return locations.join(wanted, F.lower(locations["path"]) == wanted["p_"], "left_semi").select(F.col("photo_id").alias("id")).distinct()
+
+
+def missing_dates(photos: DataFrame) -> DataFrame:
+    return photos.where(alive() & F.col("date_taken").isNull()).select("id")
+
+
+def newest_uuids(assets: DataFrame, order: str = "seq") -> DataFrame:
+    """Uuids of each photo, the newest registration first."""
+    newest = Window.partitionBy("photo_id").orderBy(F.desc(order))
+    return assets.select("photo_id", "uuid", F.row_number().over(newest).alias("place"))
+
+
+def people_by_name(people: DataFrame) -> DataFrame:
+    """``id, name, place``: people by name without case, ties by id; people are few, so one task ranks them."""
+    return people.select("id", "name", F.row_number().over(Window.orderBy(F.lower("name"), "id")).alias("place"))
+
+
+def schema_version(versions: DataFrame) -> DataFrame:
+    """The largest version, 0 of none."""
+    return versions.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+
+
+def status_text(row: dict) -> str:
+    """What a status report says in one line, states in the order of the queue."""
+    return ", ".join(f"{row[s]} {s}" for s in ("queued", "processing", "done", "error", "deferred") if row.get(s))
+
+
 def claim(photos: DataFrame, n: int, recent_first: bool = False) -> DataFrame:
     """The next ``n`` queued rows: in order of id, or newest capture (else first sight) first."""
     order = [F.coalesce("date_taken", "first_seen_at").desc(), F.desc("id")] if recent_first else [F.asc("id")]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.components import connected_components
@@ -13,26 +14,46 @@ from cairn.operators.filters import alive
 BITS = 63
 
 
+def bands_for(distance: int, values: int) -> int:
+    """How many bands cost least: the keys that are enumerated, and the pairs that random values would make."""
+
+    def cost(bands: int) -> float:
+        near, width = distance // bands, BITS / bands
+        keys = sum(comb(round(width), k) for k in range(near + 1))
+        return bands * (values * (1.0 + keys) + values * values / 2 * min(1.0, keys / 2**width))
+
+    return min((b for b in range(1, min(distance, BITS - 1) + 2) if comb(BITS // b + 1, distance // b) < 5000), key=cost)
+
+
 def hamming_pairs(hashes: DataFrame, distance: int, column: str = "phash") -> DataFrame:
     """``a, b, distance``: pairs of distinct values, a < b, that differ in at most ``distance`` bits; exact.
 
-    With distance + 2 bands of bits, two such values agree in two bands at least, so each value is posted
-    under every pair of its bands and only values of one posting meet; nulls take no part.
+    Of ``m`` bands of such a pair one at least differs in ``distance // m`` bits or fewer. One side is posted under every
+    band, the other under all that near to each of its bands, and a pair counts only in its first such band, so
+    nothing needs to be made distinct. How many bands there are is chosen by the number of values; nulls take no part.
     """
-    bands = distance + 2
-    if bands > BITS:
-        raise ValueError("the distance leaves no band of bits")
-    edges = [BITS * i // bands for i in range(bands + 1)]
     values = hashes.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
+    bands = bands_for(distance, values.count())
+    near = distance // bands
+    edges = [BITS * i // bands for i in range(bands + 1)]
+    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+
+    def band(x: Column, i: int) -> Column:
+        return F.shiftright(x, edges[i]).bitwiseAND(F.lit((1 << widths[i]) - 1).cast("long"))
 
-    def bits(i: int):
-        return F.shiftright("v", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
+    def masks(i: int) -> Column:
+        found = [sum(1 << bit for bit in bits) for k in range(near + 1) for bits in combinations(range(widths[i]), k)]
+        return F.array(*[F.lit(m).cast("long") for m in found])
 
-    keys = [F.struct(F.lit(n).alias("n"), bits(i).alias("x"), bits(j).alias("y")) for n, (i, j) in enumerate(combinations(range(bands), 2))]
-    posted = values.select("v", F.explode(F.array(*keys)).alias("k"))
-    left, right = posted.select(F.col("v").alias("a"), "k"), posted.select(F.col("v").alias("b"), "k")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, "k").where("a < b").where(apart <= distance).select("a", "b", apart.alias("distance")).distinct()
+    def around(i: int) -> Column:
+        return F.transform(masks(i), lambda m: F.struct(F.lit(i).alias("n"), band(F.col("a"), i).bitwiseXOR(m).alias("x")))
+
+    left = values.select(F.col("v").alias("a")).select("a", F.explode(F.concat(*[around(i) for i in range(bands)])).alias("k"))
+    right = values.select(F.col("v").alias("b"), F.explode(F.array(*[F.struct(F.lit(i).alias("n"), band(F.col("v"), i).alias("x")) for i in range(bands)])).alias("k"))
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(F.bit_count(band(apart, i)) <= near, i) for i in range(bands)])
+    met = left.join(right, "k").where("a < b").where(F.bit_count(apart) <= distance).where(F.col("k.n") == first)
+    return met.select("a", "b", F.bit_count(apart).alias("distance"))
 
 
 def clusters(photos: DataFrame, distance: int = 8, min_size: int = 2, exclude_derivatives: bool = False) -> DataFrame:
@@ -55,3 +76,22 @@ def duplicates(photos: DataFrame, distance: int = 4) -> DataFrame:
     found = clusters(photos, distance, exclude_derivatives=True).join(photos.select("id", "byte_size"), "id")
     order = Window.partitionBy("cluster").orderBy(F.desc_nulls_last("byte_size"), "id")
     return found.select("cluster", "id", "size", (F.row_number().over(order) == 1).alias("keep"))
+
+
+def groups(found: DataFrame, photos: DataFrame, members: int = 12) -> DataFrame:
+    """``cluster, size, largest, sample, members, place``: groups by size, ties by least id.
+
+    ``largest`` is the member with the most bytes (ties: least id), ``sample`` the text of the least id that has any, ``members`` the first
+    ids. Members are cut to that many before they are collected.
+    """
+    rows = found.join(photos.select("id", "byte_size", "text"), "id")
+    some = F.col("text").isNotNull() & (F.col("text") != "")
+    facts = rows.groupBy("cluster").agg(F.max("size").alias("size"), F.max_by("id", F.struct("byte_size", -F.col("id"))).alias("largest"), F.min_by("text", F.when(some, F.col("id"))).alias("sample"))
+    order = Window.partitionBy("cluster").orderBy("id")
+    first = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= members).groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return facts.join(first, "cluster")
+
+
+def top_groups(grouped: DataFrame, limit: int = 10) -> DataFrame:
+    """The largest groups, ties by least id."""
+    return grouped.orderBy(F.desc("size"), "cluster").limit(limit)

@@ -88,6 +88,27 @@ def review(threshold: float = 0.6) -> Column:
     return (F.col("origin") == "model") & (F.col("confidence") < threshold)
 
 
-def null_safe_not_user() -> Column:
-    """``hidden_origin IS NOT 'user'``, true for nulls."""
-    return ~F.col("hidden_origin").eqNullSafe("user")
+def date_params(date_from: str | None = None, date_to: str | None = None, year: str | None = None) -> dict[str, str | None]:
+    """Dates of a request as arguments of ``date_window``: what is no date or year is left out, the last day counts whole."""
+
+    def day(text: str | None) -> str | None:
+        try:
+            return datetime.strptime((text or "").strip(), "%Y-%m-%d").strftime("%Y-%m-%d")
+        except ValueError:
+            return None
+
+    last = day(date_to)
+    return {"date_from": day(date_from), "date_to": last and f"{last}T23:59:59", "year": year.strip() if re.fullmatch(r"\d{4}", (year or "").strip()) else None}
+
+
+def pick_ids(photos: DataFrame, ids: DataFrame, tags: DataFrame | None = None, people: DataFrame | None = None, person: str | None = None, **dates: str | None) -> DataFrame:
+    """Those of the ids that show the person and lie in the date window, as far as asked; trashed ones too."""
+    rows = photos.join(ids.select("id").distinct(), "id", "left_semi").where(date_window(**dates))
+    return (with_person(rows, tags, people, person) if person else rows).select("id")
+
+
+def bulk(condition: Column | None) -> Column:
+    """A condition for a change of many rows; none is an error, so that a slip does not change all."""
+    if condition is None:
+        raise ValueError("say which rows are meant")
+    return condition

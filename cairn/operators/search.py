@@ -1,20 +1,24 @@
 """Full-text search: MATCH over three columns, ranked by BM25.
 
 Whether and how often a leaf of the query matches is an expression over the tokens of one row, so the scan stays
-narrow; document frequencies and lengths come out of one global aggregation of counts, which is the only
-exchange besides the final top-k. ``postings`` gives the inverted form for catalogs that are searched often.
+narrow; the counts are written once, and document frequencies and lengths come out of one global aggregation of them, which is
+the only exchange besides the final top-k. ``postings`` gives the inverted form for catalogs that are searched often.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.normalize import tokens
-from cairn.operators.filters import alive, every, visible
+from cairn.operators.browse import first_location
+from cairn.operators.filters import alive, date_window, every, visible, with_person
 from cairn.plans.match import COLUMNS, Near, Op, Phrase, leaves, parse_or_phrase
+from cairn.workspace import cut
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -97,11 +101,12 @@ def _matches(tree, counted: dict[int, Column]) -> Column:
     return counted[id(tree)]
 
 
-def match(photos: DataFrame, query: str, where: Column | None = None) -> DataFrame:
-    """``id, rank`` and the columns of matching rows; rank is negative BM25, best least.
+def match(photos: DataFrame, query: str, where: Column | None = None, candidates: Callable | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``id, rank`` of matching rows; rank is negative BM25, best least.
 
     Statistics are those of all rows of ``photos``, filters apply after. A syntax error turns the whole query into
-    one phrase. An empty catalog or a query without a token gives no rows.
+    one phrase. An empty catalog or a query without a token gives no rows. ``candidates`` gives the ids that may match a
+    query, so that only these are read; ``sizes`` (id, dl) then holds the token counts of all rows.
     """
     tree, _ = parse_or_phrase(query)
     here = [c for c in COLUMNS if c in photos.columns]
@@ -131,26 +136,72 @@ def match(photos: DataFrame, query: str, where: Column | None = None) -> DataFra
             fields += [counts.alias(name), anywhere.alias(f"{name}_all")]
         return F.struct(*fields)
 
-    rows = photos.withColumn("m_", _let(F.struct(*[tokens(F.col(c)).alias(c) for c in here]), measure))
-    stats = rows.agg(
-        F.count("*").cast("double").alias("n_rows"),
-        F.avg("m_.dl").alias("avgdl"),
-        *[F.sum(F.when(F.col(f"m_.{p}_all") > 0, 1).otherwise(0)).cast("double").alias(f"df_{p}") for p in scored],
-    )
-    found = rows.where(_matches(tree, conditions)).where(where if where is not None else F.lit(True)).crossJoin(F.broadcast(stats))  # one row
+    rows = photos if candidates is None else photos.join(candidates(tree), "id", "left_semi")
+    measured = rows.select("id", F.coalesce(where, F.lit(False)).alias("shown") if where is not None else F.lit(True).alias("shown"), _let(F.struct(*[tokens(F.col(c)).alias(c) for c in here]), measure).alias("m_"))
+    measured = cut(measured, "measured")  # each text is tokenised once, and its counts are used twice
+    everything = measured if sizes is None else sizes
+    stats = everything.agg(F.count("*").cast("double").alias("n_rows"), F.avg("m_.dl" if sizes is None else "dl").alias("avgdl"))
+    held = measured.agg(*[F.sum(F.when(F.col(f"m_.{p}_all") > 0, 1).otherwise(0)).cast("double").alias(f"df_{p}") for p in scored], F.count("*").alias("any_"))
+    found = measured.where("shown").where(_matches(tree, conditions)).crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(held))  # one row each
     rank = F.lit(0.0)
     for p in scored:
-        idf = F.log((F.col("n_rows") - F.col(f"df_{p}") + 0.5) / (F.col(f"df_{p}") + 0.5))
+        df = F.coalesce(f"df_{p}", F.lit(0.0))
+        idf = F.log((F.col("n_rows") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, FLOOR).otherwise(idf)
         tf = F.col(f"m_.{p}").cast("double")
         rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("m_.dl") / F.col("avgdl")))
-    return found.withColumn("rank", rank)
+    return found.select("id", rank.alias("rank"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Written postings and sizes of a catalog that is searched often."""
+
+    postings: DataFrame
+    sizes: DataFrame
+
+    def candidates(self, tree) -> DataFrame:
+        """Rows that hold a token of some leaf that can match; the others are never read."""
+        wanted = [w for x in leaves(tree) for p in (x.phrases if isinstance(x, Near) else (x,)) for w in [(p.words[0], p.prefix and len(p.words) == 1)] if p.words]
+        tests = [F.col("token").startswith(w) if prefix else F.col("token") == w for w, prefix in wanted]
+        hit = reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+        return self.postings.where(hit).select("id").distinct()
+
+
+def build_index(photos: DataFrame, parts: int = 64) -> Index:
+    """Postings written by hash of the token and sorted by it within files, so that a search reads few row groups; and token counts."""
+    here = [c for c in COLUMNS if c in photos.columns]
+    listed = cut(postings(photos).repartition(parts, "token").sortWithinPartitions("token", "id"), "postings")
+    count = sum((F.size(tokens(F.col(c))) for c in here[1:]), F.size(tokens(F.col(here[0]))))
+    return Index(listed, cut(photos.select("id", count.alias("dl")), "sizes"))
+
+
+def search_index(photos: DataFrame, index: Index, query: str, *, limit: int | None = 50, where: Column | None = None) -> DataFrame:
+    """As ``search`` over visible rows, by the postings: only rows that hold a token of the query are read and counted."""
+    found = match(photos, query, every(visible(), where), index.candidates, index.sizes)
+    return found if limit is None else found.orderBy("rank", "id").limit(limit)
+
+
+def results(photos: DataFrame, locations: DataFrame, query: str, *, limit: int = 50, offset: int = 0, marks: tuple[str, str] = ("[", "]"), tags: DataFrame | None = None, people: DataFrame | None = None, person: str | None = None, category: str | None = None, include_hidden: bool = False, **dates: str | None) -> DataFrame:
+    """A page of matches as shown: rank, state, first path, and snippets of 10 tokens of the text and 6 of the context.
+
+    A person is looked up by name, dates bound the capture. Snippets and paths are made for the page's rows only.
+    """
+    pool = photos
+    if person:
+        shown = with_person(photos, tags, people, person).select("id", F.lit(True).alias("with_person_"))
+        pool = photos.join(shown, "id", "left")
+    conditions = [date_window(**dates) if any(dates.values()) else None, F.coalesce("with_person_", F.lit(False)) if person else None]
+    page = cut(search(pool, query, limit=limit, offset=offset, category=category, include_hidden=include_hidden, where=every(*conditions)), "page")
+    rows = photos.join(F.broadcast(page), "id")  # at most ``limit`` rows
+    text, context = (snippets(rows, query, c, n, marks).withColumnRenamed("snippet", f"{c}_snippet") for c, n in (("text", 10), ("context", 6)))
+    return rows.select("id", "rank", "status", "category", F.length("text").alias("text_len")).join(text, "id").join(context, "id").join(first_location(locations), "id", "left")
 
 
 def search(photos: DataFrame, query: str, *, limit: int | None = 50, offset: int = 0, category: str | None = None, include_hidden: bool = False, where: Column | None = None) -> DataFrame:
     """The best matches among rows not trashed, ties by id; without a limit all of them, in no order unless some are skipped."""
     shown = every(alive() if include_hidden else visible(), F.col("category") == category if category else None, where)
-    found = match(photos, query, shown).select("id", "rank")
+    found = match(photos, query, shown)
     if limit is None:
         return found.orderBy("rank", "id").offset(offset) if offset else found
     return found.orderBy("rank", "id").offset(offset).limit(limit)
@@ -166,7 +217,7 @@ def _span(n: int):
 
 
 def snippets(photos: DataFrame, query: str, column: str = "text", size: int = 10, marks: tuple[str, str] = ("[", "]")) -> DataFrame:
-    """``id, snippet``: ``size`` tokens about the first hit in a column, hits marked, cut sides dotted; without a hit its first tokens."""
+    """``id, snippet`` of each row: ``size`` tokens about the first hit in a column, hits marked, cut sides dotted; without a hit its first tokens."""
     tree, _ = parse_or_phrase(query)
     phrases = [p for x in leaves(tree) for p in (x.phrases if isinstance(x, Near) else (x,)) if column in p.columns]
 
@@ -188,4 +239,4 @@ def snippets(photos: DataFrame, query: str, column: str = "text", size: int = 10
 
         return _let(window(F.struct(hits.alias("hits"))), mark)
 
-    return match(photos, query).select("id", F.when(F.col(column).isNotNull(), _let(tokens(F.col(column)), show)).alias("snippet"))
+    return photos.select("id", F.when(F.col(column).isNotNull(), _let(tokens(F.col(column)), show)).alias("snippet"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.workspace import cut
 
 CHILDREN = ("locations", "photo_warnings", "person_tags", "photo_assets", "photo_embeddings")
 
@@ -18,9 +19,11 @@ def update(table: DataFrame, condition: Column, changes: dict[str, Column]) -> D
 def merge_by_key(table: DataFrame, incoming: DataFrame, keys: list[str], changes: dict[str, Column] | None = None, guard: Column | None = None, insert: bool = True) -> DataFrame:
     """Keyed upsert. In ``changes`` and ``guard`` columns are ``old.<c>`` and ``new.<c>``; by default a new value replaces the old.
 
-    Of several incoming rows of a key any one is taken, so deduplicate them first where it matters.
+    Of several incoming rows of a key the least one, column by column from the left, is taken.
     """
-    old, new = table.withColumn("had_", F.lit(True)).alias("old"), incoming.dropDuplicates(keys).withColumn("came_", F.lit(True)).alias("new")
+    rest = [c for c in incoming.columns if c not in keys]
+    one = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("m_")).select(*keys, "m_.*") if rest else incoming.distinct()
+    old, new = table.withColumn("had_", F.lit(True)).alias("old"), one.withColumn("came_", F.lit(True)).alias("new")
     met = old.join(new, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys], "full" if insert else "left")
     both = F.col("had_").isNotNull() & F.col("came_").isNotNull() & (guard if guard is not None else F.lit(True))
     out = []
@@ -37,10 +40,11 @@ def merge_by_key(table: DataFrame, incoming: DataFrame, keys: list[str], changes
 def insert_new(table: DataFrame, incoming: DataFrame, keys: list[str], order: list[str], id_column: str = "id") -> DataFrame:
     """Rows of keys not yet there, numbered on from the largest id in the given order.
 
-    Ranks are dealt by range partition: counts of the partitions are summed first, so no task ranks all rows.
+    Ranks are dealt by range partition: counts of the partitions are summed first, so no task ranks all rows. The parts are
+    written once, so that both uses see the same.
     """
     fresh = incoming.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
-    placed = fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
+    placed = cut(fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id()), "parts")
     within = placed.withColumn("in_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
     sizes = within.groupBy("part_").agg(F.max("in_").alias("n_"))
     before = sizes.select("part_", (F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before_"))
@@ -51,35 +55,53 @@ def insert_new(table: DataFrame, incoming: DataFrame, keys: list[str], order: li
 # queue
 
 
+def _no_time() -> Column:
+    return F.lit(None).cast("timestamp_ntz")
+
+
 def mark_done(photos: DataFrame, results: DataFrame) -> DataFrame:
     """Results by id (any photo columns) become final; the error goes."""
     done = results.withColumns({"status": F.lit("done"), "error": F.lit(None).cast("string")})
     return merge_by_key(photos, done, ["id"], insert=False)
 
 
-def mark_error(photos: DataFrame, errors: DataFrame) -> DataFrame:
+def mark_error(photos: DataFrame, errors: DataFrame, now: str) -> DataFrame:
     """Errors ``(id, error, raw_response)``: one more attempt; an older raw response stays unless a new one came."""
-    changes = {"status": F.lit("error"), "error": F.col("new.error"), "attempts": F.col("old.attempts") + 1, "raw_response": F.coalesce("new.raw_response", "old.raw_response")}
+    changes = {"status": F.lit("error"), "error": F.col("new.error"), "attempts": F.col("old.attempts") + 1, "finished_at": F.lit(now).cast("timestamp_ntz"), "raw_response": F.coalesce("new.raw_response", "old.raw_response")}
     return merge_by_key(photos, errors, ["id"], changes, insert=False)
 
 
-def requeue(photos: DataFrame, condition: Column, reset_attempts: bool = True) -> DataFrame:
-    changes = {"status": F.lit("queued"), "error": F.lit(None).cast("string"), "started_at": F.lit(None).cast("timestamp_ntz")}
-    return update(photos, condition, changes | ({"attempts": F.lit(0)} if reset_attempts else {}))
+def requeue(photos: DataFrame, condition: Column) -> DataFrame:
+    """Back to the queue with attempts and error as they are."""
+    return update(photos, condition, {"status": F.lit("queued"), "started_at": _no_time(), "finished_at": _no_time()})
+
+
+def _anew(photos: DataFrame, condition: Column) -> DataFrame:
+    changes = {"status": F.lit("queued"), "attempts": F.lit(0), "error": F.lit(None).cast("string"), "started_at": _no_time(), "finished_at": _no_time()}
+    return update(photos, condition, changes)
 
 
 def requeue_errors(photos: DataFrame) -> DataFrame:
-    return requeue(photos, (F.col("status") == "error") & F.col("deleted_at").isNull())
+    """All errors outside the trash start anew."""
+    return _anew(photos, (F.col("status") == "error") & F.col("deleted_at").isNull())
+
+
+def requeue_photos(photos: DataFrame, ids: DataFrame) -> DataFrame:
+    """These ids start anew, trashed ones too."""
+    marked = photos.join(ids.select("id").distinct().withColumn("asked_", F.lit(True)), "id", "left")
+    return _anew(marked, F.col("asked_")).select(*photos.columns)
 
 
 def reset_processing(photos: DataFrame) -> DataFrame:
-    return requeue(photos, F.col("status") == "processing", reset_attempts=False)
+    """What was interrupted waits again; trashed rows and times of finishing stay."""
+    return update(photos, (F.col("status") == "processing") & F.col("deleted_at").isNull(), {"status": F.lit("queued"), "started_at": _no_time()})
 
 
 def reclaim_stale(photos: DataFrame, now: str, lease_seconds: int = 3600) -> DataFrame:
-    """Leases that ran out go back to the queue with their attempts as they are."""
+    """Leases that ran out go back to the queue with their attempts as they are; trashed rows stay."""
     limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lease_seconds))
-    return requeue(photos, (F.col("status") == "processing") & (F.col("started_at") <= limit), reset_attempts=False)
+    changes = {"status": F.lit("queued"), "error": F.lit(None).cast("string"), "started_at": _no_time(), "finished_at": _no_time()}
+    return update(photos, (F.col("status") == "processing") & (F.col("started_at") <= limit) & F.col("deleted_at").isNull(), changes)
 
 
 def start(photos: DataFrame, claimed: DataFrame, now: str) -> DataFrame:
@@ -105,17 +127,32 @@ def restore(photos: DataFrame, condition: Column) -> DataFrame:
 
 
 def sync_hidden(photos: DataFrame, library: DataFrame) -> DataFrame:
-    """Library flags ``(id, hidden)``: it may hide what no user decided about, and show only what it hid itself."""
-    hides = F.col("new.hidden") & ~F.col("old.hidden") & ~F.col("old.hidden_origin").eqNullSafe("user")
-    shows = ~F.col("new.hidden") & F.col("old.hidden") & F.col("old.hidden_origin").eqNullSafe("library")
+    """Library flags ``(id, hidden)``: it may hide what no user decided about, and shows only what it hid itself.
+
+    A row that was hidden without an origin becomes the library's when that hides it; one of the library's loses its
+    origin when that shows it.
+    """
+    hides = F.col("new.hidden") & ~F.col("old.hidden_origin").eqNullSafe("user")
+    shows = ~F.col("new.hidden") & F.col("old.hidden_origin").eqNullSafe("library")
     changes = {"hidden": F.col("new.hidden"), "hidden_origin": F.when(F.col("new.hidden"), "library")}
     return merge_by_key(photos, library, ["id"], changes, hides | shows, insert=False)
 
 
+def import_hidden(photos: DataFrame, locations: DataFrame, source_id: int, hidden_paths: DataFrame) -> DataFrame:
+    """The hidden set ``(path)`` of a library of another kind: what that hid in this source is shown first, then the set is hidden.
+
+    Paths compare without case.
+    """
+    own = locations.where(F.col("source_id") == source_id)
+    paths = hidden_paths.select(F.lower("path").alias("path")).distinct().withColumn("match", F.lit(True))
+    flags = own.select(F.col("photo_id").alias("id"), F.lower("path").alias("path")).join(paths, "path", "left").groupBy("id").agg(F.max(F.coalesce("match", F.lit(False))).alias("hidden"))
+    return sync_hidden(photos, flags)
+
+
 def purge(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
     """All tables without the doomed photo ids and what hangs on them."""
     ids = doomed.select("id").distinct()
-    out = {name: t.join(ids.withColumnRenamed("id", "photo_id"), "photo_id", "left_anti") if name in CHILDREN else t for name, t in tables.items()}
+    out = {name: t.join(ids.withColumnRenamed("id", "photo_id"), "photo_id", "left_anti").select(*t.columns) if name in CHILDREN else t for name, t in tables.items()}
     out["photos"] = tables["photos"].join(ids, "id", "left_anti")
     return out
 
@@ -128,6 +165,14 @@ def remove_source(tables: dict[str, DataFrame], source_id: int) -> dict[str, Dat
     return purge(tables | {"locations": left, "sources": tables["sources"].where(F.col("id") != source_id)}, doomed)
 
 
+def removal_counts(tables: dict[str, DataFrame], source_id: int) -> DataFrame:
+    """One row: locations that go with a source, and photos that are forgotten with them."""
+    gone = tables["locations"].where(F.col("source_id") == source_id)
+    left = tables["locations"].where(F.col("source_id") != source_id).select("photo_id")
+    forgotten = gone.select("photo_id").distinct().join(left, "photo_id", "left_anti").agg(F.count("*").alias("forgotten"))
+    return gone.agg(F.count("*").alias("locations")).crossJoin(F.broadcast(forgotten))  # one row each
+
+
 # people
 
 
@@ -140,16 +185,39 @@ def tag_people(tags: DataFrame, incoming: DataFrame) -> DataFrame:
     return merge_by_key(tags, incoming, ["photo_id", "person_id"], changes, guard)
 
 
-def confirm_tags(tags: DataFrame, keys: DataFrame) -> DataFrame:
-    changes = {"confidence": F.lit(1.0), "origin": F.lit("user"), "present": F.lit(True)}
+def confirm_tags(tags: DataFrame, keys: DataFrame, now: str, add_seed: bool = False) -> DataFrame:
+    """Tags ``(photo_id, person_id)`` become a user's, for certain and present; with ``add_seed`` they are seeds too."""
+    changes = {"confidence": F.lit(1.0), "origin": F.lit("user"), "present": F.lit(True), "seed": F.col("old.seed") | F.lit(add_seed), "updated_at": F.lit(now).cast("timestamp_ntz")}
     return merge_by_key(tags, keys.select("photo_id", "person_id"), ["photo_id", "person_id"], changes, insert=False)
 
 
+def untag(tags: DataFrame, keys: DataFrame) -> DataFrame:
+    return tags.join(keys.select("photo_id", "person_id").distinct(), ["photo_id", "person_id"], "left_anti")
+
+
 def reset_person(tags: DataFrame, person_id: int) -> DataFrame:
     """Without a person's model tags, absences too, so that the photos become candidates again."""
     return tags.where(~((F.col("person_id") == person_id) & (F.col("origin") == "model")))
 
 
+def delete_person(tables: dict[str, DataFrame], person_id: int) -> dict[str, DataFrame]:
+    """Without the person and all tags of theirs."""
+    return tables | {"person_tags": tables["person_tags"].where(F.col("person_id") != person_id), "people": tables["people"].where(F.col("id") != person_id)}
+
+
+def rename_person(people: DataFrame, person_id: int, name: str, now: str) -> DataFrame:
+    """The name with white space collapsed; blank or over 60 characters is an error."""
+    flat = " ".join(name.split())
+    if not 1 <= len(flat) <= 60:
+        raise ValueError("a name has 1 to 60 characters")
+    return update(people, F.col("id") == person_id, {"name": F.lit(flat), "updated_at": F.lit(now).cast("timestamp_ntz")})
+
+
+def describe_person(people: DataFrame, person_id: int, description: str, now: str) -> DataFrame:
+    """The description with white space collapsed, 1,500 characters at most."""
+    return update(people, F.col("id") == person_id, {"description": F.lit(" ".join(description.split())[:1500]), "updated_at": F.lit(now).cast("timestamp_ntz")})
+
+
 # sources
 
 
@@ -218,8 +286,7 @@ def promote_arrivals(tables: dict[str, DataFrame], arrived: DataFrame, requeue:
     out = purge(out, gone.select(F.col("claim_").alias("id"))) | {"photos": photos}
     key = ["source_id", "path"]
     placed = arrived.groupBy(*key).agg(F.min(F.struct("sha256", "mtime", F.col("byte_size").alias("size"))).alias("m_")).select(*key, "m_.*").join(owner, "sha256").drop("sha256")
-    moved = merge_by_key(out["locations"], placed, key, insert=False)
-    out["locations"] = moved.unionByName(insert_new(moved, placed, key, key), allowMissingColumns=True).select(*tables["locations"].columns)
+    out["locations"] = place(out["locations"], placed)
     return out
 
 
@@ -229,8 +296,63 @@ def repoint_assets(assets: DataFrame, photos: DataFrame, arrived: DataFrame) ->
     return assets.join(target, F.lower(assets["uuid"]) == F.col("u_"), "left").withColumn("photo_id", F.coalesce("to_", "photo_id")).select(*assets.columns)
 
 
-def demote_offloaded(photos: DataFrame, missing: DataFrame) -> DataFrame:
-    """Photos ``(id)`` whose original left the disk: flagged, never queued again."""
-    return merge_by_key(photos, missing.select("id"), ["id"], {"offloaded": F.lit(True)}, insert=False)
+def demote_offloaded(tables: dict[str, DataFrame], missing: DataFrame, present: DataFrame, source_id: int) -> dict[str, DataFrame]:
+    """All tables, and ``changed`` (id), after originals of photos ``missing`` (id, preview) left the disk.
 
+    Their places in this source that are not among the ``present`` paths go, a preview's place comes or is taken over, and the photo
+    is flagged but never queued again. Changed are photos with any of these.
+    """
+    gone = missing.groupBy("id").agg(F.min("preview").alias("preview"))
+    ids = gone.select(F.col("id").alias("photo_id"))
+    dead = tables["locations"].where(F.col("source_id") == source_id).join(ids, "photo_id", "left_semi").join(present.select("path"), "path", "left_anti").select("id", "photo_id")
+    kept = tables["locations"].join(dead.select("id"), "id", "left_anti")
+    shown = gone.where("preview is not null").select(F.lit(source_id).cast("long").alias("source_id"), F.col("preview").alias("path"), F.col("id").alias("photo_id"), F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"))
+    changed = dead.select(F.col("photo_id").alias("id")).union(shown.select("photo_id")).union(tables["photos"].where(~F.col("offloaded")).select("id").join(gone.select("id"), "id", "left_semi")).distinct()
+    photos = merge_by_key(tables["photos"], gone.select("id"), ["id"], {"offloaded": F.lit(True)}, insert=False)
+    return tables | {"locations": place(kept, shown, repoint_only=True), "photos": photos, "changed": changed}
+
+
+def place(locations: DataFrame, placed: DataFrame, repoint_only: bool = False) -> DataFrame:
+    """Upsert of places ``(source_id, path, photo_id, mtime, size)`` by source and path; new ones get the next ids."""
+    key = ["source_id", "path"]
+    changes = {"photo_id": F.col("new.photo_id")} if repoint_only else None
+    moved = merge_by_key(locations, placed, key, changes, insert=False)
+    return moved.unionByName(insert_new(moved, placed, key, key), allowMissingColumns=True).select(*locations.columns)
 
+
+def ensure_deferred(tables: dict[str, DataFrame], wanted: DataFrame, source_id: int, queue: bool = True, now: str | None = None) -> dict[str, DataFrame]:
+    """All tables after assets ``(uuid, path, derivative, hidden)`` whose original is elsewhere were registered.
+
+    Identity is that of the asset until the content comes. With a preview it is queued, unless ``queue`` is false; without one
+    it waits. The library's hidden flag comes along. An asset that is registered stays as it is; a path becomes its place.
+    """
+    rows = wanted.groupBy(deferred_key(F.col("uuid")).alias("sha256")).agg(F.min("path").alias("path"), F.max("derivative").alias("derivative"), F.max("hidden").alias("hidden"))
+    photos = tables["photos"]
+    given = {
+        "byte_size": F.lit(0).cast("long"),
+        "status": F.when(F.col("derivative") & F.lit(queue), "queued").otherwise("deferred"),
+        "hidden_origin": F.when(F.col("hidden"), "library"),
+        "attempts": F.lit(0),
+        "first_seen_at": F.lit(now).cast("timestamp_ntz"),
+    } | {c: F.lit(False) for c in ("tiled", "gated", "offloaded")}
+    added = insert_new(photos, rows, ["sha256"], ["sha256"]).withColumns(given)
+    after = photos.unionByName(added.select(*[(F.col(f.name) if f.name in added.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in photos.schema]))
+    owner = after.select("sha256", F.col("id").alias("photo_id"))
+    shown = rows.where("path is not null").join(owner, "sha256").select(F.lit(source_id).cast("long").alias("source_id"), "path", "photo_id", F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("size"))
+    return tables | {"photos": after, "locations": place(tables["locations"], shown, repoint_only=True)}
+
+
+def record_assets(assets: DataFrame, seen: DataFrame) -> DataFrame:
+    """Upsert of ``(source_id, uuid, photo_id)``; uuids are trimmed and compare without case, and a known one keeps its spelling."""
+    old = assets.withColumn("u_", F.lower("uuid"))
+    new = seen.select("source_id", F.trim("uuid").alias("uuid"), "photo_id").withColumn("u_", F.lower("uuid"))
+    new = new.groupBy("source_id", "u_").agg(F.max_by("uuid", "photo_id").alias("uuid"), F.max("photo_id").alias("photo_id"))
+    return merge_by_key(old, new, ["source_id", "u_"], {"photo_id": F.col("new.photo_id")}).select(*assets.columns)
+
+
+def spell_assets(assets: DataFrame, locations: DataFrame) -> DataFrame:
+    """Uuids as the first 36 characters of a file name of the photo spell them, where these differ in case only."""
+    name = F.substring_index("path", "/", -1)
+    stems = locations.where(F.length(name) > 36).select("photo_id", F.substring(name, 1, 36).alias("stem"))
+    stems = stems.groupBy("photo_id", F.lower("stem").alias("uuid")).agg(F.min("stem").alias("stem"))
+    return assets.join(stems, ["photo_id", "uuid"], "left").withColumn("uuid", F.coalesce("stem", "uuid")).select(*assets.columns)

@@ -26,12 +26,13 @@ class Catalog:
     embeddings: DataFrame
     people: DataFrame
     tags: DataFrame
+    folder: str
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    rows = docs.groupBy("text").agg(F.min("doc_id").alias("id"), F.min("source").alias("context"), F.min("lang").alias("language"), F.min("n_chars").alias("byte_size"))
-    rows = rows.withColumn("sha256", F.sha2("text", 256))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").withColumn("sha256", F.sha2("text", 256))
+    rows = docs.groupBy("sha256").agg(F.min("doc_id").alias("id"), F.min("source").alias("context"), F.min("lang").alias("language"), F.min("n_chars").alias("byte_size"))
+    rows = rows.join(docs.select(F.col("doc_id").alias("id"), "sha256", "text"), ["id", "sha256"])  # grouped by digest, so only one copy of a text moves
     status = "CASE id % 10 WHEN 0 THEN 'error' WHEN 1 THEN 'queued' WHEN 2 THEN 'processing' WHEN 3 THEN 'deferred' ELSE 'done' END"
     names = ", ".join(f"'{c}'" for c in CATEGORIES)
     return rows.withColumn("status", F.expr(status)).select(
@@ -98,7 +99,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    return Catalog(*(f(spark, sf_dir) for f in (photos, sources, locations, embeddings, people, tags)))
+    return Catalog(*(f(spark, sf_dir) for f in (photos, sources, locations, embeddings, people, tags)), sf_dir)
 
 
 _NAMES = ", ".join(f"'{c}'" for c in CATEGORIES)

@@ -1,46 +1,213 @@
-"""Ingest of picture files: listing, sniffing, hashing, fast path and dedup by content."""
+"""Ingest of picture files: listing, sniffing, slices, fast path, hashing and dedup by content."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.transitions import insert_new, merge_by_key
+from cairn.operators.transitions import fill_dates, insert_new, merge_by_key, place
+from cairn.workspace import cut
 
 #: Extensions read as pictures and extensions passed over.
-IMAGES = "jpg jpeg png heic heif tif tiff gif bmp webp dng raw".split()
-OTHERS = "mov mp4 m4v avi aae xmp txt json db plist".split()
+IMAGES = "jpg jpeg jfif png heic heif tif tiff webp bmp gif jp2 jpx j2k pict pct psd tga ico dng cr2 crw nef arw orf raf rw2 sr2 pef".split()
+OTHERS = "mov mp4 m4v avi mkv 3gp wmv db db-wal db-shm plist aae json xml txt rtf pdf mp3 m4a wav aiff zip gz".split()
+#: First bytes of picture formats, as hex.
+MAGIC = ("FFD8FF", "89504E47", "47494638", "424D", "49492A00", "4D4D002A", "0000000C6A5020200D0A870A", "38425053", "00000100")
+#: Suffixes of photo libraries, and where their originals lie.
+LIBRARY_SUFFIXES = (".photoslibrary", ".photolibrary")
+ORIGINALS = ("originals", "Originals", "Masters", "masters")
+#: What a scan counts.
+COUNTERS = ("images_found", "new_photos", "updated", "unchanged", "errors", "slice_skipped", "deferred", "previews", "bad_names", "offloaded", "library_hidden", "vision_ocr")
+
 
+def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """``path, mtime, size`` of a tree, with ``content`` only if asked for: a listing reads no file.
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, mtime, size, content`` of a tree; hidden files and folders are skipped, unreadable files too."""
+    Hidden files and folders are skipped, unreadable files too.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    return files.where("length > 0").select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    return files.select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
 
 
-def is_image(path: Column, content: Column) -> Column:
-    """By extension, else by the first bytes: JPEG, PNG, GIF, BMP, TIFF, WebP."""
+def extension(path: Column) -> Column:
     name = F.substring_index(path, "/", -1)
-    ext = F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
-    head = F.hex(F.substring(content, 1, 12))
-    sniffed = F.lit(False)
-    for magic in ("FFD8FF", "89504E47", "47494638", "424D", "49492A00", "4D4D002A"):
-        sniffed = sniffed | head.startswith(magic)
-    sniffed = sniffed | (head.startswith("52494646") & head.endswith("57454250"))
-    return F.when(ext.isin(*IMAGES), True).when(ext.isin(*OTHERS), False).otherwise(sniffed)
+    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
+
+
+def by_name(path: Column) -> Column:
+    """Whether the extension says picture or not; null if it says nothing."""
+    return F.when(extension(path).isin(*IMAGES), True).when(extension(path).isin(*OTHERS), False)
+
+
+def sniffed(head: Column) -> Column:
+    """Whether the first bytes are those of a picture format."""
+    found = F.hex(F.substring(head, 1, 12))
+    other = (found.startswith("52494646") & found.endswith("57454250")) | F.substring(found, 9, 8).isin("66747970")
+    return reduce(lambda a, b: a | b, [found.startswith(m) for m in MAGIC], other)
+
+
+def is_image(path: Column, content: Column) -> Column:
+    """By extension, else by the first bytes."""
+    return F.coalesce(by_name(path), sniffed(content))
 
 
-def scan(photos: DataFrame, locations: DataFrame, files: DataFrame, source_id: int) -> tuple[DataFrame, DataFrame]:
-    """Photos and locations after a scan of one source.
+def hash_files(files: DataFrame) -> DataFrame:
+    """``files`` with ``sha256`` and ``head`` (16 bytes), read in pieces by the task that has the path; both null if it can't be read."""
 
-    Files whose path, time and size are known are left out before anything is hashed; new content becomes a
-    queued photo with the next id in order of path, known content only another location.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_digest(p) for p in batch.column(batch.schema.get_field_index("path")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=[*batch.schema.names, "sha256", "head"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes)
+    return files.mapInArrow(run, f"{schema}, sha256 string, head binary")
+
+
+def _digest(path: str) -> tuple[str | None, bytes | None]:
+    try:
+        store, place_ = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:"))
+        found, head = hashlib.sha256(), None
+        with store.open_input_stream(place_) as stream:
+            while piece := stream.read(1 << 20):
+                head = head or piece[:16]
+                found.update(piece)
+        return found.hexdigest(), head
+    except OSError:
+        return None, None
+
+
+def resolve_source(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Where the pictures of a source lie, and its kind: a library is entered at the first folder of originals that it has."""
+    jvm = spark.sparkContext._jvm
+    root = path.rstrip("/")
+    store = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(jvm.org.apache.hadoop.fs.Path(root)):
+        raise FileNotFoundError(f"path not found: {path}")
+    if not root.endswith(LIBRARY_SUFFIXES):
+        return root, "folder"
+    for name in ORIGINALS:
+        if store.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")):
+            return f"{root}/{name}", "library"
+    raise ValueError(f"{path} looks like a photo library without originals")
+
+
+def register_source(sources: DataFrame, uri: str, kind: str) -> DataFrame:
+    """The sources with this one, under the id it has or the next."""
+    new = sources.sparkSession.createDataFrame([(uri, kind)], "uri string, kind string")
+    return sources.unionByName(insert_new(sources, new, ["uri"], ["uri"]), allowMissingColumns=True)
+
+
+def parse_ids(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``kind, id`` of the lines of an ids file, ``#`` comments and blank lines left out: a number, a path if it holds a slash, else a uuid.
+
+    Paths and uuids are in lower case, for they compare without it.
     """
+    line = F.trim(F.col(column))
+    rows = lines.select(line.alias("line")).where("line <> '' and not startswith(line, '#')")
+    kind = F.when(F.col("line").rlike("^[0-9]+$"), "id").when(F.col("line").contains("/"), "path").otherwise("uuid")
+    return rows.select(kind.alias("kind"), F.lower("line").alias("id")).distinct()
+
+
+def in_slice(files: DataFrame, allowed: list[DataFrame] = (), date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """Files whose path is in every one of the ``allowed`` sets (path, without case) and whose time is in the range.
+
+    The time is ``date_taken`` where the table has one, else the file's.
+    """
+    for paths in allowed:
+        wanted = paths.select(F.lower("path").alias("allowed_")).distinct()
+        files = files.join(wanted, F.lower(files["path"]) == wanted["allowed_"], "left_semi")
+    written = F.timestamp_seconds("mtime").cast("timestamp_ntz")
+    time = F.coalesce("date_taken", written) if "date_taken" in files.columns else written
+    for bound, test in ((date_from, time.__ge__), (date_to, time.__le__)):
+        if bound is not None:
+            files = files.where(test(F.lit(bound).cast("timestamp_ntz")))
+    return files
+
+
+def unchanged(files: DataFrame, locations: DataFrame, source_id: int) -> DataFrame:
+    """Files whose path, time and size are known; nothing of them is read."""
+    return files.join(locations.where(F.col("source_id") == source_id).select("path", "mtime", "size"), ["path", "mtime", "size"], "left_semi")
+
+
+def scan(tables: dict[str, DataFrame], files: DataFrame, source_id: int, *, digest: Callable[[DataFrame], DataFrame] = hash_files, allowed: list[DataFrame] = (), date_from: str | None = None, date_to: str | None = None, limit: int | None = None, now: str | None = None) -> dict[str, DataFrame]:
+    """All tables after a scan of one source, and ``stats``, a row of what it counted.
+
+    ``files`` (path, mtime, size, perhaps date_taken) is a listing; empty files and names that are no pictures are passed over.
+    Files whose path, time and size are known are left out before anything is read; those left get ``sha256`` by ``digest``,
+    null if they can't be read; a file that neither its name nor its first bytes show to be a picture is left. New content becomes a queued photo with the next id in order of path, known content only
+    another location. With a ``limit`` the scan stops behind the file that brought that many new photos. A capture
+    date fills a gap.
+    """
+    photos, locations = tables["photos"], tables["locations"]
+    listed = files.where("size > 0").withColumn("named_", by_name(F.col("path"))).where("coalesce(named_, true)")
+    wanted = in_slice(listed, allowed, date_from, date_to)
     known = locations.where(F.col("source_id") == source_id).select("path", "mtime", "size")
-    fresh = files.join(known, ["path", "mtime", "size"], "left_anti").where(is_image(F.col("path"), F.col("content")))
-    hashed = fresh.select("path", "mtime", "size", F.sha2("content", 256).alias("sha256"))
-    first = hashed.groupBy("sha256").agg(F.min("path").alias("path"), F.first("size").alias("byte_size"))
-    added = insert_new(photos, first.withColumn("status", F.lit("queued")), ["sha256"], ["path"]).drop("path")
-    after = photos.unionByName(added, allowMissingColumns=True)
-    placed = hashed.join(after.select(F.col("id").alias("photo_id"), "sha256"), "sha256").select(F.lit(source_id).cast("long").alias("source_id"), "path", "photo_id", "mtime", "size")
-    return after, merge_by_key(locations, placed, ["source_id", "path"])
+    asked = digest(wanted.join(known, ["path", "mtime", "size"], "left_anti"))
+    columns = [c for c in ("path", "mtime", "size", "date_taken", "named_", "sha256", "head") if c in asked.columns]
+    looked = cut(asked.select(*columns), "hashed")  # every file is read once
+    read = looked.where(F.coalesce("named_", sniffed(F.col("head")), F.lit(False))) if "head" in columns else looked
+    good = read.where("sha256 is not null")
+    first = good.groupBy("sha256").agg(F.min("path").alias("path"), F.min_by("size", "path").alias("byte_size"))
+    fresh = first.join(photos.select("sha256"), "sha256", "left_anti")
+    if limit is not None:
+        last = fresh.orderBy("path").limit(limit).agg(F.when(F.count("*") == limit, F.max("path")).alias("last_"))
+        listed, wanted, looked, read, good, fresh = (t.crossJoin(F.broadcast(last)).where("last_ is null or path <= last_").drop("last_") for t in (listed, wanted, looked, read, good, fresh))  # one row
+    given = {"status": F.lit("queued"), "attempts": F.lit(0), "first_seen_at": F.lit(now).cast("timestamp_ntz")} | {c: F.lit(False) for c in ("tiled", "gated", "hidden", "derivative", "offloaded")}
+    added = insert_new(photos, fresh, ["sha256"], ["path"]).withColumns(given)
+    after = photos.unionByName(added.select(*[(F.col(f.name) if f.name in added.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in photos.schema]))
+    owner = after.select(F.col("id").alias("photo_id"), "sha256")
+    placed = good.join(owner, "sha256")
+    if "date_taken" in files.columns:
+        after = fill_dates(after, placed.where("date_taken is not null").select(F.col("photo_id").alias("id"), "date_taken"))
+    where = place(locations, placed.select(F.lit(source_id).cast("long").alias("source_id"), "path", "photo_id", "mtime", "size"))
+
+    def one(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.count("*").alias(name))
+
+    counts = {"listed": one(listed, "listed"), "in_slice": one(wanted, "in_slice"), "looked": one(looked, "looked"), "read": one(read, "read"), "errors": one(read.where("sha256 is null"), "errors"), "new_photos": one(fresh, "new_photos")}
+    row = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts.values())  # one row each
+    stats = row.select(
+        (F.col("listed") - F.col("looked") + F.col("read")).alias("images_found"), "new_photos", (F.col("read") - F.col("errors") - F.col("new_photos")).alias("updated"), (F.col("in_slice") - F.col("looked")).alias("unchanged"), "errors", (F.col("listed") - F.col("in_slice")).alias("slice_skipped"),
+        *[F.lit(0).cast("long").alias(c) for c in COUNTERS[6:]],
+    )
+    return tables | {"photos": after, "locations": where, "stats": stats}
+
+
+def total_stats(parts: list[DataFrame]) -> DataFrame:
+    """One row with the sums of what several scans counted."""
+    return reduce(DataFrame.unionByName, parts).agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def scan_all(tables: dict[str, DataFrame], listings: dict[int, DataFrame], **options) -> dict[str, DataFrame]:
+    """All sources one after another, each over the tables that the one before left; ``stats`` are the sums."""
+    stats = []
+    for source_id, files in listings.items():
+        tables = scan(tables, files, source_id, **options)
+        stats.append(tables["stats"])
+    return tables | {"stats": total_stats(stats)}
+
+
+def taken_at(original: Column, changed: Column) -> Column:
+    """Capture time of two picture tags, the original before the other; zone and fractions are cut off, two formats are read."""
+    raw = F.trim(F.when(F.coalesce(original, F.lit("")) != "", original).otherwise(changed))
+    head = F.trim(F.substring_index(F.substring_index(raw, "+", 1), ".", 1))
+    parsed = [F.try_to_timestamp(head, F.lit(f)) for f in ("yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss")]
+    return F.coalesce(*parsed).cast("timestamp_ntz")
+
+
+def backfill_dates(photos: DataFrame, found: DataFrame, use_file_time: bool = False) -> DataFrame:
+    """Dates ``(id, taken, mtime)`` where none is known: the capture time, else with ``use_file_time`` the file's."""
+    fallback = F.timestamp_seconds("mtime").cast("timestamp_ntz") if use_file_time else F.lit(None).cast("timestamp_ntz")
+    rows = found.select("id", F.coalesce("taken", fallback).alias("date_taken")).where("date_taken is not null")
+    return fill_dates(photos, rows)
+
+
+def fill_missing(photos: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """Values ``(id, <column>)``, of hashes or recognised text, where the photo has none; trashed rows too."""
+    return merge_by_key(photos, found.select("id", column).where(F.col(column).isNotNull()), ["id"], {column: F.coalesce(f"old.{column}", f"new.{column}")}, insert=False)

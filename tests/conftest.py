@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -43,7 +44,7 @@ def oracle(sf):
 
 def _rows(df):
     def one(v):
-        if v is None or v != v or str(v) == "NaT":
+        if v is None or pd.isna(v):
             return ""
         return repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
