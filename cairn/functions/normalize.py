@@ -83,10 +83,10 @@ def model_name(name: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes with one decimal in the largest unit that leaves at least 1."""
+    """Bytes with one decimal, half to even, in the largest unit that leaves at least 1."""
     out = F.format_string("%d B", n.cast("long"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), start=1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / 1024**power)).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / 1024**power, 1))).otherwise(out)
     return out
 
 

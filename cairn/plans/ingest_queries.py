@@ -211,7 +211,7 @@ def _sides() -> list:
     return [F.expr("cast(id % 977 + 1 as int)"), F.expr("cast(id % 613 + 1 as int)")]
 
 
-_TW, _TH = "least(w, greatest(1, round_even(w * 0.58, 0)))", "least(h, greatest(1, round_even(h * 0.58, 0)))"
+_TW, _TH = "least(w, greatest(1, round_even(w * 0.58::DOUBLE, 0)))", "least(h, greatest(1, round_even(h * 0.58::DOUBLE, 0)))"
 _WH = "wh AS (SELECT id, id % 977 + 1 AS w, id % 613 + 1 AS h FROM photos)"
 _add("tile_boxes", lambda c: c.photos.select("id", F.posexplode(geometry.tiles(*_sides())).alias("tile", "b")).select("id", "tile", "b.*"), f"SELECT id, t AS tile, CAST(CASE WHEN t % 2 = 0 THEN 0 ELSE w - {_TW} END AS INTEGER) AS left, CAST(CASE WHEN t < 2 THEN 0 ELSE h - {_TH} END AS INTEGER) AS top, CAST(CASE WHEN t % 2 = 0 THEN {_TW} ELSE w END AS INTEGER) AS right, CAST(CASE WHEN t < 2 THEN {_TH} ELSE h END AS INTEGER) AS bottom FROM wh, (SELECT unnest(range(0, 4)) AS t)", _WH)
 _add("crop_box", lambda c: c.photos.select("id", geometry.crop(F.expr("struct(cast(id % 200 - 20 as int) AS x, cast(id % 90 as int) AS y, cast(id % 70 as int) AS w, cast(id % 40 as int) AS h)"), *_sides()).alias("b")).select("id", "b.*"), "SELECT id, CASE WHEN ok THEN l END AS left, CASE WHEN ok THEN t END AS top, CASE WHEN ok THEN r END AS right, CASE WHEN ok THEN b END AS bottom FROM (SELECT *, r > l AND b > t AS ok FROM (SELECT id, greatest(0, x - floor(bw * 0.2)) AS l, greatest(0, y - floor(bh * 0.2)) AS t, least(w, x + bw + floor(bw * 0.2)) AS r, least(h, y + bh + floor(bh * 0.2)) AS b FROM (SELECT *, greatest(0, id % 200 - 20) AS x, id % 90 AS y, greatest(1, id % 70) AS bw, greatest(1, id % 40) AS bh FROM wh)))", _WH)
