@@ -4,7 +4,7 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. The
 strings of all items of a block; document words are streamed through it while the length of the
 longest match ending at each word is tracked. A match of ``window`` words, or of a whole shorter item,
 is a hit. Items are read in blocks of at most ``block_words`` words, so that what is broadcast keeps
-its bound however large the benchmark is; each block is one more narrow pass over the documents.
+its bound however large the benchmark is; each block is one more narrow pass over the documents, which writes hits only.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -175,48 +176,77 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     A null or empty text has no words and no hits; items without words are ignored; an item
     with a null id hits words but is not listed; repeated items and repeated documents each count as
     they stand; an empty benchmark hits nothing, and an empty table gives an empty result. Other columns pass through, but
-    those named like a result, ``earlier_hits_`` or ``earlier_items_`` give way. An item of more than
+    those named like a result, ``row_``, ``hit_words_`` or ``hit_items_`` give way. An item of more than
     ``block_words`` words is a block of its own.
     """
     return _passes(docs, benchmark, text, item_key, item_text, window, block_words, None)
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, window: int, block_words: int, finish) -> DataFrame:
-    """One pass for each block of items; ``finish`` adds columns in the last of them."""
+    """The documents with what was found; ``finish`` is a column of the result and how it is made.
+
+    One block of items is one narrow pass. Of several, each is a pass that writes the hits alone, which are then joined to the
+    documents; these are written once, however many blocks there are.
+    """
     spark = docs.sparkSession
-    out = docs.drop("n_words", "hit_words", "hit_items", *_EARLIER)
-    blocks = _one_ahead(_blocks(benchmark, item_key, item_text, block_words))
-    for number, (block, more) in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(Automaton(block, window))
-        out = _pass(out, shared, text, number > 0, None if more else finish)
-        if more:
-            out = cut(out, "contamination")
-    return out
+    out = docs.drop("n_words", "hit_words", "hit_items", "row_", "hit_words_", "hit_items_")
+    parts = []
+    for block, more in _one_ahead(_blocks(benchmark, item_key, item_text, block_words)):
+        shared, name = spark.sparkContext.broadcast(Automaton(block, window)), uuid.uuid4().hex
+        if not more and not parts:
+            return append(out, f"{_FOUND}, {finish[0]}" if finish else _FOUND, _whole_pass(shared, name, text, finish))
+        if not parts:
+            out = cut(out.withColumn("row_", F.monotonically_increasing_id()), "documents")
+        parts.append(cut(append(out.select("row_", text), "hit_words array<int>, hit_items array<string>", _hit_pass(shared, name, text)).drop(text).where(F.size("hit_words") > 0), "hits"))
+        shared.destroy()
+    hits = reduce(DataFrame.union, parts).groupBy("row_").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(f"{c}_") for c in ("hit_words", "hit_items")])
+    met = out.join(hits, "row_", "left").drop("row_")
+    return append(met, f"{_FOUND}, {finish[0]}" if finish else _FOUND, _joined_pass(text, finish)).drop("hit_words_", "hit_items_")
 
 
-_EARLIER = ("earlier_hits_", "earlier_items_")
 _FOUND = "n_words long, hit_words array<int>, hit_items array<string>"
 
 
-def _pass(docs: DataFrame, shared, text: str, again: bool, finish) -> DataFrame:
-    name = uuid.uuid4().hex
+def _found(bodies: list[bytes | None], n_words: list[int], hits: list, items: list[list[str]], finish) -> list[pa.Array]:
+    more = [finish[1](bodies, n_words, hits)] if finish else []
+    return [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *more]
+
+
+def _scanned(shared, name: str, bodies: list[bytes | None]) -> tuple[list[int], list[np.ndarray], list[list[str]]]:
+    automaton: Automaton = resident(("automaton", name), lambda: shared.value)
+    n_words, hits, items = [], [], []
+    for body in bodies:
+        words = item_words(body)
+        at, names = automaton.scan(words)
+        n_words.append(len(words))
+        hits.append(at.astype(np.int32))
+        items.append(sorted(x for x in names if x is not None))
+    return n_words, hits, items
 
+
+def _whole_pass(shared, name: str, text: str, finish):
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
-        automaton: Automaton = resident(("automaton", name), lambda: shared.value)
-        n_words, hits, items = [], [], []
         bodies = raw(batch, text)
-        earlier = [values(batch, c) for c in _EARLIER] if again else [repeat(None), repeat(())]
-        for body, old_hits, old_items in zip(bodies, *earlier, strict=False):
-            words = item_words(body)
-            at, names = automaton.scan(words)
-            n_words.append(len(words))
-            hits.append(np.union1d(at, np.array(old_hits, dtype=np.int64)).astype(np.int32) if old_hits else at.astype(np.int32))
-            items.append(sorted({x for x in names if x is not None} | set(old_items)))
-        more = [finish[1](bodies, n_words, hits)] if finish else []
-        return [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), *more]
-
-    moved = docs.withColumnsRenamed(dict(zip(("hit_words", "hit_items"), _EARLIER, strict=True))) if again else docs
-    return append(moved, f"{_FOUND}, {finish[0]}" if finish else _FOUND, each).drop(*_EARLIER)
+        return _found(bodies, *_scanned(shared, name, bodies), finish)
+
+    return each
+
+
+def _hit_pass(shared, name: str, text: str):
+    def each(batch: pa.RecordBatch) -> list[pa.Array]:
+        _, hits, items = _scanned(shared, name, raw(batch, text))
+        return [pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+
+    return each
+
+
+def _joined_pass(text: str, finish):
+    def each(batch: pa.RecordBatch) -> list[pa.Array]:
+        bodies = raw(batch, text)
+        hits = [np.array(h or [], dtype=np.int32) for h in values(batch, "hit_words_")]
+        return _found(bodies, [len(item_words(b)) for b in bodies], hits, [i or [] for i in values(batch, "hit_items_")], finish)
+
+    return each
 
 
 def _one_ahead(items: Iterator) -> Iterator[tuple]:
