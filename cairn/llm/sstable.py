@@ -217,8 +217,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
     Rows are range-partitioned by key and, so that one key with many rows still spreads, by a hash
     of the text; within equal keys they stand in the order of that hash and the text. A null text
-    is empty. Each shard is written under the name of its task attempt and moved
-    into place when whole, so a repeated task leaves the same file. The driver gets a row a shard.
+    is empty; ids are integers or strings, null ids sort first; an empty table writes nothing. Each shard is written under the
+    name of its task attempt and moved into place when whole, so a repeated task leaves the same file, and what failed attempts
+    left is swept. The driver gets a row a shard.
     """
     width = 2 if max(library_tokenizer(tokenizer).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
 
@@ -237,7 +238,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             nonlocal writer
             writer.close()
             name = f"part-{part:06d}-{len(made):04d}.sst"
-            store.move(posixpath.join(root, f".{name}.{attempt}"), posixpath.join(root, name))
+            target = posixpath.join(root, name)
+            if store.get_file_info(target).type == pa.fs.FileType.File:  # an earlier attempt of this task was as far
+                store.delete_file(target)
+            store.move(posixpath.join(root, f".{name}.{attempt}"), target)
             made.append((f"{folder}/{name}", part, len(made), str(decode_key(writer.keys[0])), writer.entries, writer.tokens))
             writer = None
 
@@ -257,11 +261,22 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
     tie = F.xxhash64(text)
     rows = docs.select(key, text).repartitionByRange(F.col(key), tie).sortWithinPartitions(F.col(key), tie, F.col(text))
-    return sorted(rows.mapInArrow(run, MANIFEST).collect(), key=lambda r: (r["part"], r["roll"]))
+    made = sorted(rows.mapInArrow(run, MANIFEST).collect(), key=lambda r: (r["part"], r["roll"]))
+    if made:
+        _sweep(folder)
+    return made
+
+
+def _sweep(folder: str) -> None:
+    """Remove what attempts that failed have left."""
+    store, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder.removeprefix("file:"))
+    for found in store.get_file_info(pa.fs.FileSelector(root)):
+        if found.base_name.startswith(".part-"):
+            store.delete_file(found.path)
 
 
 def read_tokens(spark, manifest: list, key_type: str = "long") -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` of every entry of the shards, one task a shard or more."""
+    """``(doc_id, start, n_tokens, ids)`` of every entry of the shards, one task a shard; no shards give an empty result."""
     rows, start = [], 0
     for r in manifest:
         rows.append((r["path"], start))

@@ -60,6 +60,47 @@ def test_shards_round_trip(spark, odd):
     assert len(found) == 2 and not any(sstable.open_shard(m.path).get(10**9) for m in manifest)
 
 
+def test_the_registered_shard_query(spark, tmp_path):
+    from zlib import crc32
+
+    from tokenizers import Tokenizer
+
+    bpe, rng = Tokenizer.from_file(P.path("word_bpe_49k.json")), np.random.default_rng(8)
+    letters = [*"AJTWYHEhjtwyaeo  ,.'1", *map(chr, range(0x300, 0x345, 3)), "\u0331", "\u030c", "\u0308", "\u0344", "\u030a", "\u00e9", "\u65e5", "\n", "<|", "|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)]
+    rows = [(i // 2, t if i % 50 else None) for i, t in enumerate(texts)] + [(9, "same"), (9, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(registry.queries()["op2_token_shards"](spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    want = {i: sorted(crc32(np.array(bpe.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for j, t in rows if j == i) for i, _ in rows}
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
+    assert {i: sorted(r.ids_crc32 for r in found if r.doc_id == i) for i in list(want)[:400]} == {i: want[i] for i in list(want)[:400]}
+    assert [r.start for r in found] == np.cumsum([0, *[r.n_tokens for r in found[:-1]]]).tolist()
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert registry.queries()["op2_token_shards"](spark, f"{tmp_path}/none").count() == 0
+    named = spark.createDataFrame([("b", "two"), ("a", "one"), (None, "x")], "doc_id string, text string")
+    manifest = sstable.write_tokens(named, fresh_dir(spark, "t"), P.path("word_bpe_49k.json"), 2)
+    assert [r.doc_id for r in sorted(sstable.read_tokens(spark, manifest, "string").collect(), key=lambda r: r.start)] == [None, "a", "b"]
+
+
+def test_long_and_no_texts_at_all(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long = "A long text, with 12 words and \u00e9\u00e8 " * 20_000
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    bpe, sp = Tokenizer.from_file(P.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert token_counts.count_tokens(df, P.path("byte_bpe_50k.json")).first().n_tokens == len(bpe.encode(long, add_special_tokens=False).ids)
+    assert pieces.encode_decode(df, P.path("piece_bpe_32k.model")).first().n_tokens == len(sp.encode(long, add_bos=True, add_eos=True))
+    assert token_counts.count_tokens(df.limit(0), P.path("byte_bpe_50k.json")).count() == pieces.encode_decode(df.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_capitals_before_marks_equal_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -180,7 +221,7 @@ def test_automaton_blocks_and_spans(spark):
         assert set(kept) == {1, 2, 3, 5} and kept[3] is None
     none = decontamination.find_contamination(docs.union(docs), items.limit(0)).collect()
     assert len(none) == 10 and not any(r.hit_words or r.hit_items for r in none)
-    far = spark.createDataFrame([(1, "z " * 50_000 + item + " z" * 50_000, "x", "y")], "doc_id long, text string, earlier_hits_ string, hit_items string")
+    far = spark.createDataFrame([(1, "z " * 50_000 + item + " z" * 50_000, "x", "y")], "doc_id long, text string, hit_words_ string, hit_items string")
     assert decontamination.find_contamination(far, items).first().hit_words == list(range(50_000, 50_014))
     kept = {r.doc_id: r.text for r in decontamination.decontaminate(docs, items).collect()}
     assert kept[1].startswith("x , y") and kept[2] == "has  inside and many more words of its own" and 4 not in kept and kept[3] is None
