@@ -78,6 +78,17 @@ def person_name(name: Column) -> Column:
     return F.when(F.length(flat).between(1, 60), flat)
 
 
+def clean_text(raw_bytes: Column) -> Column:
+    """Bytes as text; what is no valid UTF-8, lone surrogates among them, becomes U+FFFD."""
+    return F.make_valid_utf8(raw_bytes.cast("string"))
+
+
+def recognised_text(lines: Column) -> Column:
+    """Lines that a recogniser found as one text, blank ones left out; null if nothing is left."""
+    text = F.array_join(F.filter(F.transform(lines, strip), lambda x: x != ""), "\n")
+    return F.when(text != "", text)
+
+
 def model_name(name: Column) -> Column:
     return F.regexp_replace(name, ":latest$", "")
 

@@ -13,6 +13,7 @@ from cairn.schema import TABLES
 from cairn.sources import driver_views as D
 from cairn.sources import files, library
 from cairn.sources.stub_model import StubModel
+from cairn.streaming import run
 
 _NOW = "2024-08-08"
 
@@ -177,6 +178,22 @@ _add(
 )
 
 
+def _run(c: D.Catalog) -> DataFrame:
+    """A scan of the pages and then the whole queue, by the stub."""
+    done = run.run_once(_tables(c), {99: _listing(c)}, lambda t: t["photos"].select("id", F.col("id").cast("string").cast("binary").alias("image")), StubModel(), _NOW, extract.Policy(backoff_seconds=0.0), digest=_digest)
+    return done["counts"]
+
+
+_add(
+    "run_once",
+    _run,
+    f"""SELECT coalesce(status, 'total') AS status, count(*) AS n FROM (
+    SELECT CASE WHEN (status = 'queued' OR status = 'processing') AND (attempts >= 3 OR id % 7 = 3) THEN 'error' WHEN status IN ('queued', 'processing') THEN 'done' ELSE status END AS status FROM photos WHERE {_ALIVE}
+    UNION ALL SELECT CASE WHEN (m + r) % 7 = 3 THEN 'error' ELSE 'done' END FROM (SELECT row_number() OVER (ORDER BY path) AS r, (SELECT max(id) FROM photos) AS m FROM firsts WHERE sha256 NOT IN (SELECT sha256 FROM photos))) GROUP BY ROLLUP (status)""",
+    _FILES,
+)
+
+
 def _matched(c: D.Catalog) -> DataFrame:
     some = c.people.where("id < 3").withColumn("description", F.lit(None).cast("string"))
     faces = c.photos.select("id", (F.col("id") % 2).alias("n"))
@@ -219,6 +236,7 @@ _add("faces_ranked", lambda c: c.photos.select("id", F.posexplode(geometry.large
 _add("face_pixels", lambda c: c.photos.select("id", geometry.pixels(F.expr("struct(0.25D AS x, 0.5D AS y, (id % 4) / 8.0D AS w, 0.25D AS h)"), *_sides()).alias("b")).select("id", "b.*"), "SELECT id, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN bw END AS w, CASE WHEN ok THEN bh END AS h FROM (SELECT *, bw > 0 AND bh > 0 AS ok FROM (SELECT id, floor(0.25 * w) AS x, floor(0.25 * h) AS y, floor((id % 4) / 8.0 * w) AS bw, floor(0.25 * h) AS bh FROM wh))", _WH)
 _add("display_size", lambda c: c.photos.select("id", geometry.display_size(*_sides(), F.expr("cast(nullif(id % 9, 0) as int)")).alias("s"), geometry.within_budget(*_sides(), 100_000).alias("fits")).select("id", "s.*", "fits"), "SELECT id, CASE WHEN id % 9 IN (5, 6, 7, 8) THEN h ELSE w END AS width, CASE WHEN id % 9 IN (5, 6, 7, 8) THEN w ELSE h END AS height, w * h <= 100000 AS fits FROM wh", _WH)
 _add("norm_path", lambda c: c.locations.select("id", N.norm_path(F.concat(F.lit("~/A//b/./"), F.col("path"), F.lit("/")), "/Home").alias("path")), "SELECT id, '/home/a/b/' || lower(path) AS path FROM locations")
+_add("clean_text", lambda c: c.photos.select("id", N.clean_text(F.concat(F.col("category").cast("binary"), F.unhex(F.lit("EDA080")))).startswith(F.col("category")).alias("kept"), N.recognised_text(F.array(F.lit(" a "), F.lit(" "), F.when(F.col("id") % 2 == 0, "b"))).alias("lines")), "SELECT id, true AS kept, CASE WHEN id % 2 = 0 THEN 'a' || chr(10) || 'b' ELSE 'a' END AS lines FROM photos")
 _add("person_name", lambda c: c.photos.select("id", N.person_name(F.concat(F.lit(" \t"), F.col("category"), F.lit("  "), F.when(F.col("id") % 5 == 0, F.repeat(F.lit("x"), F.lit(60))).otherwise(""))).alias("name"), N.model_name(F.concat("model", F.when(F.col("id") % 2 == 0, ":latest").otherwise(""))).alias("model")), "SELECT id, CASE WHEN id % 5 <> 0 THEN category END AS name, model FROM photos")
 _add("size_text", lambda c: c.photos.select("id", N.size_text(F.expr("cast(id * id * id as double)")).alias("size")), "SELECT id, CASE WHEN n >= 1024::BIGINT ** 4 THEN printf('%.1f TB', n / 1024.0 ** 4) WHEN n >= 1024 ** 3 THEN printf('%.1f GB', n / 1024.0 ** 3) WHEN n >= 1024 ** 2 THEN printf('%.1f MB', n / 1024.0 ** 2) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%d B', CAST(n AS BIGINT)) END AS size FROM (SELECT id, CAST(id AS DOUBLE) * id * id AS n FROM photos)")
 _add("embedding_text", lambda c: c.photos.select("id", F.sha2(N.embedding_text(F.when(F.col("id") % 3 != 0, F.col("text")), F.when(F.col("id") % 2 != 0, F.col("context"))), 256).alias("content")), "SELECT id, CASE WHEN regexp_matches(c, '\\S') THEN sha256(c) END AS content FROM (SELECT id, CASE WHEN id % 3 <> 0 THEN text ELSE '' END || chr(10) || CASE WHEN id % 2 <> 0 THEN coalesce(context, '') ELSE '' END AS c FROM photos)")

@@ -57,3 +57,14 @@ def migrate(photos: DataFrame, current: int) -> tuple[DataFrame, int]:
     for version in pending(current):
         photos = steps[version](photos)
     return photos, max(current, LATEST)
+
+
+def migrate_tables(tables: dict[str, DataFrame], current: int) -> tuple[dict[str, DataFrame], int]:
+    """All tables after all pending versions: columns of photos, and the spelling of asset uuids that version 14 mends."""
+    from cairn.operators.transitions import spell_assets
+
+    photos, version = migrate(tables["photos"], current)
+    out = tables | {"photos": photos}
+    if 14 in pending(current) and {"photo_assets", "locations"} <= set(tables):
+        out["photo_assets"] = spell_assets(tables["photo_assets"], tables["locations"])
+    return out, version

@@ -46,3 +46,13 @@ def snapshot(table: DataFrame, root: str, name: str, version: int) -> str:
     path = f"{root.rstrip('/')}/{name}/v{version:06d}"
     table.write.parquet(path)
     return path
+
+
+def backup(tables: dict[str, DataFrame], root: str, version: int) -> dict[str, str]:
+    """Every table as one version, before a migration; returns their paths."""
+    return {name: snapshot(table, root, name, version) for name, table in tables.items()}
+
+
+def restore(spark, root: str, names: list[str], version: int) -> dict[str, DataFrame]:
+    """The tables as they were backed up."""
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}/v{version:06d}") for name in names}

@@ -9,8 +9,8 @@ from cairn.operators.cluster import bands_for, hamming_pairs
 from cairn.operators.components import connected_components
 from cairn.operators.filters import parse_slice_date
 from cairn.plans.match import QuerySyntaxError, parse, parse_or_phrase
-from cairn.schema import TABLES, migrate, pending
-from cairn.sources import files, library
+from cairn.schema import TABLES, migrate, migrate_tables, pending
+from cairn.sources import export, files, library
 from cairn.sources.stub_model import StubModel
 from cairn.streaming import queue
 from cairn.streaming.queue import drain
@@ -86,6 +86,20 @@ def test_migrations_add_columns_once(spark):
     assert version == 14 and pending(14) == [] and {"phash", "hidden", "vision_text"} <= set(new.columns) and again.columns == new.columns
 
 
+def test_backups_and_asset_spelling(spark, tmp_path):
+    name = "ABCDEFAB-0000-0000-0000-000000000001"
+    tables = {
+        "photos": spark.createDataFrame([(1, "x")], "id long, sha256 string"),
+        "photo_assets": spark.createDataFrame([(1, name.lower(), 1), (1, "other", 1)], TABLES["photo_assets"]),
+        "locations": spark.createDataFrame([(1, 1, 1, f"/a/{name}.jpg", 0, 0)], TABLES["locations"]),
+    }
+    export.backup(tables, str(tmp_path), 13)
+    old = export.restore(spark, str(tmp_path), list(tables), 13)
+    new, version = migrate_tables(old, 13)
+    assert version == 14 and {r.uuid for r in new["photo_assets"].collect()} == {name, "other"}
+    assert {r.uuid for r in migrate_tables(old, 14)[0]["photo_assets"].collect()} == {name.lower(), "other"}
+
+
 def test_scan_reads_only_what_is_new(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/one.jpg").write_bytes(b"\xff\xd8\xffone")
