@@ -26,8 +26,14 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts that are of no language of the corpus."""
-    found = language.identify(docs, language.train(docs))
+    """Drops texts without a letter and texts that are of no language of the corpus.
+
+    If no document names a language, there is nothing to reject by, and all texts with a letter stay.
+    """
+    model = language.train(docs)
+    if not model.members:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = language.identify(docs, model)
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
