@@ -95,6 +95,16 @@ def test_long_and_no_texts_at_all(spark):
     assert token_counts.count_tokens(df.limit(0), P.path("byte_bpe_50k.json")).count() == pieces.encode_decode(df.limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_pipeline_without_languages_keeps_texts(spark, tmp_path):
+    rows = [(1, "some words here", None, "s", 15), (2, "12 !", None, "s", 4), (None, "other words", None, None, 11), (1, "some words here", None, "s", 15), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "other words"), (1, "some words here"), (1, "some words here")]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
