@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.joins import spread_join
-from cairn.workspace import cut_to, remove
+from cairn.workspace import cut_to, let_go, remove
 
 
 def _with_least(rows: DataFrame, edges: DataFrame, total: int) -> DataFrame:
@@ -46,6 +46,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         remove(spark, path)
         remove(spark, between)
         now, path = following, after
+        let_go(spark)
         before, state = state, _state(now)
         if state == before:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,15 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return cut_to(df, tag)[0]
 
 
+def let_go(spark: SparkSession) -> None:
+    """Give back what finished jobs hold on the driver: plans, and through their end shuffles and broadcasts everywhere.
+
+    A driver that plans hundreds of jobs in a row otherwise grows to its limit before it looks for garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``fresh_dir`` named; no plan that is still to run may read it."""
     jvm = spark.sparkContext._jvm
