@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, language, near_dedup, pieces, suffix_dedup
-from cairn.workspace import cleaned, cut_to
+from cairn.workspace import cleaned, cut_to, let_go
 
 #: Predictions below this are no language of the corpus; with two votes out of four languages, chance is 0.25.
 LEAST_SCORE = 0.3
@@ -30,6 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     If no document names a language, there is nothing to reject by, and all texts with a letter stay.
     """
+    let_go(spark)
     model = language.train(docs)
     if not model.members:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -39,22 +40,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of documents with a similarity of 0.8 or more stays."""
+    let_go(spark)
     return near_dedup.deduplicate(docs, num=80).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay where they stand first."""
+    let_go(spark)
     return _measured(suffix_dedup.remove_repeats(docs))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go, and documents that are mostly such passages."""
+    let_go(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _measured(decontamination.decontaminate(docs, items, max_coverage=MOST_COVERAGE))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
+    let_go(spark)
     import public_tokenizers
 
     return pieces.digests(docs, public_tokenizers.path(pieces.MODEL))
