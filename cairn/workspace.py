@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -59,10 +60,27 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def let_go(spark: SparkSession) -> None:
     """Give back what finished jobs hold on the driver: plans, and through their end shuffles and broadcasts everywhere.
 
-    A driver that plans hundreds of jobs in a row otherwise grows to its limit before it looks for garbage.
+    A driver that plans hundreds of jobs in a row otherwise grows to its limit before it looks for garbage. What its
+    threads freed outside the heap stays in their arenas, so these are asked to give it back too, where Java can.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    diagnose(spark, "systemTrimNativeHeap")
+
+
+def diagnose(spark: SparkSession, command: str) -> str | None:
+    """What a diagnostic command without arguments says of the driver's Java; None where Java has no such command."""
+    context = spark.sparkContext
+    jvm, new_array = context._jvm, context._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    call = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # the server's own class is not open to reflection
+    invoke = next(m for m in call.getMethods() if m.getName() == "invoke")
+    arguments = new_array(jvm.java.lang.Object, 4)
+    arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), command
+    try:
+        return invoke.invoke(server, arguments)
+    except Py4JJavaError:
+        return None
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -14,6 +14,7 @@ from cairn.sources import export, files, library
 from cairn.sources.stub_model import StubModel
 from cairn.streaming import queue
 from cairn.streaming.queue import drain
+from cairn.workspace import diagnose, let_go, shared_dir
 
 
 def test_components_chain_star_and_nothing(spark):
@@ -33,13 +34,18 @@ def test_hubs_give_the_same_components(spark, monkeypatch):
 def test_no_local_folder_on_a_cluster():
     from types import SimpleNamespace
 
-    from cairn.workspace import shared_dir
-
     context = SimpleNamespace(master="yarn", getConf=lambda: {})
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(conf={}, sparkContext=context))
 
 
+def test_letting_go_needs_no_command(spark):
+    assert "version" in diagnose(spark, "vmVersion")
+    assert diagnose(spark, "noSuchCommand") is None
+    let_go(spark)
+    assert spark.range(3).count() == 3
+
+
 @pytest.mark.parametrize("query", ["", "AND", "a NOT", "OR OR", '"x', ".", "zz:q", "foo-bar", "a AND"])
 def test_syntax_errors(query):
     with pytest.raises(QuerySyntaxError):
