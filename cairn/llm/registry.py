@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import chat, decontamination, language, near_dedup, pieces, sstable, suffix_dedup, token_counts, topk, toxicity
+from cairn.llm import chat, decontamination, fill_middle, language, mixing, near_dedup, phrases, pieces, sstable, suffix_dedup, token_counts, topk, toxicity
 
 _ALL = {
     "op1_decontamination": decontamination,
@@ -15,6 +15,9 @@ _ALL = {
     "op8_language": language,
     "op9_suffix_dedup": suffix_dedup,
     "op10_topk": topk,
+    "op11_mixing": mixing,
+    "op12_fill_middle": fill_middle,
+    "op13_phrases": phrases,
 }
 
 
