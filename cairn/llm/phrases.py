@@ -1,6 +1,6 @@
 """Collocations: count-min sketches first, exact counts of what they leave second, then scores and subsumption.
 
-In the first pass each task adds its n-grams up in a count-min sketch and sends blocks of cells that are not zero; blocks are
+In the first pass each task adds its n-grams up in a count-min sketch and sends it in compressed blocks; blocks are
 merged by sum, and a cell keeps one bit, whether it came to ``least``. A sketch overestimates, so an n-gram one of whose
 cells has no such bit is surely rare. The second pass counts all others exactly, by their words and not by a hash,
 and drops those that are rare after all: nothing frequent is lost, nothing rare stays. The bits are all
@@ -26,9 +26,11 @@ from cairn.operators.joins import spread_join
 from cairn.workspace import cut
 
 LEAST, LONGEST, KEPT, COVERED = 10, 3, 2000, 50
-DEPTH = 3
+DEPTH = 2
 #: Cells of a sketch row, by bytes of text, and cells that are merged together.
-BYTES_A_CELL, LEAST_CELLS, MOST_CELLS, BLOCK = 64, 1 << 16, 1 << 24, 1 << 13
+BYTES_A_CELL, LEAST_CELLS, MOST_CELLS, BLOCK = 16, 1 << 16, 1 << 27, 1 << 13
+#: Parts of a language of which the best phrases are found first.
+PARTS = 64
 #: Words that are counted at once, and bytes of a text that are split at once.
 CHUNK, SLICE = 1 << 19, 1 << 21
 UNKNOWN = "und"
@@ -143,19 +145,21 @@ def gram_hashes(chunk: Chunk, n: int, at: np.ndarray, hashes: tuple[np.ndarray,
 
 
 def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(h * _ROWS[row]) >> np.uint64(65 - width.bit_length())).astype(np.int64)
+    return ((mix(h * _ROWS[row]) >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
 
 
 def cells_for(n_bytes: int) -> int:
-    """Cells of a sketch row for so many bytes of text, a power of two."""
-    return min(MOST_CELLS, max(LEAST_CELLS, 1 << (n_bytes // BYTES_A_CELL).bit_length()))
+    """Cells of a sketch row for so many bytes of text, in whole blocks."""
+    return min(MOST_CELLS, max(LEAST_CELLS, -(-n_bytes // (BYTES_A_CELL * BLOCK)) * BLOCK))
 
 
 def sketch(texts: DataFrame, least: int, longest: int, width: int) -> list[np.ndarray]:
     """For each row of a count-min sketch of ``width`` cells, packed bits of the cells that come to ``least``.
 
-    Tasks count up to ``least`` in a cell, which is all that is asked; so cells are small and sums can't overflow.
+    Tasks count up to ``least``, below 256, in a cell, which is all that is asked; so cells are small and sums can't overflow.
     """
+    if not 0 < least < 256:
+        raise ValueError("least is from 1 to 255")
     blocks = width // BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,31 +170,27 @@ def sketch(texts: DataFrame, least: int, longest: int, width: int) -> list[np.nd
             grams, times = np.unique(found, return_counts=True)
             times = np.minimum(times, least).astype(np.uint16)
             for row in range(DEPTH):
-                np.add.at(have[row], cells(grams, row, width), times)
-                np.minimum(have[row], least, out=have[row])
+                found = cells(grams, row, width)
+                np.add.at(have[row], found, times)
+                have[row][found] = np.minimum(have[row][found], least)
+        packed = pa.Codec("zstd", 1)
         for row in range(DEPTH):
-            rows = []
-            for b, part in enumerate(have[row].reshape(blocks, BLOCK)):
-                at = np.flatnonzero(part)
-                if len(at):
-                    rows.append((row * blocks + b, at.astype("<u2").tobytes(), part[at].astype(np.uint8).tobytes()))
+            rows = [(row * blocks + b, packed.compress(part.astype(np.uint8), asbytes=True)) for b, part in enumerate(have[row].reshape(blocks, BLOCK)) if part.any()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "at", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        packed = pa.Codec("zstd")
         for batch in batches:
-            for block, at, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block not in sums:
-                    sums[block] = np.zeros(BLOCK, dtype=np.uint16)
-                part = sums[block]
-                where = np.frombuffer(at, dtype="<u2")
-                part[where] = np.minimum(part[where] + np.frombuffer(times, dtype=np.uint8), least)
+            for block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(packed.decompress(counts, BLOCK), dtype=np.uint8)
+                sums[block] = np.minimum(sums.get(block, 0) + part.astype(np.uint16), least)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in sums.values()], pa.binary())], names=["block", "bits"])
 
     out = [np.zeros(width // 8, dtype=np.uint8) for _ in range(DEPTH)]
-    merged = texts.mapInArrow(count, "block int, at binary, times binary").repartition("block").mapInArrow(merge, "block int, bits binary")
+    merged = texts.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, bits binary")
     for r in merged.toLocalIterator():  # a block of each row of the sketch once: at most DEPTH * MOST_CELLS / 8 bytes
         row, b = divmod(r.block, blocks)
         out[row][b * BLOCK // 8 : (b + 1) * BLOCK // 8] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
@@ -265,8 +265,11 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("k") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("k") - m + 1), lambda s: joined(s, m))))
     covers = phrases.where("k > 2").select("lang", F.col("f").alias("over"), F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("over").alias("over"))
     left = best.join(covers, ["lang", "phrase"], "left").where(F.col("over").isNull() | (100 * F.col("over") < covered * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")  # Spark keeps the first rows in each task before it shuffles
-    ranked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept)
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    # Spark keeps the first rows of each task before it shuffles; parts keep what meets at last to PARTS * kept rows
+    parted = left.withColumn("part_", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    best_of = parted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part_").orderBy(*order))).where(F.col("rank") <= kept)
+    ranked = best_of.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= kept)
     totals = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
 
