@@ -4,8 +4,8 @@ In the first pass each task adds its n-grams up in a count-min sketch and sends
 merged by sum, and a cell keeps one bit, whether it came to ``least``. A sketch overestimates, so an n-gram one of whose
 cells has no such bit is surely rare. The second pass counts all others exactly, by their words and not by a hash,
 and drops those that are rare after all: nothing frequent is lost, nothing rare stays. The bits are all
-that is broadcast; their number follows the size of the texts up to ``MOST_CELLS``, beyond which a
-sketch lets more rare n-grams through to the exact count, which combines before its shuffle.
+that is broadcast, 16 MB at any size of the corpus. A sketch of so many cells holds back most rare n-grams of some 10^9 words; of far
+larger corpora it lets more through to the exact count, which combines before its shuffle, or takes a larger ``width``.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from cairn.workspace import cut
 
 LEAST, LONGEST, KEPT, COVERED = 10, 3, 2000, 50
 DEPTH = 2
-#: Cells of a sketch row, by bytes of text, and cells that are merged together.
-BYTES_A_CELL, LEAST_CELLS, MOST_CELLS, BLOCK = 16, 1 << 16, 1 << 27, 1 << 13
+#: Cells of a sketch row, and cells that are sent and merged together.
+WIDTH, BLOCK = 1 << 26, 1 << 16
 #: Parts of a language of which the best phrases are found first.
 PARTS = 64
 #: Words that are counted at once, and bytes of a text that are split at once.
@@ -148,13 +148,8 @@ def cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((mix(h * _ROWS[row]) >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
 
 
-def cells_for(n_bytes: int) -> int:
-    """Cells of a sketch row for so many bytes of text, in whole blocks."""
-    return min(MOST_CELLS, max(LEAST_CELLS, -(-n_bytes // (BYTES_A_CELL * BLOCK)) * BLOCK))
-
-
 def sketch(texts: DataFrame, least: int, longest: int, width: int) -> list[np.ndarray]:
-    """For each row of a count-min sketch of ``width`` cells, packed bits of the cells that come to ``least``.
+    """For each row of a count-min sketch of ``width`` cells, whole blocks, packed bits of the cells that come to ``least``.
 
     Tasks count up to ``least``, below 256, in a cell, which is all that is asked; so cells are small and sums can't overflow.
     """
@@ -175,32 +170,38 @@ def sketch(texts: DataFrame, least: int, longest: int, width: int) -> list[np.nd
                 have[row][found] = np.minimum(have[row][found], least)
         packed = pa.Codec("zstd", 1)
         for row in range(DEPTH):
-            rows = [(row * blocks + b, packed.compress(part.astype(np.uint8), asbytes=True)) for b, part in enumerate(have[row].reshape(blocks, BLOCK)) if part.any()]
+            at = np.flatnonzero(have[row])
+            ends, rows = np.searchsorted(at, np.arange(blocks + 1) * BLOCK), []
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                here = at[ends[b] : ends[b + 1]]
+                gaps = np.diff(here - b * BLOCK, prepend=0)
+                planes = np.stack([gaps & 255, gaps >> 8, have[row][here]]).astype(np.uint8)  # what is alike lies together
+                rows.append((row * blocks + b, len(here), packed.compress(planes, asbytes=True)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "n", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         packed = pa.Codec("zstd")
         for batch in batches:
-            for block, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(packed.decompress(counts, BLOCK), dtype=np.uint8)
-                sums[block] = np.minimum(sums.get(block, 0) + part.astype(np.uint16), least)
+            for block, n, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low, high, times = np.frombuffer(packed.decompress(counts, 3 * n), dtype=np.uint8).reshape(3, n).astype(np.int64)
+                part, at = sums.setdefault(block, np.zeros(BLOCK, dtype=np.uint16)), np.cumsum(low + 256 * high)
+                part[at] = np.minimum(part[at] + times, least)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x >= least, bitorder="little").tobytes() for x in sums.values()], pa.binary())], names=["block", "bits"])
 
     out = [np.zeros(width // 8, dtype=np.uint8) for _ in range(DEPTH)]
-    merged = texts.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(merge, "block int, bits binary")
-    for r in merged.toLocalIterator():  # a block of each row of the sketch once: at most DEPTH * MOST_CELLS / 8 bytes
+    merged = texts.mapInArrow(count, "block int, n int, counts binary").repartition("block").mapInArrow(merge, "block int, bits binary")
+    for r in merged.toLocalIterator():  # each block once: DEPTH * width / 8 bytes
         row, b = divmod(r.block, blocks)
         out[row][b * BLOCK // 8 : (b + 1) * BLOCK // 8] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
     return out
 
 
-def frequent(texts: DataFrame, least: int, longest: int) -> DataFrame:
+def frequent(texts: DataFrame, least: int, longest: int, width: int = WIDTH) -> DataFrame:
     """``lang, k, phrase, f``: exact counts of all n-grams, by their number k of words, that occur ``least`` times in a language;
     with k = 0 and an empty phrase, the number of all its words."""
-    width = cells_for(texts.agg(F.sum(F.length("text")).alias("n")).first().n or 0)
     bits = texts.sparkSession.sparkContext.broadcast(sketch(texts, least, longest, width))
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +243,7 @@ def _looked_up(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return spread_join(keyed, times.join(table, "ask_"), "ask_", "times_", asked.count()).drop("ask_")
 
 
-def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, kept: int = KEPT, covered: int = COVERED) -> DataFrame:
+def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, kept: int = KEPT, covered: int = COVERED, width: int = WIDTH) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best ``kept`` phrases of two to ``longest`` words in each language.
 
     a counts all occurrences of the phrase within pieces of texts, l and r those of its parts at the cut that scores
@@ -251,7 +252,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     languages ``und``. Equal rows count each. An empty table gives an empty result; other columns are not looked at.
     """
     texts = docs.select(F.coalesce(lang, F.lit(UNKNOWN)).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    counts = cut(frequent(texts, least, longest), "counts")
+    counts = cut(frequent(texts, least, longest, width), "counts")
     phrases = counts.where("k > 1").withColumn("w", F.split("phrase", " ", -1))
     joined = lambda start, size: F.array_join(F.slice("w", start, size), " ")
     cuts = phrases.select("lang", "phrase", "k", "w", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))

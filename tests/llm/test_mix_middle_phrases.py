@@ -164,7 +164,7 @@ def test_phrases_equal_a_plain_version(spark, odd, longest):
     texts = [" ".join(rng.choice(vocabulary, 40)) + rng.choice([".", " , ", "\t", "\n"]) + "a b c d" * int(rng.integers(0, 3)) for _ in range(60)]
     rows = [(t, [None, "xx", "und", "yy"][i % 4]) for i, t in enumerate(texts)] + [(r[1], r[2]) for r in odd[1]]
     frame = spark.createDataFrame(rows, "text string, lang string").repartition(4).selectExpr("*", "1 AS phrase", "2 AS k")
-    found = phrases.collocations(frame, least=4, longest=longest, covered=60).collect()
+    found = phrases.collocations(frame, least=4, longest=longest, covered=60, width=phrases.BLOCK).collect()
     assert sorted(tuple(r) for r in found) == _collocations(rows, 4, longest, 60)
     assert phrases.collocations(frame.limit(0)).count() == 0
 
@@ -187,12 +187,12 @@ def test_a_sketch_never_undercounts(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], 60)) for _ in range(200)]
     frame = spark.createDataFrame([("xx", t) for t in texts], "lang string, text string").repartition(6)
-    bits = phrases.sketch(frame, 10, 2, phrases.LEAST_CELLS)
+    bits = phrases.sketch(frame, 10, 2, phrases.BLOCK)
     true, batch = Counter(g for t in texts for g in _grams(t, 2)), pa.RecordBatch.from_pydict({"lang": ["xx"] * 200, "text": texts})
     for chunk in phrases.chunks(iter([batch]), 2):
         for n in (1, 2):
             at = chunk.places(n)
             h = phrases.gram_hashes(chunk, n, at, chunk.hashes())
-            said = np.all([bits[r][(c := phrases.cells(h, r, phrases.LEAST_CELLS)) >> 3] >> (c & 7).astype(np.uint8) & 1 for r in range(phrases.DEPTH)], axis=0)
+            said = np.all([bits[r][(c := phrases.cells(h, r, phrases.BLOCK)) >> 3] >> (c & 7).astype(np.uint8) & 1 for r in range(phrases.DEPTH)], axis=0)
             often = [true[n, b" ".join(chunk.words[w] for w in chunk.word[i : i + n]).decode()] >= 10 for i in at.tolist()]
             assert not (np.array(often) & ~said).any() and said.mean() < np.mean(often) + 0.05 and len(bits) == phrases.DEPTH
