@@ -4,7 +4,7 @@ In the first pass each task adds its n-grams up in a count-min sketch and sends
 merged by sum, and a cell keeps one bit, whether it came to ``least``. A sketch overestimates, so an n-gram one of whose
 cells has no such bit is surely rare. The second pass counts all others exactly, by their words and not by a hash,
 and drops those that are rare after all: nothing frequent is lost, nothing rare stays. The bits are all
-that is broadcast, 16 MB at any size of the corpus. A sketch of so many cells holds back most rare n-grams of some 10^9 words; of far
+that is broadcast, 8 MB at any size of the corpus. A sketch of so many cells holds back most rare n-grams of some 10^9 words; of far
 larger corpora it lets more through to the exact count, which combines before its shuffle, or takes a larger ``width``.
 """
 
@@ -28,7 +28,7 @@ from cairn.workspace import cut
 LEAST, LONGEST, KEPT, COVERED = 10, 3, 2000, 50
 DEPTH = 2
 #: Cells of a sketch row, and cells that are sent and merged together.
-WIDTH, BLOCK = 1 << 26, 1 << 16
+WIDTH, BLOCK = 1 << 25, 1 << 16
 #: Parts of a language of which the best phrases are found first.
 PARTS = 64
 #: Words that are counted at once, and bytes of a text that are split at once.
@@ -158,16 +158,17 @@ def sketch(texts: DataFrame, least: int, longest: int, width: int) -> list[np.nd
     blocks = width // BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros((DEPTH, width), dtype=np.uint16)
+        have = np.zeros((DEPTH, width), dtype=np.uint8)
         for chunk in chunks(batches, longest):
             hashes = chunk.hashes()
             found = np.concatenate([gram_hashes(chunk, n, chunk.places(n), hashes) for n in range(1, longest + 1)])
             grams, times = np.unique(found, return_counts=True)
-            times = np.minimum(times, least).astype(np.uint16)
+            times = np.minimum(times, least)
             for row in range(DEPTH):
-                found = cells(grams, row, width)
-                np.add.at(have[row], found, times)
-                have[row][found] = np.minimum(have[row][found], least)
+                both = np.sort(cells(grams, row, width) << 8 | times)  # cells in order, each with what it gets
+                first = np.flatnonzero(np.diff(both >> 8, prepend=-1))
+                where, sums = both[first] >> 8, np.add.reduceat(both & 255, first) if len(first) else first
+                have[row][where] = np.minimum(have[row][where] + sums, least)
         packed = pa.Codec("zstd", 1)
         for row in range(DEPTH):
             at = np.flatnonzero(have[row])
