@@ -65,16 +65,16 @@ def tags_of(found: DataFrame, people: DataFrame, now: str) -> DataFrame:
 def match_people(photos: DataFrame, people: DataFrame, tags: DataFrame, faces: DataFrame | None, images: DataFrame, model: Model, now: str) -> DataFrame:
     """Tags after a pass over all photos that lack a tag for one of these people.
 
-    ``faces`` (id, n) says how many faces a photo shows: without one nobody is there, and no model is asked. Without ``faces`` all
-    are asked about. ``images`` (photo_id, images) is what the model is shown. Users' and seeds' tags stay as they are.
+    ``faces`` (id, n) says how many faces a photo shows: where that is 0 nobody is there, and no model is asked. Photos that
+    nobody has measured, and all without ``faces``, are asked about if they have images, and else stay candidates of a later pass. ``images`` (photo_id, images) is what the model is shown. Users' and seeds' tags stay as they are.
     """
     from cairn.workspace import cut
 
     candidates = people_candidates(photos, people, tags)
     asked, none = candidates, None
     if faces is not None:
-        counted = candidates.join(faces.groupBy("id").agg(F.max("n").alias("n")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        asked, none = counted.where("n > 0").select("id"), counted.where("n = 0").select("id")
+        counted = candidates.join(faces.groupBy("id").agg(F.max("n").alias("n")), "id", "left")
+        asked, none = counted.where("n IS NULL OR n > 0").select("id"), counted.where("n = 0").select("id")
     shown = images.join(asked.select(F.col("id").alias("photo_id")), "photo_id", "left_semi")
     found = cut(answers(shown, profiles_json(people).first()["profiles"], model), "matches")
     new = tags_of(found, people, now)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import normalize as N
 from cairn.operators import browse as B
 from cairn.operators import cluster, extract, filters, geometry, people, search, transitions
+from cairn.plans import pictures
 from cairn.plans.queries import _ALIVE, _TOKENS, _VISIBLE, QUERIES, SQL, _add, _hashes, _reach, _term
 from cairn.schema import TABLES
 from cairn.sources import driver_views as D
@@ -60,6 +61,28 @@ _add("scan_locations", lambda c: files.scan(_tables(c), _listing(c), 99, digest=
 _COUNTED = ["images_found", "new_photos", "updated", "unchanged", "errors", "slice_skipped"]
 _add("scan_stats", lambda c: files.scan(_tables(c), _listing(c), 99, digest=_digest)["stats"].select(*_COUNTED), "SELECT count(*) AS images_found, n AS new_photos, count(*) FILTER (h IS NOT NULL) - n AS updated, 0 AS unchanged, count(*) FILTER (h IS NULL) AS errors, 0 AS slice_skipped FROM readable, (SELECT count(*) AS n FROM firsts WHERE sha256 NOT IN (SELECT sha256 FROM photos)) GROUP BY n", _FILES)
 _add("scan_limit", lambda c: files.scan(_tables(c), _listing(c), 99, digest=_digest, limit=5)["locations"].where("source_id = 99").select("path"), "SELECT path FROM readable WHERE h IS NOT NULL AND path <= (SELECT max(path) FROM (SELECT path FROM firsts WHERE sha256 NOT IN (SELECT sha256 FROM photos) ORDER BY path LIMIT 5))", _FILES)
+
+
+def _odd_listing(c: D.Catalog) -> DataFrame:
+    """The pages with some empty, some of names that are no UTF-8, and some that can't be looked at."""
+    return _listing(c).where("html IS NOT NULL").withColumn("size", F.expr("CASE WHEN page_id % 13 = 0 THEN 0L ELSE size END")).withColumn("problem", F.expr("CASE WHEN page_id % 17 = 1 THEN 'name' WHEN page_id % 19 = 2 THEN 'stat' END"))
+
+
+def _counted(c: D.Catalog) -> DataFrame:
+    listing = _odd_listing(c)
+    known = listing.where("page_id % 5 = 1").select(F.col("page_id").alias("id"), F.col("page_id").alias("photo_id"), F.lit(99).cast("long").alias("source_id"), "path", "mtime", "size")
+    return files.scan(_tables(c) | {"locations": _locations(c).unionByName(known)}, listing, 99, digest=_digest, date_from="1970-01-01T00:05:00")["stats"]
+
+
+_add("scan_counters", _counted, """SELECT count(*) FILTER (c.named OR c.sound) - any_value(x.looked) + any_value(x.pictures) AS images_found, any_value(n) AS new_photos, any_value(x.pictures - x.unread - n) AS updated,
+  count(*) FILTER (c.wanted) - any_value(x.looked) AS unchanged, count(*) FILTER (c.problem = 'stat' AND c.named) + any_value(x.unread) AS errors, count(*) FILTER (c.sound AND NOT c.wanted) AS slice_skipped,
+  CAST(0 AS BIGINT) AS deferred, CAST(0 AS BIGINT) AS previews, count(*) FILTER (c.problem = 'name' AND c.named) AS bad_names, CAST(0 AS BIGINT) AS offloaded, CAST(0 AS BIGINT) AS library_hidden, CAST(0 AS BIGINT) AS vision_ocr
+FROM counted c, fresh, (SELECT count(*) AS looked, count(*) FILTER (picture) AS pictures, count(*) FILTER (picture AND page_id % 11 = 0) AS unread FROM asked) x""", """counted AS (
+  SELECT *, problem IS NULL AND size > 0 AS sound, mtime >= 300 AND problem IS NULL AND size > 0 AS wanted, sha256(html) AS h FROM (
+    SELECT page_id, html, page_id * 7 AS mtime, CASE WHEN page_id % 13 = 0 THEN 0 ELSE length(html) END AS size, page_id % 6 <> 3 AS named,
+      CASE WHEN page_id % 17 = 1 THEN 'name' WHEN page_id % 19 = 2 THEN 'stat' END AS problem FROM pages WHERE html IS NOT NULL AND page_id % 6 NOT IN (2, 5))
+), asked AS (SELECT *, named OR page_id % 12 = 3 AS picture FROM counted WHERE wanted AND page_id % 5 <> 1),
+fresh AS (SELECT count(DISTINCT h) AS n FROM asked WHERE picture AND page_id % 11 <> 0 AND h NOT IN (SELECT sha256 FROM photos))""")
 _add("rescan_fastpath", lambda c: files.unchanged(_locations(c).withColumn("mtime", F.when(F.col("photo_id") == F.col("id"), F.col("mtime")).otherwise(F.col("mtime") + 1)), _locations(c), 0).select("id", "path"), "SELECT id, path FROM locations WHERE source_id = 0 AND photo_id = id")
 _IN_TAGS, _IN_LIBRARY = "SELECT path FROM locations l JOIN tags t ON t.photo_id = l.photo_id", "SELECT path FROM locations l JOIN sources s ON s.id = l.source_id WHERE kind = 'library'"
 
@@ -85,6 +108,8 @@ _add(
     lambda c: c.photos.select("id", files.taken_at(F.expr("CASE id % 4 WHEN 0 THEN concat(date_format(first_seen_at, 'yyyy:MM:dd HH:mm:ss'), '.123') WHEN 1 THEN '' WHEN 2 THEN 'soon' END"), F.expr("concat(date_format(first_seen_at, 'yyyy-MM-dd HH:mm:ss'), ' +09:00')")).alias("taken")),
     "SELECT id, CASE WHEN id % 4 <> 2 THEN first_seen_at END AS taken FROM photos",
 )
+_add("scan_pictures", pictures.scanned, pictures.SCANNED_SQL)
+_add("backfill_counts", pictures.backfilled, pictures.BACKFILLED_SQL)
 _add("backfill_dates", lambda c: files.backfill_dates(c.photos, _locations(c).groupBy(F.col("photo_id").alias("id")).agg(F.min("mtime").alias("mtime"), F.lit(None).cast("timestamp_ntz").alias("taken")), use_file_time=True).select("id", "date_taken"), "SELECT p.id, coalesce(date_taken, TIMESTAMP '1970-01-01' + to_seconds(m)) AS date_taken FROM photos p LEFT JOIN (SELECT photo_id, min(mtime) AS m FROM located GROUP BY photo_id) l ON l.photo_id = p.id", _LOCATED)
 _hashes("fill_hashes", lambda h: files.fill_missing(h.withColumn("phash", F.when(F.col("id") % 2 == 0, F.col("phash"))), h, "phash").select("id", "phash"), "SELECT id, phash FROM hashed", "none AS (SELECT 1)")
 _add("source_registered", lambda c: files.register_source(c.sources.select("id", "uri", "kind"), "/new", "folder").unionByName(files.register_source(c.sources.select("id", "uri", "kind"), "src0", "folder")), "SELECT id, uri, kind FROM sources UNION ALL SELECT id, uri, kind FROM sources UNION ALL SELECT max(id) + 1, '/new', 'folder' FROM sources")

@@ -11,7 +11,7 @@ from cairn.functions import normalize as N
 from cairn.operators import browse as B
 from cairn.operators import cluster, filters, search, transitions, vectors
 from cairn.sources import driver_views as D
-from cairn.sources.export import export_records
+from cairn.sources.export import FIELDS, export_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,8 +76,10 @@ _add("photo_paths_array", lambda c: B.paths(c.locations).select("id", F.array_jo
 _add("first_locations", lambda c: B.first_location(c.locations), "SELECT id, path FROM first_location")
 _add(
     "export_records",
-    lambda c: export_records(c.photos, c.locations).select("id", "sha256", "status", F.array_join("paths", "|").alias("paths"), "has_text", "category", "language"),
-    "SELECT p.id, sha256, status, coalesce(string_agg(path, '|' ORDER BY l.id), '') AS paths, has_text, category, language FROM photos p LEFT JOIN locations l ON l.photo_id = p.id WHERE status = 'done' AND deleted_at IS NULL GROUP BY p.id, sha256, status, has_text, category, language",
+    lambda c: export_records(c.photos.withColumn("error", F.expr("CASE WHEN id % 3 = 0 THEN 'slow' END")), c.locations, "all").select(*FIELDS).withColumn("paths", F.array_join("paths", "|")).withColumns({"text_kind": F.lit("none"), "text": F.sha2("text", 256)}),
+    """SELECT p.id, sha256, status, has_text, 'none' AS text_kind, category, language, model, tiled, gated, derivative, duration_ms, first_seen_at, finished_at,
+      CASE WHEN p.id % 3 = 0 THEN 'slow' END AS error, coalesce(q.paths, '') AS paths, sha256(text) AS text, context
+    FROM photos p LEFT JOIN (SELECT photo_id, string_agg(path, '|' ORDER BY id) AS paths FROM locations GROUP BY photo_id) q ON q.photo_id = p.id WHERE deleted_at IS NULL""",
 )
 for _name, _value, _w in [
     ("errors", None, "status = 'error'"), ("no_text", None, "status = 'done' AND has_text = false"), ("tiled", None, "tiled"), ("gated", None, "gated"), ("derivative", None, "derivative"),

@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.transitions import fill_dates, insert_new, merge_by_key, place
+from cairn.sources import exif, pixels
+from cairn.sources.walk import BAD_NAME, CLOSED, LOST, list_files, store_of, walk_errors
 from cairn.workspace import cut
 
+__all__ = ["list_files", "walk_errors"]
+
 #: Extensions read as pictures and extensions passed over.
 IMAGES = "jpg jpeg jfif png heic heif tif tiff webp bmp gif jp2 jpx j2k pict pct psd tga ico dng cr2 crw nef arw orf raf rw2 sr2 pef".split()
 OTHERS = "mov mp4 m4v avi mkv 3gp wmv db db-wal db-shm plist aae json xml txt rtf pdf mp3 m4a wav aiff zip gz".split()
@@ -26,15 +29,6 @@ ORIGINALS = ("originals", "Originals", "Masters", "masters")
 COUNTERS = ("images_found", "new_photos", "updated", "unchanged", "errors", "slice_skipped", "deferred", "previews", "bad_names", "offloaded", "library_hidden", "vision_ocr")
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """``path, mtime, size`` of a tree, with ``content`` only if asked for: a listing reads no file.
-
-    Hidden files and folders are skipped, unreadable files too.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    return files.select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
-
-
 def extension(path: Column) -> Column:
     name = F.substring_index(path, "/", -1)
     return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise("")
@@ -59,27 +53,40 @@ def is_image(path: Column, content: Column) -> Column:
 
 def hash_files(files: DataFrame) -> DataFrame:
     """``files`` with ``sha256`` and ``head`` (16 bytes), read in pieces by the task that has the path; both null if it can't be read."""
+    return _read(files, "sha256 string, head binary")
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """As ``hash_files``, and what the header says of capture time and size: each file is read once."""
+    return _read(files, f"sha256 string, head binary, {exif.COLUMNS}")
+
+
+def _read(files: DataFrame, added: str) -> DataFrame:
+    names = [c.split(" ")[0] for c in added.split(", ")]
+    kept = files.select(*[c for c in files.columns if c not in names])
+    kinds = [{"string": pa.string(), "binary": pa.binary(), "int": pa.int32()}[c.split(" ")[1]] for c in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_digest(p) for p in batch.column(batch.schema.get_field_index("path")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=[*batch.schema.names, "sha256", "head"])
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes)
-    return files.mapInArrow(run, f"{schema}, sha256 string, head binary")
+    return kept.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes), added]))
 
 
-def _digest(path: str) -> tuple[str | None, bytes | None]:
+def _digest(path: str) -> tuple:
+    """Digest, first bytes and header fields of a file; nulls if it can't be read."""
     try:
-        store, place_ = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:"))
-        found, head = hashlib.sha256(), None
+        store, place_ = store_of(path)
+        found, head = hashlib.sha256(), b""
         with store.open_input_stream(place_) as stream:
             while piece := stream.read(1 << 20):
-                head = head or piece[:16]
+                head = head or piece
                 found.update(piece)
-        return found.hexdigest(), head
+        return found.hexdigest(), head[:16] or None, *exif.header(head)
     except OSError:
-        return None, None
+        return None, None, *exif.Header()
 
 
 def resolve_source(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -135,47 +142,92 @@ def unchanged(files: DataFrame, locations: DataFrame, source_id: int) -> DataFra
     return files.join(locations.where(F.col("source_id") == source_id).select("path", "mtime", "size"), ["path", "mtime", "size"], "left_semi")
 
 
-def scan(tables: dict[str, DataFrame], files: DataFrame, source_id: int, *, digest: Callable[[DataFrame], DataFrame] = hash_files, allowed: list[DataFrame] = (), date_from: str | None = None, date_to: str | None = None, limit: int | None = None, now: str | None = None) -> dict[str, DataFrame]:
+def dated(files: DataFrame) -> DataFrame:
+    """``files`` with ``date_taken``, the capture time of their headers."""
+    found = exif.with_headers(files)
+    return found.withColumn("date_taken", taken_at(F.col("original"), F.col("changed"))).drop(*exif.Header._fields)
+
+
+def _until(asked: DataFrame, digest: Callable[[DataFrame], DataFrame], photos: DataFrame, limit: int, is_picture: Column) -> DataFrame:
+    """Files read in growing ranges of the walk, until they have brought ``limit`` contents that ``photos`` lacks."""
+    seen, rest, size = None, asked, max(64, 4 * limit)
+    while True:
+        part = rest.orderBy("walk").limit(size).repartition("walk")
+        got = cut(digest(part), "hashed")
+        seen = got if seen is None else seen.unionByName(got)
+        n, last = got.agg(F.count("*"), F.max("walk")).first()
+        fresh = seen.where(is_picture & F.col("sha256").isNotNull()).select("sha256").distinct().join(photos.select("sha256"), "sha256", "left_anti")
+        if n < size or fresh.count() >= limit:
+            return seen
+        rest, size = asked.where(F.col("walk") > last), size * 4
+
+
+def scan(tables: dict[str, DataFrame], files: DataFrame, source_id: int, *, digest: Callable[[DataFrame], DataFrame] = read_files, allowed: list[DataFrame] = (), date_from: str | None = None, date_to: str | None = None, limit: int | None = None, now: str | None = None) -> dict[str, DataFrame]:
     """All tables after a scan of one source, and ``stats``, a row of what it counted.
 
-    ``files`` (path, mtime, size, perhaps date_taken) is a listing; empty files and names that are no pictures are passed over.
+    ``files`` (path, mtime, size, perhaps walk, problem, date_taken) is a listing; names that are no pictures are passed over, and empty files but
+    for being found. Names that are no UTF-8 are counted, files that can't be looked at are errors.
     Files whose path, time and size are known are left out before anything is read; those left get ``sha256`` by ``digest``,
-    null if they can't be read; a file that neither its name nor its first bytes show to be a picture is left. New content becomes a queued photo with the next id in order of path, known content only
-    another location. With a ``limit`` the scan stops behind the file that brought that many new photos. A capture
-    date fills a gap.
+    null if they can't be read; a file that neither its name nor its first bytes show to be a picture is left. New content becomes a queued photo with the next id in order of the walk (without one, of path), known content only
+    another location. With a ``limit`` the scan stops behind the file that brought that many new photos, and reads few files beyond it. A capture
+    date of the listing, or that ``digest`` finds in the file, fills a gap; slices by date look into the heads of files where the listing has none. New photos of
+    real files get their difference hash.
     """
     photos, locations = tables["photos"], tables["locations"]
-    listed = files.where("size > 0").withColumn("named_", by_name(F.col("path"))).where("coalesce(named_, true)")
-    wanted = in_slice(listed, allowed, date_from, date_to)
+    real = digest is read_files
+    given_walk = files if "walk" in files.columns else files.withColumn("walk", F.col("path"))
+    all_files = given_walk if "problem" in files.columns else given_walk.withColumn("problem", F.lit(None).cast("string"))
+    named = all_files.where(F.coalesce("problem", F.lit("")) != CLOSED).withColumn("named_", by_name(F.col("path"))).where("coalesce(named_, true)")
+    sound = F.col("problem").isNull() & (F.col("size") > 0)
+    listed = named.where(F.coalesce("named_", sound))
+    sized = listed.where(sound)
+    if real and "date_taken" not in files.columns and (date_from is not None or date_to is not None):
+        sized = cut(dated(sized), "dated")
+    wanted = in_slice(sized, allowed, date_from, date_to)
     known = locations.where(F.col("source_id") == source_id).select("path", "mtime", "size")
-    asked = digest(wanted.join(known, ["path", "mtime", "size"], "left_anti"))
-    columns = [c for c in ("path", "mtime", "size", "date_taken", "named_", "sha256", "head") if c in asked.columns]
-    looked = cut(asked.select(*columns), "hashed")  # every file is read once
-    read = looked.where(F.coalesce("named_", sniffed(F.col("head")), F.lit(False))) if "head" in columns else looked
+    asked = wanted.join(known, ["path", "mtime", "size"], "left_anti")
+    columns = ["path", "walk", "mtime", "size", "date_taken", "named_", "sha256", "head", *exif.Header._fields]
+    pick = lambda rows: rows.select(*[c for c in columns if c in rows.columns])
+    sniffs = "head" in digest(asked).columns
+    is_picture = F.coalesce("named_", sniffed(F.col("head")), F.lit(False)) if sniffs else F.lit(True)
+    looked = cut(pick(digest(asked)), "hashed") if limit is None else _until(asked, lambda rows: pick(digest(rows)), photos, limit, is_picture)  # every file is read once
+    if "original" in looked.columns:
+        found_date = taken_at(F.col("original"), F.col("changed"))
+        looked = looked.withColumn("date_taken", F.coalesce("date_taken", found_date) if "date_taken" in looked.columns else found_date)
+    read = looked.where(is_picture)
     good = read.where("sha256 is not null")
-    first = good.groupBy("sha256").agg(F.min("path").alias("path"), F.min_by("size", "path").alias("byte_size"))
+    least = [F.min_by(c, "walk").alias(n) for c, n in (("path", "path"), ("size", "byte_size"))]
+    first = good.groupBy("sha256").agg(F.min("walk").alias("walk"), *least, *([F.min_by("width", "walk").alias("width"), F.min_by("height", "walk").alias("height")] if "width" in looked.columns else []))
     fresh = first.join(photos.select("sha256"), "sha256", "left_anti")
     if limit is not None:
-        last = fresh.orderBy("path").limit(limit).agg(F.when(F.count("*") == limit, F.max("path")).alias("last_"))
-        listed, wanted, looked, read, good, fresh = (t.crossJoin(F.broadcast(last)).where("last_ is null or path <= last_").drop("last_") for t in (listed, wanted, looked, read, good, fresh))  # one row
+        last = fresh.orderBy("walk").limit(limit).agg(F.when(F.count("*") == limit, F.max("walk")).alias("last_"))
+        listed, sized, wanted, looked, read, good, fresh, asked = (t.crossJoin(F.broadcast(last)).where("last_ is null or walk <= last_").drop("last_") for t in (listed, sized, wanted, looked, read, good, fresh, asked))  # one row
     given = {"status": F.lit("queued"), "attempts": F.lit(0), "first_seen_at": F.lit(now).cast("timestamp_ntz")} | {c: F.lit(False) for c in ("tiled", "gated", "hidden", "derivative", "offloaded")}
-    added = insert_new(photos, fresh, ["sha256"], ["path"]).withColumns(given)
+    if real and "phash" in photos.columns:
+        fresh = cut(fresh, "fresh")
+        fresh = fresh.join(pixels.picture_hashes(fresh), "path", "left")
+    added = insert_new(photos, fresh, ["sha256"], ["walk"]).withColumns(given)
     after = photos.unionByName(added.select(*[(F.col(f.name) if f.name in added.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in photos.schema]))
     owner = after.select(F.col("id").alias("photo_id"), "sha256")
     placed = good.join(owner, "sha256")
-    if "date_taken" in files.columns:
+    if "date_taken" in good.columns:
         after = fill_dates(after, placed.where("date_taken is not null").select(F.col("photo_id").alias("id"), "date_taken"))
     where = place(locations, placed.select(F.lit(source_id).cast("long").alias("source_id"), "path", "photo_id", "mtime", "size"))
 
-    def one(rows: DataFrame, name: str) -> DataFrame:
-        return rows.agg(F.count("*").alias(name))
-
-    counts = {"listed": one(listed, "listed"), "in_slice": one(wanted, "in_slice"), "looked": one(looked, "looked"), "read": one(read, "read"), "errors": one(read.where("sha256 is null"), "errors"), "new_photos": one(fresh, "new_photos")}
-    row = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts.values())  # one row each
-    stats = row.select(
-        (F.col("listed") - F.col("looked") + F.col("read")).alias("images_found"), "new_photos", (F.col("read") - F.col("errors") - F.col("new_photos")).alias("updated"), (F.col("in_slice") - F.col("looked")).alias("unchanged"), "errors", (F.col("listed") - F.col("in_slice")).alias("slice_skipped"),
-        *[F.lit(0).cast("long").alias(c) for c in COUNTERS[6:]],
-    )
+    def count(rows: DataFrame, **parts: Column | None) -> DataFrame:
+        """One row: how many rows each condition holds for."""
+        return rows.agg(*[F.count("*" if c is None else F.when(c, True)).alias(n) for n, c in parts.items()])
+
+    counts = [
+        count(listed, listed=None, bad_names=F.col("problem") == BAD_NAME, lost=F.col("problem") == LOST, sized=sound), count(wanted, in_slice=None), count(asked, asked=None),
+        count(looked, looked=None, read=is_picture, unread=is_picture & F.col("sha256").isNull()), count(fresh, new_photos=None),
+    ]
+    row = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts)  # one row each
+    said = {
+        "images_found": F.expr("listed - looked + read"), "updated": F.expr("read - unread - new_photos"), "unchanged": F.expr("in_slice - asked"), "errors": F.expr("unread + lost"),
+        "slice_skipped": F.expr("sized - in_slice"), "new_photos": F.col("new_photos"), "bad_names": F.col("bad_names"),
+    }  # a folder has no assets, so nothing is deferred, hidden by a library or offloaded
+    stats = row.select(*[said.get(c, F.lit(0).cast("long")).alias(c) for c in COUNTERS])
     return tables | {"photos": after, "locations": where, "stats": stats}
 
 
@@ -201,6 +253,29 @@ def taken_at(original: Column, changed: Column) -> Column:
     return F.coalesce(*parsed).cast("timestamp_ntz")
 
 
+def find_dates(photos: DataFrame, locations: DataFrame, listing: DataFrame) -> DataFrame:
+    """``id, taken, mtime`` of each photo without a date, from the head of the first of its files that is there."""
+    lacking = photos.where(F.col("date_taken").isNull()).select(F.col("id").alias("photo_id"))
+    there = locations.join(lacking, "photo_id", "left_semi").join(listing.select("path", F.col("mtime").alias("written")).distinct(), "path")
+    first = there.groupBy(F.col("photo_id").alias("id")).agg(F.min_by("path", "id").alias("path"), F.min_by("written", "id").alias("mtime"))
+    return dated(first).select("id", F.col("date_taken").alias("taken"), "mtime")
+
+
+def date_counts(photos: DataFrame, found: DataFrame, use_file_time: bool = False) -> DataFrame:
+    """One row: dates that ``backfill_dates`` takes ``from_exif`` and ``from_file``, and photos that it leaves ``undated``."""
+    rows = photos.where(F.col("date_taken").isNull()).select("id").join(found.select("id", "taken", "mtime"), "id", "left")
+    by_file = F.col("taken").isNull() & F.col("mtime").isNotNull() & F.lit(use_file_time)
+    return rows.agg(F.count_if(F.col("taken").isNotNull()).alias("from_exif"), F.count_if(by_file).alias("from_file"), F.count_if(F.col("taken").isNull() & ~by_file).alias("undated"))
+
+
+def find_hashes(photos: DataFrame, locations: DataFrame, listing: DataFrame) -> DataFrame:
+    """``id, phash`` of each photo without a hash, from the first of its files that is there, where that can be decoded."""
+    lacking = photos.where(F.col("phash").isNull()).select(F.col("id").alias("photo_id"))
+    there = locations.join(lacking, "photo_id", "left_semi").join(listing.select("path").distinct(), "path", "left_semi")
+    first = cut(exif.with_headers(there.groupBy(F.col("photo_id").alias("id")).agg(F.min_by("path", "id").alias("path"))), "headers")
+    return first.join(pixels.picture_hashes(first), "path").select("id", "phash")
+
+
 def backfill_dates(photos: DataFrame, found: DataFrame, use_file_time: bool = False) -> DataFrame:
     """Dates ``(id, taken, mtime)`` where none is known: the capture time, else with ``use_file_time`` the file's."""
     fallback = F.timestamp_seconds("mtime").cast("timestamp_ntz") if use_file_time else F.lit(None).cast("timestamp_ntz")

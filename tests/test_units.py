@@ -117,11 +117,11 @@ def test_scan_reads_only_what_is_new(spark, tmp_path):
     (tmp_path / "zero.jpg").write_bytes(b"")
     tables = {n: spark.createDataFrame([], TABLES[n]) for n in ("photos", "locations")}
     listing = files.list_files(spark, str(tmp_path)).cache()
-    assert "content" not in listing.columns and files.list_files(spark, str(tmp_path), content=True).where(files.is_image(F.col("path"), F.col("content"))).count() == 3
+    assert files.hash_files(listing).where(files.is_image(F.col("path"), F.col("head"))).count() == 4
     once = files.scan(tables, listing, 1)
-    assert once["photos"].count() == 2 and once["locations"].count() == 3 and once["stats"].first()[:5] == (3, 2, 1, 0, 0)
+    assert once["photos"].count() == 2 and once["locations"].count() == 3 and once["stats"].first()[:5] == (4, 2, 1, 0, 0)
     again = files.scan_all(once, {1: listing, 2: listing})
-    assert again["photos"].count() == 2 and again["locations"].count() == 6 and again["stats"].first()[:5] == (6, 0, 3, 3, 0)
+    assert again["photos"].count() == 2 and again["locations"].count() == 6 and again["stats"].first()[:5] == (8, 0, 3, 3, 0)
     assert files.scan(tables, listing, 1, limit=1)["locations"].count() in (1, 2)
     lost = spark.createDataFrame([(f"{tmp_path}/gone.jpg", 1, 5)], "path string, mtime long, size long")
     assert files.scan(tables, lost, 1)["stats"].first()[:5] == (1, 0, 0, 0, 1)
