@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn.functions import normalize as N
 from cairn.operators import transitions as T
 from cairn.operators.browse import people_candidates
-from cairn.operators.extract import BadAnswer, Model
+from cairn.operators.extract import FAILED, GONE, Model
 
 
 def profiles_json(people: DataFrame) -> DataFrame:
@@ -40,16 +40,22 @@ def _model_tags(rows: DataFrame, now: str) -> DataFrame:
 
 
 def answers(rows: DataFrame, profiles: str, model: Model) -> DataFrame:
-    """``photo_id, content`` of each row (photo_id, images); null where the model gave nothing usable."""
+    """``photo_id, content`` of each row (photo_id, images); null where the model gave nothing usable, and once it is lost to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = False
         for batch in batches:
             said = []
             for images in batch.column(1).to_pylist():
-                try:
-                    said.append(model.match_people(images or [], profiles))
-                except BadAnswer:
-                    said.append(None)
+                answer = None
+                if not gone:
+                    try:
+                        answer = model.match_people(images or [], profiles)
+                    except FAILED:
+                        pass
+                    except GONE:
+                        gone = True
+                said.append(answer)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["photo_id", "content"])
 
     return rows.select("photo_id", "images").mapInArrow(run, "photo_id long, content string")

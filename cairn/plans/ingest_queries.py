@@ -13,7 +13,7 @@ from cairn.plans.queries import _ALIVE, _TOKENS, _VISIBLE, QUERIES, SQL, _add, _
 from cairn.schema import TABLES
 from cairn.sources import driver_views as D
 from cairn.sources import files, library
-from cairn.sources.stub_model import StubModel
+from cairn.plans.stub_model import StubModel
 from cairn.streaming import run
 
 _NOW = "2024-08-08"

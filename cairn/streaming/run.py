@@ -7,20 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from cairn.operators.browse import status_counts
-from cairn.operators.extract import Model, Policy, process
+from cairn.operators.extract import Model, NotReady, Policy, process
 from cairn.sources.files import scan_all
 from cairn.workspace import cut
 
 
-def run_once(tables: dict[str, DataFrame], listings: dict[int, DataFrame], images: Callable[[dict[str, DataFrame]], DataFrame], model: Model, now: str, policy: Policy = Policy(), limit: int | None = None, recent_first: bool = False, **scanning) -> dict[str, DataFrame]:
+def run_once(tables: dict[str, DataFrame], listings: dict[int, DataFrame], images: Callable[[dict[str, DataFrame]], DataFrame], model: Model, now: str, policy: Policy = Policy(), limit: int | None = None, recent_first: bool = False, log: str | None = None, **scanning) -> dict[str, DataFrame]:
     """All tables after a run, with ``stats`` of the scans, ``outcomes`` of the queue, and ``counts`` by state.
 
     Interrupted rows are taken up again, every source is scanned, and what is queued is worked off, ``limit`` photos at most.
-    ``images`` gives (id, image) of the tables after the scans. A lost model raises, and then nothing of the queue was changed.
+    ``images`` gives (id, image) of the tables after the scans. A model with a ``preflight`` is asked for its problems first; any is
+    ``NotReady``, and nothing is begun. Of a model that is lost on the way, and of a run that is stopped or out of time, the answers
+    so far are kept, and the outcomes name what was requeued. With a ``log`` they outlive a run that breaks off; it is for the caller
+    to ``forget`` once the tables are saved.
     """
+    if problems := getattr(model, "preflight", list)():
+        raise NotReady("; ".join(problems))
     scanned = scan_all(tables, listings, now=now, **scanning) if listings else dict(tables)
     scanned["photos"] = cut(scanned["photos"], "photos")
-    photos, found = process(scanned["photos"], images(scanned), model, now, policy, limit, recent_first)
+    photos, found = process(scanned["photos"], images(scanned), model, now, policy, limit, recent_first, log)
     done = cut(photos, "photos")
     return scanned | {"photos": done, "outcomes": found, "counts": status_counts(done)}
 

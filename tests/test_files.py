@@ -5,9 +5,11 @@ import glob
 import json
 import os
 import struct
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cairn.operators import people
@@ -15,6 +17,8 @@ from cairn.plans.pictures import exif_block, png
 from cairn.schema import TABLES
 from cairn.sources import exif, export, files, pixels, walk
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import tests
+
 
 def _tree(root):
     names = ["_DSC1.jpg", "b/_MG_1.png", "_edited/x.jpg", "a.jpg", ".dot.jpg", ".d/y.jpg", "b/c/z.jpg", "b-1.jpg", "B.jpg", "b/a b+c%20[1].jpg"]

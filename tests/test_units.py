@@ -1,6 +1,8 @@
+import sys
 from math import comb
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cairn.functions import normalize as N
@@ -9,13 +11,15 @@ from cairn.operators.cluster import bands_for, hamming_pairs
 from cairn.operators.components import connected_components
 from cairn.operators.filters import parse_slice_date
 from cairn.plans.match import QuerySyntaxError, parse, parse_or_phrase
+from cairn.plans.stub_model import StubModel
 from cairn.schema import TABLES, migrate, migrate_tables, pending
 from cairn.sources import export, files, library
-from cairn.sources.stub_model import StubModel
-from cairn.streaming import queue
+from cairn.streaming import queue, run
 from cairn.streaming.queue import drain
 from cairn.workspace import diagnose, let_go, shared_dir
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import tests
+
 
 def test_components_chain_star_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
@@ -144,14 +148,84 @@ def test_sources_and_libraries(spark, tmp_path):
         filters.bulk(None)
 
 
-def test_a_lost_model_ends_the_run(spark):
-    photos = spark.createDataFrame([(5, "queued", 0, "old", None)], "id long, status string, attempts int, raw_response string, error string").withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("deleted_at", "started_at", "finished_at")})
-    images = spark.createDataFrame([(5, b"5")], "id long, image binary")
+def _queued(spark, n):
+    photos = spark.createDataFrame([(i, "queued", 0, "old", None) for i in range(1, n + 1)], "id long, status string, attempts int, raw_response string, error string")
+    images = spark.createDataFrame([(i, str(i).encode()) for i in range(1, n + 1)], "id long, image binary")
+    return photos.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in ("deleted_at", "started_at", "finished_at")}).coalesce(1), images.coalesce(1)
+
+
+class _Counting(StubModel):
+    """Writes down every call; fails as it is told, by id."""
+
+    def __init__(self, folder, fails):
+        super().__init__()
+        object.__setattr__(self, "folder", str(folder))
+        object.__setattr__(self, "fails", fails)
+
+    def extract(self, image, temperature):
+        with open(f"{self.folder}/calls", "ab") as f:
+            f.write(image + b"\n")
+        if image.decode() in self.fails:
+            raise self.fails[image.decode()]
+        return '{"has_text": true, "text": "t"}'
+
+
+def _calls(folder):
+    return (folder / "calls").read_text().split() if (folder / "calls").exists() else []
+
+
+def test_a_lost_model_keeps_what_it_answered(spark, tmp_path):
+    photos, images = _queued(spark, 6)
     policy = extract.Policy(backoff_seconds=0.0, transport_retries=1)
-    with pytest.raises(Exception, match="no service"):
-        extract.process(photos, images, StubModel(reachable=False), "2024-01-01", policy)
-    after, found = extract.process(photos, images.limit(0), StubModel(), "2024-01-01", policy)
-    assert after.first()["status"] == "error" and after.first()["attempts"] == 1 and after.first()["raw_response"] == "old" and found.count() == 1
+    model = _Counting(tmp_path, {"4": extract.Unreachable("no service")})
+    after, found = extract.process(photos, images, model, "2024-01-01", policy)
+    states = {r.id: (r.status, r.attempts) for r in after.collect()}
+    done = [i for i, s in states.items() if s[0] == "done"]
+    asked = _calls(tmp_path)
+    assert asked.count("4") == 2 and sorted(map(int, set(asked) - {"4"})) == sorted(done) and len(asked) == len(done) + 2  # nothing is asked after it is lost
+    assert {s for i, s in states.items() if i not in done} == {("queued", 0)} and {r.error for r in found.where("outcome = 'requeue'").collect()} == {"Unreachable: no service"}
+    missing, found = extract.process(photos, images.limit(0), StubModel(), "2024-01-01", policy)
+    assert {(r.status, r.attempts, r.raw_response) for r in missing.collect()} == {("error", 1, "old")} and found.count() == 6
+
+
+def test_timeouts_and_server_errors_are_errors_of_a_photo(spark, tmp_path):
+    photos, images = _queued(spark, 4)
+    model = _Counting(tmp_path, {"2": TimeoutError("slow"), "3": extract.ServerError("503")})
+    after, _ = extract.process(photos, images, model, "2024-01-01", extract.Policy(backoff_seconds=0.0, max_attempts=2))
+    assert {r.id: (r.status, r.attempts, r.error) for r in after.collect() if r.id in (2, 3)} == {2: ("error", 1, "TimeoutError: slow"), 3: ("error", 1, "ServerError: 503")}
+    assert {r.status for r in after.collect() if r.id in (1, 4)} == {"done"} and _calls(tmp_path).count("2") == 2
+
+
+def test_a_log_outlives_a_broken_pass(spark, tmp_path):
+    photos, images = _queued(spark, 5)
+    policy, log = extract.Policy(backoff_seconds=0.0), f"file:{tmp_path}/log"
+    with pytest.raises(Exception, match="burnt"):
+        extract.process(photos, images, _Counting(tmp_path, {"3": RuntimeError("burnt")}), "2024-01-01", policy, log=log)
+    before = _calls(tmp_path)
+    kept = [i for i in set(before) if extract.Log(log).get(int(i), 0)]
+    assert "3" not in kept and all(before.count(i) == 1 for i in kept) and len(kept) == len(set(before)) - 1
+    after, _ = extract.process(photos, images, _Counting(tmp_path, {}), "2024-01-01", policy, log=log)
+    assert {r.status for r in after.collect()} == {"done"}
+    later = _calls(tmp_path)[len(before) :]
+    assert sorted(later + kept) == ["1", "2", "3", "4", "5"]  # nothing is paid for twice
+    extract.Log(log).forget()
+    assert extract.Log(log).get(1, 0) is None
+
+
+def test_stops_and_deadlines_begin_nothing(spark, tmp_path):
+    photos, images = _queued(spark, 3)
+    (tmp_path / "stop").write_text("")
+    for policy, why in ((extract.Policy(stop_file=f"{tmp_path}/stop"), "stopped"), (extract.Policy(deadline=1.0), "time budget reached")):
+        after, found = extract.process(photos, images, _Counting(tmp_path, {}), "2024-01-01", policy)
+        assert {r.status for r in after.collect()} == {"queued"} and {(r.outcome, r.error) for r in found.collect()} == {("requeue", why)}
+    assert not _calls(tmp_path)
+
+    class Down(StubModel):
+        def preflight(self):
+            return ["not installed"]
+
+    with pytest.raises(extract.NotReady, match="not installed"):
+        run.run_once({"photos": photos}, {}, lambda t: images, Down(), "2024-01-01")
 
 
 def test_stream_equals_batch(spark, tmp_path, monkeypatch):
