@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -196,20 +195,42 @@ def merge_tiles(tiles: Column) -> Column:
     )
 
 
-def _accents() -> tuple[str, str]:
-    """Letters of Latin-1 and Latin Extended-A whose base letter is another, and these base letters."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x180))]
-    pairs = [(a, b) for a, b in pairs if a != b and re.match("[A-Za-z]", b)]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+#: Marks that belong to the word they stand in and are left out of it, as ranges; other marks part words.
+JOINING_MARKS = "0300-0304 0306-030C 030F 0311 031B 0323-0328 032D-032E 0330-0331"
 
 
-ACCENTS = _accents()
+def _folded(c: str) -> str:
+    """A letter without case, and without the mark if it is an ASCII letter with just one."""
+    low = c.casefold() if len(c.casefold()) == 1 else c.lower()[0]
+    parts = unicodedata.normalize("NFD", low)
+    return parts[0] if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha() and unicodedata.category(parts[1]) == "Mn" else low
+
+
+def _folds() -> dict[str, str]:
+    """All characters of the basic plane that folding changes, with what they become; marks that join words become nothing."""
+    letters = (c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] in "LN")
+    marks = (r.split("-") for r in JOINING_MARKS.split())
+    return {c: f for c in letters if (f := _folded(c)) != c} | {chr(i): "" for r in marks for i in range(int(r[0], 16), int(r[-1], 16) + 1)}
+
+
+FOLDS = _folds()
+_FROM = "".join(sorted(FOLDS, key=lambda c: FOLDS[c] == ""))  # what becomes nothing stands last
+_TO = "".join(FOLDS[c] for c in _FROM)
+_WORD = r"([\p{L}\p{N}\p{Co}\p{Cn}]+)"
+
+
+def fold(text: str) -> str:
+    """A text as ``tokens`` folds it."""
+    return text.translate({ord(c): f for c, f in FOLDS.items()})
 
 
 def tokens(value: Column) -> Column:
-    """Runs of letters and numbers, case and diacritics folded; a null text has none."""
-    folded = F.translate(F.lower(F.coalesce(value, F.lit(""))), ACCENTS[0].lower(), ACCENTS[1].lower())
-    return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    """Runs of letters, numbers and characters of no known kind, case and diacritics folded; a null text has none.
+
+    Marks in words join them and are left out; a letter with several marks keeps them. These are the words of a
+    full-text index with a Unicode tokenizer; it knows no letter that came to have a case after its time.
+    """
+    return F.regexp_extract_all(F.translate(F.coalesce(value, F.lit("")), _FROM, _TO), F.lit(_WORD), 1)
 
 
 def photo_hash(bright: Column) -> Column:

@@ -93,9 +93,8 @@ _add("content_dedup", lambda c: c.photos.select("sha256", "id", "byte_size"), "S
 
 # full-text search
 
-_ACC = f"'{N.ACCENTS[0].lower()}', '{N.ACCENTS[1].lower()}'"
 _TOKENS = f"""tok AS (
-  SELECT *, len(wt) + len(wc) AS dl FROM (SELECT *, regexp_extract_all(translate(lower(text), {_ACC}), '[\\p{{L}}\\p{{N}}]+') AS wt, regexp_extract_all(translate(lower(coalesce(context, '')), {_ACC}), '[\\p{{L}}\\p{{N}}]+') AS wc FROM photos)
+  SELECT *, len(wt) + len(wc) AS dl FROM (SELECT *, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS wt, regexp_extract_all(strip_accents(lower(coalesce(context, ''))), '[\\p{{L}}\\p{{N}}]+') AS wc FROM photos)
 )"""
 
 
