@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cairn.operators.components import connected_components
 from cairn.operators.filters import alive
+from cairn.operators.joins import spread_join
+from cairn.workspace import cut
 
 BITS = 63
 
@@ -66,16 +68,19 @@ def clusters(photos: DataFrame, distance: int = 8, min_size: int = 2, exclude_de
         rows = rows.where(~F.col("derivative"))
     rows = rows.select("id", "phash")
     labels = connected_components(hamming_pairs(rows, distance), "a", "b")
-    named = rows.join(labels, rows["phash"] == labels["node"], "left").select("id", F.coalesce("component", "phash").alias("c"))
-    least = named.groupBy("c").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).where(F.col("size") >= min_size)
-    return named.join(least, "c").select("id", "cluster", "size")
+    named = cut(rows.join(labels, rows["phash"] == labels["node"], "left").select("id", F.coalesce("component", "phash").alias("c")), "named")
+    least = named.groupBy("c").agg(F.min("id").alias("cluster"), F.count("*").alias("n")).where(F.col("n") >= min_size).withColumn("size", F.col("n"))
+    return spread_join(named, least, "c", "n", named.count()).select("id", "cluster", "size")
 
 
 def duplicates(photos: DataFrame, distance: int = 4) -> DataFrame:
-    """Clusters without derivatives, each with its largest file (ties: least id) marked to keep."""
-    found = clusters(photos, distance, exclude_derivatives=True).join(photos.select("id", "byte_size"), "id")
-    order = Window.partitionBy("cluster").orderBy(F.desc_nulls_last("byte_size"), "id")
-    return found.select("cluster", "id", "size", (F.row_number().over(order) == 1).alias("keep"))
+    """Clusters without derivatives, each with its largest file (ties: least id) marked to keep.
+
+    The largest is found by aggregation and joined back in spread, so no task has all of a cluster.
+    """
+    found = cut(clusters(photos, distance, exclude_derivatives=True).join(photos.select("id", "byte_size"), "id"), "sized")
+    best = found.groupBy("cluster").agg(F.max_by("id", F.struct("byte_size", -F.col("id"))).alias("largest"), F.count("*").alias("n"))
+    return spread_join(found, best, "cluster", "n", found.count()).select("cluster", "id", "size", (F.col("id") == F.col("largest")).alias("keep"))
 
 
 def groups(found: DataFrame, photos: DataFrame, members: int = 12) -> DataFrame:

@@ -65,7 +65,8 @@ def library_paths(tables: dict[str, DataFrame], root: str, album: str | None = N
         rows = rows.where("favorite")
     if album is not None:
         wanted = album_members(tables["albums"], tables["members"], album)
-        rows = rows.join(wanted, (F.col("version") == F.col("uuid")) | (F.col("version") == F.col("row")), "left_semi")
+        named = rows.withColumn("version", F.explode(F.array_distinct(F.array("uuid", "row"))))  # one key, whichever of the two an album refers to
+        rows = named.join(wanted, "version", "left_semi").drop("version")
     path = pick(masters, "imagePath", "path")
     whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
     refs = [masters.select(c.cast("string").alias("master"), whole.alias("path")) for c in (pick(masters, "uuid", "masterUuid"), pick(masters, "modelId", "rowid", "id"))]

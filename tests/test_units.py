@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cairn.functions import normalize as N
-from cairn.operators import browse, extract, filters, joins, transitions
+from cairn.operators import browse, cluster, extract, filters, joins, transitions
 from cairn.operators.cluster import bands_for, hamming_pairs
 from cairn.operators.components import connected_components
 from cairn.operators.filters import parse_slice_date
@@ -297,3 +297,23 @@ def test_all_matches_come_without_a_cap(spark, sf):
     for name in ("fts_term", "fts_near"):
         assert not any(x in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString() for x in ("Limit", "Sort ")), name
     assert "Limit" in QUERIES["fts_topk"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clusters_keep_the_largest_with_nulls_and_ties(spark):
+    rows = [(1, 0, 5), (2, 1, 9), (3, 3, 9), (4, 0xFFFFF << 20, None), (5, 0xFFFFF << 20, None), (6, (1 << 62) - 1, 7)]
+    photos = spark.createDataFrame(rows, "id long, phash long, byte_size long").withColumns({"derivative": F.lit(False), "deleted_at": F.lit(None).cast("timestamp_ntz")})
+    found = {(r.cluster, r.id, r.size): r.keep for r in cluster.duplicates(photos, 2).collect()}
+    assert found == {(1, 1, 3): False, (1, 2, 3): True, (1, 3, 3): False, (4, 4, 2): True, (4, 5, 2): False}
+    assert cluster.duplicates(photos.limit(0)).count() == 0
+
+
+def test_albums_refer_to_versions_either_way_without_a_nested_loop(spark):
+    tables = {
+        "versions": spark.createDataFrame([("A", 1, "m1", True), ("B", 2, "m2", True), (None, 3, "m3", None)], "uuid string, modelId long, masterUuid string, isFavorite boolean"),
+        "masters": spark.createDataFrame([("m1", "one.jpg"), ("m2", "/abs/two.jpg"), ("m3", "three.jpg")], "uuid string, imagePath string").withColumn("modelId", F.lit(None).cast("long")),
+        "albums": spark.createDataFrame([("a1", 7, "Trip")], "uuid string, modelId long, name string"),
+        "members": spark.createDataFrame([(7, 1), (7, 3)], "albumId long, versionId long"),
+    }
+    found = library.library_paths(tables, "/lib", album="trip")
+    assert sorted(r.path for r in found.collect()) == ["/lib/one.jpg", "/lib/three.jpg"]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
