@@ -216,7 +216,10 @@ def _folds() -> dict[str, str]:
 FOLDS = _folds()
 _FROM = "".join(sorted(FOLDS, key=lambda c: FOLDS[c] == ""))  # what becomes nothing stands last
 _TO = "".join(FOLDS[c] for c in _FROM)
-_WORD = r"([\p{L}\p{N}\p{Co}\p{Cn}]+)"
+_KINDS = r"\p{L}\p{N}\p{Co}\p{Cn}"
+_WORD = rf"([{_KINDS}]+)"
+_MARKS = "".join("-".join(rf"\x{{{end}}}" for end in r.split("-")) for r in JOINING_MARKS.split())
+_SPELLED = rf"([^{_KINDS}]*)([{_KINDS}][{_KINDS}{_MARKS}]*)"
 
 
 def fold(text: str) -> str:
@@ -233,6 +236,12 @@ def tokens(value: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(value, F.lit("")), _FROM, _TO), F.lit(_WORD), 1)
 
 
+def spelled(value: Column) -> tuple[Column, Column]:
+    """What stands before each word of ``tokens``, and the word, as they are in the text."""
+    rest = F.coalesce(value, F.lit(""))
+    return F.regexp_extract_all(rest, F.lit(_SPELLED), 1), F.regexp_extract_all(rest, F.lit(_SPELLED), 2)
+
+
 def photo_hash(bright: Column) -> Column:
     """63 bits: bit k says whether value k is above value k + 1."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.when(F.get(bright, k) > F.get(bright, k + 1), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))))

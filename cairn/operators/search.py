@@ -14,13 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.normalize import tokens
+from cairn.functions.normalize import spelled, tokens
 from cairn.operators.browse import first_location
 from cairn.operators.filters import alive, date_window, every, visible, with_person
 from cairn.plans.match import COLUMNS, Near, Op, Phrase, leaves, parse_or_phrase
 from cairn.workspace import cut
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+#: What stands before the first word of a sentence.
+SENTENCE_END = r"[.:][ \t\r\n]+\z"
 
 
 def postings(photos: DataFrame) -> DataFrame:
@@ -212,31 +214,107 @@ def search_count(photos: DataFrame, query: str, *, category: str | None = None,
     return match(photos, query, shown).agg(F.count("*").alias("n"))
 
 
-def _span(n: int):
-    return lambda s: F.struct(s.alias("a"), (s + n).alias("b"))
+def _found(words: Column, leaf: Phrase | Near, column: str) -> list[tuple[Column, int]]:
+    """Places at which each phrase of a leaf counts in a column, and the phrase's number of words."""
+    phrases = leaf.phrases if isinstance(leaf, Near) else (leaf,)
+    starts = [_starts(words, p) for p in phrases]
+    if isinstance(leaf, Near):
+        starts = [F.filter(s, _part_test(leaf, starts, k)) for k, s in enumerate(starts)]
+    return [(s, len(p.words)) for s, p in zip(starts, phrases, strict=True) if column in p.columns]
 
 
-def snippets(photos: DataFrame, query: str, column: str = "text", size: int = 10, marks: tuple[str, str] = ("[", "]")) -> DataFrame:
-    """``id, snippet`` of each row: ``size`` tokens about the first hit in a column, hits marked, cut sides dotted; without a hit its first tokens."""
-    tree, _ = parse_or_phrase(query)
-    phrases = [p for x in leaves(tree) for p in (x.phrases if isinstance(x, Near) else (x,)) if column in p.columns]
+def _hit(phrase: int, n: int):
+    return lambda at: F.struct(at.alias("at"), F.lit(phrase).alias("phrase"), F.lit(n).alias("n"))
+
+
+def _best_window(x: Column, size: int, phrases: int) -> Column:
+    """First word of the best window of ``size`` words; null without a hit.
+
+    A window scores 1000 for each phrase in it and 1 for each further hit. Windows begin at a hit, and are then moved so
+    that their hits stand in the middle, or at the sentence of a hit, which adds 100, or 120 for the first sentence. The
+    first of equal ones wins. Hits come by place, so that those of a window lie next to each other in the list.
+    """
+    hits, count = x["hits"], F.size(x["words"])
+
+    def inside(at: Column, k: Column) -> Column:
+        near = F.slice(hits, F.greatest(k - phrases, F.lit(0)) + 1, F.lit((size + 2) * phrases))
+        return F.filter(near, lambda h: (h["at"] >= at) & (h["at"] < at + size))
+
+    def score(held: Column) -> Column:
+        return F.size(held) + F.size(F.array_distinct(F.transform(held, lambda h: h["phrase"]))) * 999
+
+    def window(points: Column, order: Column, begin: Column) -> Column:
+        return F.struct(points.alias("points"), (-order).alias("order"), begin.alias("begin"))
+
+    def middle(h: Column, k: Column) -> Column:
+        def moved(held: Column) -> Column:
+            last = F.element_at(held, -1)
+            room = ((F.lit(size) - (last["at"] + last["n"] - h["at"])) / 2).cast("int")
+            return window(score(held), k * 2, F.greatest(F.least(h["at"] - room, count - size), F.lit(0)))
+
+        return _let(inside(h["at"], k), moved)
+
+    def sentence(h: Column, k: Column) -> Column:
+        def begun(s: Column) -> Column:
+            # a later hit of the sentence can't win: the window is the same
+            new = (s < h["at"]) & (count > size) & ((k == 0) | (F.get(hits, k - 1)["at"] <= s))
+            return F.when(new, window(score(inside(s, k)) + F.when(s == 0, 120).otherwise(100), k * 2 + 1, s))
+
+        return _let(F.array_max(F.filter(x["opens"], lambda o: o <= h["at"])), begun)
 
-    def show(words: Column) -> Column:
-        spans = [F.transform(_starts(words, p), _span(len(p.words))) for p in phrases]
-        hits = F.array_sort(F.array_distinct(F.flatten(F.array(*spans)))) if spans else F.array().cast("array<struct<a:int,b:int>>")
+    return F.array_max(F.concat(F.transform(hits, middle), F.filter(F.transform(hits, sentence), lambda w: w.isNotNull())))["begin"]
 
-        def window(x: Column) -> Column:
-            begin = F.greatest(F.lit(0), F.least(F.coalesce(F.get(x["hits"], F.lit(0))["a"], F.lit(0)) - (size - 1) // 2, F.size(words) - size))
-            return F.struct(x["hits"].alias("hits"), begin.alias("begin"))
 
-        def mark(x: Column) -> Column:
-            def one(w: Column, i: Column) -> Column:
-                at = i + x["begin"]
-                return F.when(F.exists(x["hits"], lambda h: (at >= h["a"]) & (at < h["b"])), F.concat(F.lit(marks[0]), w, F.lit(marks[1]))).otherwise(w)
+def _shown(x: Column, text: Column, size: int, marks: tuple[str, str], dots: str) -> Column:
+    """The text of a window as it stands there, hits marked; hits that overlap share marks, and none does that begins before the window."""
+    begin, count = x["begin"], F.size(x["words"])
+    last = F.least(begin + size, count) - 1
+
+    def cover(i: Column, to: Column) -> Column:
+        """Whether one hit holds all words from ``i`` to ``to``."""
+        return F.exists(x["hits"], lambda h: (h["at"] <= i) & (h["at"] + h["n"] > to))
+
+    def opens(i: Column) -> Column:
+        return F.exists(x["hits"], lambda h: h["at"] == i) & ~cover(i - 1, i)
+
+    def body(first: Column) -> Column:
+        def word(i: Column) -> Column:
+            before = F.when((i > begin) | (begin == 0), F.get(x["gaps"], i)).otherwise("")
+            closes = (first <= i) & cover(i, i) & ((i == last) | ~cover(i, i + 1))
+            return F.concat(before, F.when(opens(i), marks[0]).otherwise(""), F.get(x["words"], i), F.when(F.coalesce(closes, F.lit(False)), marks[1]).otherwise(""))
+
+        return F.array_join(F.transform(F.sequence(begin, last), word), "")
+
+    first = F.array_min(F.filter(F.sequence(begin, last), opens))
+    used = F.aggregate(F.concat(x["gaps"], x["words"]), F.lit(0), lambda n, part: n + F.length(part))
+    rest = F.when(begin + size < count, F.lit(dots)).otherwise(F.substr(text, used + 1))
+    whole = F.concat(F.when(begin > 0, dots).otherwise(""), _let(F.struct(first.alias("v")), lambda v: body(v["v"])), rest)
+    return F.when(count == 0, text).otherwise(whole)
+
+
+def snippets(photos: DataFrame, query: str, column: str = "text", size: int = 10, marks: tuple[str, str] = ("[", "]"), dots: str = " ... ") -> DataFrame:
+    """``id, snippet`` of each row: the best ``size`` words of a column as they stand in its text, hits marked.
+
+    The window is the one with the most distinct phrases of the query, then the most hits, preferring the starts of
+    sentences (see ``_best_window``); sides that are cut get ``dots``. A row without a hit shows its first words, a
+    text without words is shown whole, and a null text gives null. Of NEAR only the occurrences count that take part
+    in a match; phrases behind NOT never count. A text with very many hits in as many sentences takes time by their product.
+    """
+    tree, _ = parse_or_phrase(query)
+
+    def show(x: Column) -> Column:
+        found = [f for leaf in leaves(tree) for f in _found(x["folded"], leaf, column) if f[1]]
+        hits = F.array_sort(F.concat(*[F.transform(s, _hit(k, n)) for k, (s, n) in enumerate(found)])) if found else F.array().cast("array<struct<at:int,phrase:int,n:int>>")
+        words = F.filter(F.sequence(F.lit(0), F.size(x["words"]) - 1), lambda i: (i == 0) | F.get(x["gaps"], i).rlike(SENTENCE_END))
+        opens = F.when(F.size(x["words"]) > 0, words).otherwise(F.array().cast("array<int>"))
+        parts = F.struct(x["words"].alias("words"), x["gaps"].alias("gaps"), hits.alias("hits"), opens.alias("opens"))
 
-            body = F.array_join(F.transform(F.slice(words, x["begin"] + 1, size), one), " ")
-            return F.concat(F.when(x["begin"] > 0, "... ").otherwise(""), body, F.when(x["begin"] + size < F.size(words), " ...").otherwise(""))
+        def placed(y: Column) -> Column:
+            begin = F.coalesce(_best_window(y, size, max(1, len(found))), F.lit(0))
+            return _let(F.struct(*[y[c].alias(c) for c in ("words", "gaps", "hits")], begin.alias("begin")), lambda z: _shown(z, F.col(column), size, marks, dots))
 
-        return _let(window(F.struct(hits.alias("hits"))), mark)
+        return _let(parts, placed)
 
-    return photos.select("id", F.when(F.col(column).isNotNull(), _let(tokens(F.col(column)), show)).alias("snippet"))
+    gaps, words = spelled(F.col(column))
+    read = F.struct(words.alias("words"), gaps.alias("gaps"), tokens(F.col(column)).alias("folded"))
+    return photos.select("id", F.when(F.col(column).isNotNull(), _let(read, show)).alias("snippet"))
