@@ -278,12 +278,29 @@ _add("pick_ids", lambda c: filters.pick_ids(c.photos, c.locations.select(F.col("
 _add("bulk_trash", lambda c: transitions.trash(c.photos, filters.bulk(filters.browse("error", show_hidden=True)), _NOW).select("id", "hidden", "deleted_at"), f"SELECT id, CASE WHEN status = 'error' AND {_ALIVE} THEN false ELSE hidden END AS hidden, CASE WHEN status = 'error' AND {_ALIVE} THEN TIMESTAMP '{_NOW}' ELSE deleted_at END AS deleted_at FROM photos")
 
 
-def _snippet_sql(array: str, size: int) -> str:
-    """The window of ``size`` words about the first hit of a row's word array."""
-    hits = f"list_filter(range(1, len({array}) + 1), lambda i: {array}[i] IN ('with', 'from'))"
-    begin = f"greatest(0, least(coalesce({hits}[1], 1) - 1 - {(size - 1) // 2}, len({array}) - {size}))"
-    body = f"array_to_string(list_transform(range({begin} + 1, least({begin} + {size}, len({array})) + 1), lambda i: CASE WHEN {array}[i] IN ('with', 'from') THEN '[' || {array}[i] || ']' ELSE {array}[i] END), ' ')"
-    return f"CASE WHEN {begin} > 0 THEN '... ' ELSE '' END || {body} || CASE WHEN {begin} + {size} < len({array}) THEN ' ...' ELSE '' END"
+def _snippet_views(name: str, column: str, words: tuple[str, str], size: int) -> str:
+    """View ``name`` (id, snippet) of a column for a query of two words: windows are rows, and the best of each id is kept."""
+    a, b = words
+    split = f"'([^\\p{{L}}\\p{{N}}]*)([\\p{{L}}\\p{{N}}]+)'"
+    hit = f"list_contains(['{a}', '{b}'], f[i + 1])"
+    points = "len(held) + 999 * len(list_distinct(list_transform(held, lambda i: f[i + 1])))"
+    body = f"array_to_string(list_transform(range(g, least(g + {size}, n)), lambda i: CASE WHEN i > g OR g = 0 THEN gaps[i + 1] ELSE '' END || CASE WHEN {hit} THEN '[' || spelt[i + 1] || ']' ELSE spelt[i + 1] END), '')"
+    return f"""{name}_split AS (
+      SELECT *, len(f) AS n, list_filter(range(len(f)), lambda i: {hit}) AS hits, list_filter(range(len(f)), lambda i: i = 0 OR regexp_matches(gaps[i + 1], '[.:][ \\t\\r\\n]+$')) AS opens
+      FROM (SELECT id, {column} AS t, regexp_extract_all({column}, {split}, 1) AS gaps, regexp_extract_all({column}, {split}, 2) AS spelt, list_transform(regexp_extract_all({column}, {split}, 2), lambda w: strip_accents(lower(w))) AS f FROM photos WHERE {column} IS NOT NULL)
+    ), {name}_hit AS (SELECT id, f, n, hits, unnest(hits) AS h, opens FROM {name}_split),
+    {name}_from AS (
+      SELECT id, f, n, h, 0 AS kind, h AS s, list_filter(hits, lambda i: i >= h AND i < h + {size}) AS held FROM {name}_hit
+      UNION ALL SELECT id, f, n, h, 1, s, list_filter(hits, lambda i: i >= s AND i < s + {size}) FROM (SELECT *, list_max(list_filter(opens, lambda i: i <= h)) AS s FROM {name}_hit) WHERE s < h AND n > {size}
+    ), {name}_best AS (
+      SELECT id, arg_max(begin, (points, -h, -kind)) AS begin FROM (
+        SELECT id, h, kind, {points} + CASE WHEN kind = 0 THEN 0 WHEN s = 0 THEN 120 ELSE 100 END AS points,
+          CASE WHEN kind = 1 THEN s ELSE greatest(0, least(h - ({size} - (held[-1] + 1 - h)) // 2, n - {size})) END AS begin FROM {name}_from)
+      GROUP BY id
+    ), {name} AS (
+      SELECT id, CASE WHEN n = 0 THEN t ELSE CASE WHEN g > 0 THEN ' ... ' ELSE '' END || {body} || CASE WHEN g + {size} < n THEN ' ... ' ELSE regexp_extract(t, '[^\\p{{L}}\\p{{N}}]*$') END END AS snippet
+      FROM (SELECT s.*, coalesce(begin, 0) AS g FROM {name}_split s LEFT JOIN {name}_best USING (id))
+    )"""
 
 
 def _snippets(c: D.Catalog) -> DataFrame:
@@ -291,10 +308,12 @@ def _snippets(c: D.Catalog) -> DataFrame:
 
 
 _BOTH = f"{_term('with')} > 0 AND {_term('from')} > 0"
-_add("fts_snippet", _snippets, f"SELECT id, {_snippet_sql('wt', 10)} AS snippet FROM tok WHERE {_BOTH}", _TOKENS)
+_add("fts_snippet", _snippets, f"SELECT id, snippet FROM tok JOIN shown USING (id) WHERE {_BOTH}", f"{_TOKENS}, {_snippet_views('shown', 'text', ('with', 'from'), 10)}")
 _top = SQL["fts_topk"]
 QUERIES["fts_results"] = lambda spark, sf_dir: _results(D.catalog(spark, sf_dir))
-SQL["fts_results"] = _top.replace(") SELECT id, round(", ") SELECT s.id, rank, status, category, length(text) AS text_len, " + _snippet_sql("wt", 10).replace("'with', 'from'", "'licensed', 'under'") + " AS text_snippet, CASE WHEN context IS NOT NULL THEN " + _snippet_sql("wc", 6).replace("'with', 'from'", "'licensed', 'under'") + " END AS context_snippet, path FROM (SELECT id, round(", 1) + ") s JOIN tok t ON t.id = s.id LEFT JOIN first_location f ON f.id = s.id"
+_SHOWN = f"{_snippet_views('shown', 'text', ('licensed', 'under'), 10)}, {_snippet_views('told', 'context', ('licensed', 'under'), 6)}"
+_head, _page = _top.split(") SELECT id, round(", 1)
+SQL["fts_results"] = f"{_head}), {_SHOWN} SELECT s.id, rank, status, category, length(text) AS text_len, shown.snippet AS text_snippet, told.snippet AS context_snippet, path FROM (SELECT id, round({_page}) s JOIN photos t ON t.id = s.id LEFT JOIN shown ON shown.id = s.id LEFT JOIN told ON told.id = s.id LEFT JOIN first_location f ON f.id = s.id"
 
 
 def _results(c: D.Catalog) -> DataFrame:
