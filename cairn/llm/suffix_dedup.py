@@ -14,7 +14,7 @@ taken apart by run and compared by aggregation, with partial results before the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,13 +68,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def owner_of(doc: int, tag: int) -> int:
+    """64 bits by which the grams of a document find its text again."""
+    return xxhash.xxh3_64_intdigest(f"{doc} {tag}") - (1 << 63)
+
+
+def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, owner: Callable[[int, int], int] = owner_of) -> DataFrame:
     """``doc, hash, n_words, runs``: documents, by id and text hash, that hold repeated runs of ``length`` words.
 
     ``runs`` is an array of (start, stop, first): ranges of words at which repeated runs begin, split by whether the
     run is the first of its kind by id, text hash and place. Ids are integers. Rows equal in id and text are one
     document; a null id counts as the least long, -2**63, and sorts first. Texts of fewer words, nulls among them, hold no
-    runs; an empty table gives an empty result; other columns are not looked at.
+    runs; an empty table gives an empty result; other columns are not looked at. Documents of one ``owner`` value are
+    read for each other's grams too, and stay apart.
     """
     source = docs.where(F.col(text).isNotNull()).select(_doc(F.col(key)).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
@@ -89,19 +95,19 @@ def passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length
                     places = np.sort(run_hashes(h, gram))
                     found = np.append(found, np.intersect1d(found, places[1:][places[1:] == places[:-1]]))
                 grams.append(found)
-                owners.append(np.full(len(found), xxhash.xxh3_64_intdigest(f"{doc} {tag}") - (1 << 63), dtype=np.int64))
+                owners.append(np.full(len(found), owner(doc, tag), dtype=np.int64))
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(grams))), pa.array(np.concatenate(owners))], names=["key", "rep"])
 
-    def owner(doc, tag) -> pa.Array:
-        return pa.array([xxhash.xxh3_64_intdigest(f"{d} {t}") - (1 << 63) for d, t in zip(doc, tag, strict=True)], pa.int64())
+    def owners_of(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([owner(d, t) for d, t in zip(values(batch, "doc"), values(batch, "hash"), strict=True)], pa.int64())]
 
     once, some = (d.mapInArrow(retain, "key long, rep long") for d in (source, source.where(in_sample(F.xxhash64("doc", "hash")))))
     repeated = cut(repeated_keys(once, some), "grams")
     wanted = repeated.groupBy("rep").agg(F.collect_set("key").alias("grams"))
-    owned = append(source, "rep long", lambda batch: [owner(values(batch, "doc"), values(batch, "hash"))])
+    owned = append(source, "rep long", owners_of)
     # by shuffle at every size: what is wanted grows with the documents
-    held = owned.hint("merge").join(wanted, "rep").dropDuplicates(["rep"])
+    held = owned.hint("merge").join(wanted, "rep").dropDuplicates(["rep", "doc", "hash"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -219,6 +219,15 @@ def test_repeats_on_odd_rows(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_documents_of_one_owner_hash_stay_apart(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [(i, f"a{i} {shared} b{i}" if i < 3 else " ".join(f"u{i}x{j}" for j in range(80))) for i in range(6)]
+    df = spark.createDataFrame(texts + [(7, None), (2, texts[2][1])], "doc_id long, text string")
+    want = sorted((r.doc, r.n_words, sorted(map(tuple, r.runs))) for r in suffix_dedup.passages(df).collect())
+    got = sorted((r.doc, r.n_words, sorted(map(tuple, r.runs))) for r in suffix_dedup.passages(df, owner=lambda doc, tag: 5).collect())
+    assert got == want and [d for d, _, _ in got] == [0, 1, 2]
+
+
 def test_automaton_blocks_and_spans(spark):
     item = " ".join(f"b{i}" for i in range(14))
     items = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, ""), (None, "lonely")], "item_id long, text string")
