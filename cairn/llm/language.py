@@ -1,8 +1,9 @@
 """Language identification in two steps: the family first, then the language within its family.
 
-Features are hashed byte bigrams and trigrams of the whole lower-cased text, by share of the text. Both
-steps vote over one-versus-one linear support vector machines: between families, and between the
-languages of one family. Families that the table does not name hold one language each.
+Features are hashed byte bigrams and trigrams of the whole lower-cased text, by share of the text. Families are told
+from each other by one linear support vector machine each, the languages of one family by a vote over one-versus-one
+machines. Families that the table does not name hold one language each, so that the machines grow with the number of
+languages, not with its square.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.batches import LOWER, append, raw, resident
-from cairn.llm.linear import linear_svm, sigmoid
+from cairn.llm.linear import linear_svm, one_versus_rest, sigmoid
 
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -38,8 +39,10 @@ _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.
 BITS = 13
 #: Most labelled rows of one language that are fitted.
 ROWS_PER_LANGUAGE = 500
-#: Most rows of all languages, which bounds the matrix on the driver (32 kB a row), and most languages.
-MOST_ROWS, MOST_LANGUAGES = 8000, 400
+#: Most rows of all languages that are fitted, but for two of each.
+MOST_ROWS = 8000
+#: Most weights that are broadcast (8 bytes each): beyond it, of more than 2,048 machines, neighbouring features share weights.
+MOST_WEIGHTS = 1 << 24
 #: Bytes of a text that are turned into features at once, and texts that are predicted at once.
 PIECE, TEXTS = 1 << 18, 64
 UNKNOWN = "und"
@@ -63,7 +66,7 @@ def gram_counts(text: bytes) -> np.ndarray:
 
 @dataclass
 class Hierarchy:
-    """What is broadcast: a weight column for each pair of families or of languages in a family."""
+    """What is broadcast: a weight column for each family, if there are several, then for each pair of languages in a family."""
 
     members: dict[str, list[str]]
     pairs: list[tuple[str, str]] = field(default_factory=list)
@@ -71,10 +74,10 @@ class Hierarchy:
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        if not self.pairs:
+        if not len(self.bias):
             return np.zeros((len(texts), 0))
         shares = np.stack([gram_counts(t) for t in texts]) / np.array([[2 * len(t)] for t in texts])
-        return shares @ self.weights + self.bias
+        return shares.reshape(len(texts), len(self.weights), -1).sum(axis=2) @ self.weights + self.bias
 
     def _vote(self, names: list[str], chances: dict) -> tuple[str, float]:
         share = {a: np.mean([chances[a, b] if (a, b) in chances else 1 - chances[b, a] for b in names if b != a]) if len(names) > 1 else 1.0 for a in names}
@@ -82,11 +85,14 @@ class Hierarchy:
         return best, float(share[best])
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        out = []
-        for row in sigmoid(2 * self.margins(texts)):
-            chances = dict(zip(self.pairs, row, strict=True))
-            family, sure = self._vote(sorted(self.members), chances)
-            language, more = self._vote(self.members[family], chances)
+        families, out = sorted(self.members), []
+        for margins in self.margins(texts):
+            row, best, sure, n = sigmoid(2 * margins), 0, 1.0, 0
+            if len(families) > 1:  # against the strongest rival, so that more families don't lower it
+                n = len(families)
+                best = int(np.argmax(margins[:n]))
+                sure = float(row[best] / (row[best] + np.delete(row[:n], best).max()))
+            language, more = self._vote(self.members[families[best]], dict(zip(self.pairs, row[n:], strict=True)))
             out.append((language, sure * more))
         return out
 
@@ -99,49 +105,56 @@ def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> Hierarchy:
-    """Fit all pairs on rows of ``grams``; languages of the table's families are told apart within them only."""
+    """Fit all machines on rows of ``grams``; languages of the table's families are told apart within them only."""
     members: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         members.setdefault(f"family:{_FAMILY.get(lang.lower(), lang)}", []).append(lang)
-    model = Hierarchy(members)
-    family_of = {lang: family for family, many in members.items() for lang in many}
-    x = np.zeros((len(rows), (1 << BITS) + 1), dtype=np.float32)
-    for i, (places, shares) in enumerate(rows):
-        x[i, places] = shares
-    scale = 1.0 / max(float(np.mean(np.linalg.norm(x, axis=1))), 1e-9) if rows else 1.0
-    x *= scale
-    x[:, -1] = 1.0
-    languages, families = np.array(langs), np.array([family_of[lang] for lang in langs])
-    tasks = [(a, b, families) for a, b in combinations(sorted(members), 2)]
-    tasks += [(a, b, languages) for many in members.values() for a, b in combinations(many, 2)]
-    columns = []
-    for a, b, names in tasks:
-        some = np.flatnonzero((names == a) | (names == b))
-        model.pairs.append((a, b))
-        columns.append(linear_svm(x[some], np.where(names[some] == a, 1.0, -1.0)).astype(np.float32))
-    if columns:
-        w = np.stack(columns, axis=1).astype(np.float64)
-        model.weights, model.bias = np.ascontiguousarray(w[:-1] * scale), w[-1]
+    model, families = Hierarchy(members, [p for _, many in sorted(members.items()) for p in combinations(many, 2)]), sorted(members)
+    alone = len(families) == 1
+    machines = len(model.pairs) + (0 if alone else len(families))
+    if not machines:
+        return model
+    shift = 0
+    while machines << (BITS - shift) > MOST_WEIGHTS and shift < BITS:
+        shift += 1
+    size = 1 << (BITS - shift)
+    scale = 1.0 / max(float(np.mean([np.linalg.norm(shares) for _, shares in rows])), 1e-9)
+    rows = [(at >> shift, shares * scale) for at, shares in rows]
+    if shift:
+        rows = [(places, np.bincount(back, weights=shares)) for (at, shares) in rows for places, back in [np.unique(at, return_inverse=True)]]
+    languages, number = np.array(langs), {lang: i for i, name in enumerate(families) for lang in members[name]}
+    columns = [np.zeros((size + 1, 0))]
+    if not alone:
+        columns.append(one_versus_rest(rows, np.array([number[lang] for lang in langs]), len(families), size))
+    for a, b in model.pairs:
+        some = np.flatnonzero((languages == a) | (languages == b))
+        x = np.zeros((len(some), size + 1), dtype=np.float32)
+        for i, j in enumerate(some):
+            x[i, rows[j][0]] = rows[j][1]
+        x[:, -1] = 1.0
+        columns.append(linear_svm(x, np.where(languages[some] == a, 1.0, -1.0))[:, None])
+    w = np.concatenate(columns, axis=1)
+    model.weights, model.bias = np.ascontiguousarray(w[:-1] * scale), w[-1]
     return model
 
 
-def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS, most_languages: int = MOST_LANGUAGES) -> Hierarchy:
-    """Fit on at most ``rows_per_language`` rows of each language, ``most_rows`` in all, drawn by hash.
+def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Hierarchy:
+    """Fit on at most ``rows_per_language`` rows of each language, ``most_rows`` in all but at least two of each, drawn by hash.
 
-    The ``most_languages`` most frequent languages are learned (ties by name). Rows without a language or a letter teach
-    nothing. Languages are counted first, so that about as many rows as are used leave the executors, as gram shares
-    whose size doesn't grow with the text. The hash is of key, text and the row's place, so that rows with null or equal
-    keys are drawn one by one.
+    Every language is learned, however rare. Rows without a language or a letter teach nothing. Languages are counted first,
+    so that about as many rows as are used become gram shares, whose size doesn't grow with the text; only those that are used
+    reach the driver. The hash is of key, text and the row's place, so that rows with null or equal keys are drawn one by one; the
+    same rows in other files may fit another model.
     """
-    named = rows.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages)
+    named = rows.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count()
     counts = {r["l"]: r["count"] for r in named.collect()}
     if not counts:
         return Hierarchy({})
     most = max(2, min(rows_per_language, most_rows // len(counts)))
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.monotonically_increasing_id(), F.lit("language")), F.lit(1 << 40))
     labelled = rows.select(F.col(text).alias("t"), F.col(lang).alias("l"), draw.alias("d")).where("l is not null and t is not null and t <> ''")
-    limits = F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*[F.lit(int(min(1.0, (1.3 * most + 30) / n) * (1 << 40))) for n in counts.values()]))
-    drawn = labelled.where(F.col("d") < F.try_element_at(limits, F.col("l")))
+    limits = rows.sparkSession.createDataFrame([(name, int(min(1.0, (1.3 * most + 30) / n) * (1 << 40))) for name, n in sorted(counts.items())], "l string, until long")
+    drawn = labelled.join(F.broadcast(limits), "l").where("d < until").select("l", "d", "t")
 
     def each(batch: pa.RecordBatch) -> list[pa.Array]:
         places, shares = [], []
@@ -152,12 +165,10 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
         return [pa.array(places, pa.binary()), pa.array(shares, pa.binary())]
 
     learned = append(drawn, "places binary, shares binary", each).select("l", "d", "places", "shares").where("places is not null")
-    kept: dict[str, list] = {}
-    for r in sorted(learned.toLocalIterator(), key=lambda r: (r["l"], r["d"], r["places"], r["shares"])):
-        mine = kept.setdefault(r["l"], [])
-        if len(mine) < most:
-            mine.append((np.frombuffer(r["places"], "<u2").astype(np.intp), np.frombuffer(r["shares"], "<f4")))
-    return fit([x for name in sorted(kept) for x in kept[name]], [name for name in sorted(kept) for _ in kept[name]])
+    order = Window.partitionBy("l").orderBy("d", "places", "shares")
+    used = learned.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("l", "nth", "places", "shares")
+    fitted = sorted(used.toLocalIterator(), key=lambda r: (r["l"], r["nth"]))
+    return fit([(np.frombuffer(r["places"], "<u2").astype(np.intp), np.frombuffer(r["shares"], "<f4")) for r in fitted], [r["l"] for r in fitted])
 
 
 def identify(docs: DataFrame, model: Hierarchy, *, text: str = "text") -> DataFrame:

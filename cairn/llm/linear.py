@@ -29,6 +29,32 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 3
     return w
 
 
+def one_versus_rest(rows: list[tuple[np.ndarray, np.ndarray]], names: np.ndarray, classes: int, size: int, cost: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
+    """A support vector machine of each class against all others, a column each, the bias in the last row.
+
+    ``rows`` are places and values below ``size``. All classes take the same dual coordinate step together, so a row is gathered once
+    for all of them and no dense matrix of rows is made.
+    """
+    w = np.zeros((size + 1, classes))
+    alpha = np.zeros((len(rows), classes), dtype=np.float32)
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in rng.permutation(len(rows)):
+            at, x = np.append(rows[i][0], size), np.append(rows[i][1], 1.0)
+            y = np.where(np.arange(classes) == names[i], 1.0, -1.0)
+            new = np.clip(alpha[i] - (y * (x @ w[at]) - 1) / (x @ x), 0.0, cost)
+            step = new - alpha[i]
+            some = np.flatnonzero(step)
+            if len(some):
+                w[np.ix_(at, some)] += np.outer(x, (step * y)[some])
+                alpha[i] = new
+                moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-4:
+            break
+    return w
+
+
 class Ftrl:
     """FTRL-proximal logistic regression over sets of hashed features, with a learning rate for each coordinate."""
 

@@ -334,6 +334,44 @@ def test_classifiers_learn_from_null_and_equal_ids(spark):
     assert toxicity.train(docs, labels, rows_per_class=40) and toxicity.train(docs, labels, sample_bytes=0)[2] == 0
 
 
+def many_languages(n, each):
+    """Rows of ``n`` languages, each with forty words of its own; a tenth has two rows only."""
+    rng = np.random.default_rng(5)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(40)] for _ in range(n)]
+    return [(f"x{i:03d}", " ".join(rng.choice(words[i], 60))) for i in range(n) for _ in range(2 if i % 10 == 0 else each)]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(many_languages(420, 6))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert len(model.members) == 420 and len(model.bias) == 420
+    found = language.identify(df, model).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.99 * len(found)
+    assert {r.lang for r in found if r.lang == r.lang_pred} == {r[2] for r in rows}
+    assert min(r.score for r in found) > 0.3
+
+
+def test_shared_weights_are_the_sums_of_features(monkeypatch):
+    rows = many_languages(8, 6)
+    for most in (8 << language.BITS, 8 << 11):
+        monkeypatch.setattr(language, "MOST_WEIGHTS", most)
+        model = language.fit([language.grams(text.encode()) for _, text in rows], [lang for lang, _ in rows])
+        assert model.weights.size == most
+        assert [x for x, _ in model.predict([text.encode() for _, text in rows])] == [lang for lang, _ in rows]
+
+
+def test_one_versus_rest_meets_plain_machines():
+    rng = np.random.default_rng(2)
+    x, names = rng.normal(size=(60, 4)), rng.integers(0, 3, 60)
+    x[np.arange(60), names] += 3
+    rows = [(np.arange(4), v) for v in x]
+    w = language.one_versus_rest(rows, names, 3, 4, cost=1.0, epochs=400)
+    for k in range(3):
+        plain = language.linear_svm(np.hstack([x, np.ones((60, 1))]), np.where(names == k, 1.0, -1.0), cost=1.0, epochs=400)
+        assert np.allclose(w[:, k], plain, atol=2e-2)
+
+
 def test_models_equal_plain_versions(monkeypatch):
     rng = np.random.default_rng(1)
     examples = [(np.unique(rng.integers(0, 30, 6)), int(rng.integers(0, 2))) for _ in range(60)]
