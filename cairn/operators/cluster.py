@@ -1,10 +1,13 @@
-"""Clusters of perceptual hashes: exact banded Hamming join, components, keep-largest."""
+"""Clusters of perceptual hashes: exact Hamming join, components, keep-largest."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,28 +17,112 @@ from cairn.operators.joins import spread_join
 from cairn.workspace import cut
 
 BITS = 63
+#: Values of a block: 1/32 of all within these bounds, so that there is work for many tasks and no block is sent too often.
+LEAST_BLOCK, MOST_BLOCK = 8_192, 131_072
+#: So many comparisons of two values in a block cost as much as one row that a join makes.
+A_ROW = 500
+#: Pairs to a batch that leaves a task, values that are compared with one at once.
+BATCH, STRIP = 65_536, 16_384
+
+
+def _banded_cost(distance: int, values: int, bands: int) -> float:
+    near, width = distance // bands, BITS / bands
+    keys = sum(comb(round(width), k) for k in range(near + 1))
+    return bands * (values * (1.0 + keys) + values * values / 2 * min(1.0, keys / 2**width))
 
 
 def bands_for(distance: int, values: int) -> int:
     """How many bands cost least: the keys that are enumerated, and the pairs that random values would make."""
+    allowed = (b for b in range(1, min(distance, BITS - 1) + 2) if comb(BITS // b + 1, distance // b) < 5000)
+    return min(allowed, key=lambda b: _banded_cost(distance, values, b))
 
-    def cost(bands: int) -> float:
-        near, width = distance // bands, BITS / bands
-        keys = sum(comb(round(width), k) for k in range(near + 1))
-        return bands * (values * (1.0 + keys) + values * values / 2 * min(1.0, keys / 2**width))
 
-    return min((b for b in range(1, min(distance, BITS - 1) + 2) if comb(BITS // b + 1, distance // b) < 5000), key=cost)
+def selective(distance: int, values: int) -> bool:
+    """Whether the join by bands makes so few rows that comparing all values in blocks costs more."""
+    return _banded_cost(distance, values, bands_for(distance, values)) < values * values / 2 / A_ROW
 
 
 def hamming_pairs(hashes: DataFrame, distance: int, column: str = "phash") -> DataFrame:
     """``a, b, distance``: pairs of distinct values, a < b, that differ in at most ``distance`` bits; exact.
 
+    Nulls take no part. Values are compared in blocks or joined by bands, whichever costs less at their number.
+    """
+    values, count = _values(hashes, column)
+    return _banded(values, distance, count) if selective(distance, count) else _in_blocks(values, count, _near_pairs(distance), "a long, b long, distance int")
+
+
+def _values(hashes: DataFrame, column: str) -> tuple[DataFrame, int]:
+    values = cut(hashes.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("v")).distinct(), "values")
+    return values, values.count()
+
+
+def _in_blocks(values: DataFrame, count: int, compare: Callable, schema: str) -> DataFrame:
+    """What ``compare`` yields of each two blocks of values, and of each block with itself.
+
+    A block is one row, sent once for each block, so few rows are moved, however many values are near to each other.
+    """
+    blocks = max(1, ceil(count / min(MOST_BLOCK, max(LEAST_BLOCK, ceil(count / 32)))))
+    packed = values.groupBy(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("n")).agg(F.collect_list("v").alias("block"))
+    with_others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda m: F.least("n", m) * blocks + F.greatest("n", m))
+    sent = packed.select("block", F.explode(with_others).alias("two")).repartition(min(blocks * (blocks + 1) // 2, 2048), "two")
+    return sent.groupBy("two").agg(F.collect_list("block").alias("blocks")).select("blocks").mapInArrow(_each(compare), schema)
+
+
+def _each(compare: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for two in batch.column(0):
+                blocks = [np.sort(b.values.to_numpy()).view(np.uint64) for b in two.values]
+                yield from compare(blocks[0], blocks[-1], len(blocks) == 1)
+
+    return run
+
+
+def _hits(x: np.ndarray, y: np.ndarray, distance: int, itself: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each place in ``x``: the places in ``y`` (of a block itself: the later ones) within ``distance``, and how far they are."""
+    apart, bits, near = np.empty(STRIP, np.uint64), np.empty(STRIP, np.uint8), np.empty(STRIP, bool)
+    for begin in range(0, len(y), STRIP):
+        strip = y[begin : begin + STRIP]
+        for i in range(min(len(x), begin + len(strip)) if itself else len(x)):
+            skip = max(0, i + 1 - begin) if itself else 0
+            size = len(strip) - skip
+            np.bitwise_xor(strip[skip:], x[i], out=apart[:size])
+            np.bitwise_count(apart[:size], out=bits[:size])
+            found = np.flatnonzero(np.less_equal(bits[:size], distance, out=near[:size]))
+            if len(found):
+                yield i, found + (begin + skip), bits[found]
+
+
+def _near_pairs(distance: int) -> Callable:
+    def compare(x: np.ndarray, y: np.ndarray, itself: bool) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            one, other = (np.concatenate([p[k] for p in parts]).view(np.int64) for k in (0, 1))
+            far = np.concatenate([p[2] for p in parts]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(far)], ["a", "b", "distance"])
+
+        for i, found, far in _hits(x, y, distance, itself):
+            parts.append((np.full(len(found), x[i]), y[found], far))
+            held += len(found)
+            if held >= BATCH:
+                yield batch()
+                parts, held = [], 0
+        if parts:
+            yield batch()
+
+    return compare
+
+
+def _banded(values: DataFrame, distance: int, count: int) -> DataFrame:
+    """The pairs by a join of bands, for distances at which it is selective.
+
     Of ``m`` bands of such a pair one at least differs in ``distance // m`` bits or fewer. One side is posted under every
     band, the other under all that near to each of its bands, and a pair counts only in its first such band, so
-    nothing needs to be made distinct. How many bands there are is chosen by the number of values; nulls take no part.
+    nothing needs to be made distinct. How many bands there are is chosen by the number of values.
     """
-    values = hashes.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
-    bands = bands_for(distance, values.count())
+    bands = bands_for(distance, count)
     near = distance // bands
     edges = [BITS * i // bands for i in range(bands + 1)]
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]

@@ -77,6 +77,40 @@ def test_hamming_is_exact(spark):
         assert bands * keys / 2 ** (63 / bands) < share
 
 
+def _near(values, distance):
+    found = ((a, b, ((a ^ b) & (2**64 - 1)).bit_count()) for a in values for b in values if a < b)
+    return {pair for pair in found if pair[2] <= distance}
+
+
+def test_blocks_find_the_pairs_that_bands_find(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) - 2**63 for _ in range(40)]  # with the sign bit
+    values = sorted({*base, *[b ^ sum(1 << k for k in rng.sample(range(63), rng.randrange(20))) for b in base * 5]})
+    want = _near(values, 16)
+    rows = spark.createDataFrame([(v,) for v in [*values, None, values[0]]], "phash long")
+    for least, strip, batch in ((8_192, 16_384, 65_536), (30, 7, 5), (1, 16_384, 1)):
+        for name, value in (("LEAST_BLOCK", least), ("STRIP", strip), ("BATCH", batch)):
+            monkeypatch.setattr(cluster, name, value)
+        found = [tuple(r) for r in hamming_pairs(rows, 16).collect()]
+        assert set(found) == want and len(found) == len(want)
+    assert not hamming_pairs(spark.createDataFrame([(None,)], "phash long"), 16).collect()
+    monkeypatch.setattr(cluster, "A_ROW", 1e-9)
+    assert cluster.selective(16, len(values)) and {tuple(r) for r in hamming_pairs(rows, 16).collect()} == want
+
+
+def test_a_distance_that_is_not_selective_joins_no_bands(spark):
+    import random
+
+    rng = random.Random(7)
+    values = [rng.getrandbits(63) for _ in range(2000)]
+    found = hamming_pairs(spark.createDataFrame([(v,) for v in values], "phash long"), 16)
+    assert {tuple(r) for r in found.collect()} == _near(values, 16)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert not cluster.selective(16, 10_000_000) and cluster.selective(2, 10_000_000)
+
+
 def test_durations_and_boxes(spark):
     rows = spark.createDataFrame([("45",), ("90m",), ("1h30m",), ("2d",), ("nope",), ("0",), (None,)], "x string")
     assert [r[0] for r in rows.select(N.parse_duration(F.col("x"))).collect()] == [45.0, 5400.0, 5400.0, 172800.0, None, None, None]
