@@ -243,8 +243,11 @@ def spelled(value: Column) -> tuple[Column, Column]:
 
 
 def photo_hash(bright: Column) -> Column:
-    """63 bits: bit k says whether value k is above value k + 1."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.when(F.get(bright, k) > F.get(bright, k + 1), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))))
+    """63 bits: bit k says whether value k is above value k + 1. Written out bit by bit, so that it is compiled."""
+    bits = [F.when(F.get(bright, F.lit(k)) > F.get(bright, F.lit(k + 1)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(63)]
+    while len(bits) > 1:
+        bits = [bits[i].bitwiseOR(bits[i + 1]) if i + 1 < len(bits) else bits[i] for i in range(0, len(bits), 2)]
+    return bits[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

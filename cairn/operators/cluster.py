@@ -115,6 +115,45 @@ def _near_pairs(distance: int) -> Callable:
     return compare
 
 
+def near_links(hashes: DataFrame, distance: int, column: str = "phash") -> DataFrame:
+    """``a, b``: links that join the values which ``hamming_pairs`` does, directly or through others; of each value one a block at most.
+
+    Of two blocks come the components of their own pairs, each value with the least of its component, not the pairs:
+    these grow with the square of a group of near values.
+    """
+    values, count = _values(hashes, column)
+    return _banded(values, distance, count).select("a", "b") if selective(distance, count) else _in_blocks(values, count, _near_stars(distance), "a long, b long")
+
+
+def _near_stars(distance: int) -> Callable:
+    def compare(x: np.ndarray, y: np.ndarray, itself: bool) -> Iterator[pa.RecordBatch]:
+        one, other = x.view(np.int64), y.view(np.int64)
+        nodes = one if itself else np.sort(np.concatenate([one, other]))
+        of_x, of_y = np.searchsorted(nodes, one), np.searchsorted(nodes, other)
+        above = np.arange(len(nodes))
+        for i, found, _ in _hits(x, y, distance, itself):
+            met = np.append(of_y[found], of_x[i])
+            tops = _tops(above, met)
+            least = tops.min()
+            if (tops != least).any():
+                above[tops] = above[met] = least
+        tops = _tops(above, np.arange(len(nodes)))
+        linked = np.flatnonzero(tops != np.arange(len(nodes)))
+        for begin in range(0, len(linked), BATCH):
+            part = linked[begin : begin + BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[tops[part]])], ["a", "b"])
+
+    return compare
+
+
+def _tops(above: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places at which the ways up from ``places`` end."""
+    now = above[places]
+    while ((following := above[now]) != now).any():
+        now = following
+    return now
+
+
 def _banded(values: DataFrame, distance: int, count: int) -> DataFrame:
     """The pairs by a join of bands, for distances at which it is selective.
 
@@ -153,8 +192,8 @@ def clusters(photos: DataFrame, distance: int = 8, min_size: int = 2, exclude_de
     rows = photos.where(alive() & F.col("phash").isNotNull())
     if exclude_derivatives:
         rows = rows.where(~F.col("derivative"))
-    rows = rows.select("id", "phash")
-    labels = connected_components(hamming_pairs(rows, distance), "a", "b")
+    rows = cut(rows.select("id", "phash"), "hashes")
+    labels = connected_components(near_links(rows, distance), "a", "b")
     named = cut(rows.join(labels, rows["phash"] == labels["node"], "left").select("id", F.coalesce("component", "phash").alias("c")), "named")
     least = named.groupBy("c").agg(F.min("id").alias("cluster"), F.count("*").alias("n")).where(F.col("n") >= min_size).withColumn("size", F.col("n"))
     return spread_join(named, least, "c", "n", named.count()).select("id", "cluster", "size")

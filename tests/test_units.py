@@ -111,6 +111,30 @@ def test_a_distance_that_is_not_selective_joins_no_bands(spark):
     assert not cluster.selective(16, 10_000_000) and cluster.selective(2, 10_000_000)
 
 
+@pytest.mark.parametrize("block", [8_192, 150])
+def test_clusters_move_no_pairs_of_a_group(spark, monkeypatch, block):
+    import random
+
+    rng, linked = random.Random(8), []
+    group = [5 << 40 | k for k in range(600)]  # all within 10 bits of each other
+    chain = [7 << 50 | (1 << 16 * k) - 1 for k in range(1, 4)]
+    values = group + chain + [rng.getrandbits(63) for _ in range(300)]
+    want = {v: v for v in values}
+    for a, b, _ in sorted(_near(values, 16)):
+        old, new = sorted((want[a], want[b]), reverse=True)
+        want = {v: new if c == old else c for v, c in want.items()}
+    monkeypatch.setattr(cluster, "LEAST_BLOCK", block)
+    monkeypatch.setattr(cluster, "connected_components", lambda edges, *ends: linked.append(edges.count()) or connected_components(edges, *ends))
+    rng.shuffle(values)
+    photos = spark.createDataFrame([(i, v, None) for i, v in enumerate([*values, *values[:50], None])], "id long, phash long, deleted_at timestamp")
+    found = {r.id: (r.cluster, r.size) for r in cluster.clusters(photos, 16).collect()}
+    groups = {}
+    for i, v in enumerate([*values, *values[:50]]):
+        groups.setdefault(want[v], []).append(i)
+    assert found == {i: (g[0], len(g)) for g in groups.values() if len(g) > 1 for i in g}
+    assert linked[0] <= len(values) * -(-len(values) // block)  # of pairs there are 180,000
+
+
 def test_durations_and_boxes(spark):
     rows = spark.createDataFrame([("45",), ("90m",), ("1h30m",), ("2d",), ("nope",), ("0",), (None,)], "x string")
     assert [r[0] for r in rows.select(N.parse_duration(F.col("x"))).collect()] == [45.0, 5400.0, 5400.0, 172800.0, None, None, None]
