@@ -189,24 +189,33 @@ def clusters(photos: DataFrame, distance: int = 8, min_size: int = 2, exclude_de
 
     Equal hashes are one node each, so that many copies of one picture cost one value.
     """
+    return _sized(_labelled(photos, distance, exclude_derivatives), min_size).select("id", "cluster", "size")
+
+
+def _labelled(photos: DataFrame, distance: int, exclude_derivatives: bool, *more: str) -> DataFrame:
+    """``id``, the columns ``more`` and ``c``, the least hash of the photo's component."""
     rows = photos.where(alive() & F.col("phash").isNotNull())
     if exclude_derivatives:
         rows = rows.where(~F.col("derivative"))
-    rows = cut(rows.select("id", "phash"), "hashes")
+    rows = cut(rows.select("id", "phash", *more), "hashes")
     labels = connected_components(near_links(rows, distance), "a", "b")
-    named = cut(rows.join(labels, rows["phash"] == labels["node"], "left").select("id", F.coalesce("component", "phash").alias("c")), "named")
-    least = named.groupBy("c").agg(F.min("id").alias("cluster"), F.count("*").alias("n")).where(F.col("n") >= min_size).withColumn("size", F.col("n"))
-    return spread_join(named, least, "c", "n", named.count()).select("id", "cluster", "size")
+    return cut(rows.join(labels, rows["phash"] == labels["node"], "left").select("id", *more, F.coalesce("component", "phash").alias("c")), "named")
+
+
+def _sized(named: DataFrame, min_size: int, *more: Column) -> DataFrame:
+    """Rows of ``named`` in components of that size, with ``cluster``, ``size`` and what else is to be known of a component."""
+    facts = named.groupBy("c").agg(F.min("id").alias("cluster"), F.count("*").alias("n"), *more).where(F.col("n") >= min_size).withColumn("size", F.col("n"))
+    return spread_join(named, facts, "c", "n", named.count())
 
 
 def duplicates(photos: DataFrame, distance: int = 4) -> DataFrame:
     """Clusters without derivatives, each with its largest file (ties: least id) marked to keep.
 
-    The largest is found by aggregation and joined back in spread, so no task has all of a cluster.
+    The largest is found with the size, by one aggregation, and joined back in spread, so no task has all of a cluster.
     """
-    found = cut(clusters(photos, distance, exclude_derivatives=True).join(photos.select("id", "byte_size"), "id"), "sized")
-    best = found.groupBy("cluster").agg(F.max_by("id", F.struct("byte_size", -F.col("id"))).alias("largest"), F.count("*").alias("n"))
-    return spread_join(found, best, "cluster", "n", found.count()).select("cluster", "id", "size", (F.col("id") == F.col("largest")).alias("keep"))
+    named = _labelled(photos, distance, True, "byte_size")
+    found = _sized(named, 2, F.max_by("id", F.struct("byte_size", -F.col("id"))).alias("largest"))
+    return found.select("cluster", "id", "size", (F.col("id") == F.col("largest")).alias("keep"))
 
 
 def groups(found: DataFrame, photos: DataFrame, members: int = 12) -> DataFrame:

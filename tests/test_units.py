@@ -135,6 +135,17 @@ def test_clusters_move_no_pairs_of_a_group(spark, monkeypatch, block):
     assert linked[0] <= len(values) * -(-len(values) // block)  # of pairs there are 180,000
 
 
+def test_duplicates_keep_the_largest_in_one_pass_over_clusters(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(cluster, "cut", lambda df, tag, keep=cluster.cut: tables.append(tag) or keep(df, tag))
+    rows = [(1, 5, 10, False, None), (2, 7, 30, False, None), (3, 5, 30, False, None), (4, 5, None, False, None), (5, 5, 99, True, None), (6, 1 << 40, 1, False, None), (7, 1 << 40, None, False, None)]
+    rows += [(8, (1 << 63) - 1, 4, False, None), (9, None, 4, False, None)]
+    photos = spark.createDataFrame(rows, "id long, phash long, byte_size long, derivative boolean, deleted_at timestamp")
+    found = sorted(tuple(r) for r in cluster.duplicates(photos, 1).select("cluster", "id", "size", "keep").collect())
+    assert found == [(1, 1, 4, False), (1, 2, 4, True), (1, 3, 4, False), (1, 4, 4, False), (6, 6, 2, True), (6, 7, 2, False)]
+    assert "sized" not in tables
+
+
 def test_durations_and_boxes(spark):
     rows = spark.createDataFrame([("45",), ("90m",), ("1h30m",), ("2d",), ("nope",), ("0",), (None,)], "x string")
     assert [r[0] for r in rows.select(N.parse_duration(F.col("x"))).collect()] == [45.0, 5400.0, 5400.0, 172800.0, None, None, None]
