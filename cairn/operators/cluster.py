@@ -222,8 +222,9 @@ def groups(found: DataFrame, photos: DataFrame, members: int = 12) -> DataFrame:
     """``cluster, size, largest, sample, members, place``: groups by size, ties by least id.
 
     ``largest`` is the member with the most bytes (ties: least id), ``sample`` the text of the least id that has any, ``members`` the first
-    ids. Members are cut to that many before they are collected.
+    ids. Members are cut to that many before they are collected. ``found`` is read twice, so it is written out first.
     """
+    found = cut(found, "found")
     rows = found.join(photos.select("id", "byte_size", "text"), "id")
     some = F.col("text").isNotNull() & (F.col("text") != "")
     facts = rows.groupBy("cluster").agg(F.max("size").alias("size"), F.max_by("id", F.struct("byte_size", -F.col("id"))).alias("largest"), F.min_by("text", F.when(some, F.col("id"))).alias("sample"))

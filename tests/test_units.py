@@ -146,6 +146,21 @@ def test_duplicates_keep_the_largest_in_one_pass_over_clusters(spark, monkeypatc
     assert "sized" not in tables
 
 
+def test_groups_compute_their_clusters_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    found = spark.createDataFrame([(i, i % 2, 20) for i in range(40)], "id long, cluster long, size long").mapInArrow(counted, "id long, cluster long, size long")
+    photos = spark.createDataFrame([(i, i % 7, f"t{i}" if i > 3 else "") for i in range(40)], "id long, byte_size long, text string")
+    rows = {r.cluster: (r.size, r.largest, r.sample, r.members) for r in cluster.groups(found, photos).collect()}
+    assert rows == {0: (20, 6, "t4", list(range(0, 24, 2))), 1: (20, 13, "t5", list(range(1, 25, 2)))}
+    assert calls.value == 40
+
+
 def test_durations_and_boxes(spark):
     rows = spark.createDataFrame([("45",), ("90m",), ("1h30m",), ("2d",), ("nope",), ("0",), (None,)], "x string")
     assert [r[0] for r in rows.select(N.parse_duration(F.col("x"))).collect()] == [45.0, 5400.0, 5400.0, 172800.0, None, None, None]
